@@ -247,3 +247,21 @@ def best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFra
     cols = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])).alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def next_at_or_after(points: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, name: str, width: int = BLOCK) -> DataFrame:
+    """Points with the lowest target position (``targets.pos``) that is not below ``at``.
+
+    Looked up inside the point's block first; otherwise the first later block with a target, from one row per block.
+    """
+    keys = list(keys)
+    p = points.withColumn("_b", F.floor(F.col(at) / width))
+    t = targets.select(*keys, "pos").distinct().withColumn("_b", F.floor(F.col("pos") / width))
+    ats = p.select(*keys, "_b", F.col(at).alias("_at")).distinct()
+    both = ats.withColumn("_t", F.lit(None).cast("long")).unionByName(t.select(*keys, "_b", F.col("pos").alias("_at"), F.col("pos").alias("_t")))
+    after = W.partitionBy(*keys).orderBy("_b").rowsBetween(1, W.unboundedFollowing)
+    later = both.groupBy(*keys, "_b").agg(F.min("_t").alias("_m")).withColumn("_later", F.min("_m").over(after)).drop("_m")
+    here = W.partitionBy(*keys, "_b").orderBy("_at").rangeBetween(0, W.unboundedFollowing)
+    near = both.withColumn("_n", F.min("_t").over(here)).filter("_t is null").drop("_t")
+    found = near.join(later, [*keys, "_b"]).select(*keys, F.col("_at").alias(at), F.coalesce("_n", "_later").alias(name)).distinct()
+    return points.join(found, [*keys, at], "left")

@@ -92,7 +92,7 @@ view("t_rows", """
 select user_id ch, row_number() over (partition by user_id order by ts, event_id) - 1 y, event_id, event_type, value from events
 """)
 view("t_profile", """
-select ch, y, y//20 page, value/500.0 white_ratio, case when event_id%9<6 then 1.0 else 6.0 end::double std, ((event_id%5)*1.0)::double delta,
+select ch, y, y//20 page, cast(round(value*100) as bigint) white_px, cast(round(value*100) as bigint)/50000 white_ratio, case when event_id%9<6 then 1.0 else 6.0 end::double std, ((event_id%5)*1.0)::double delta,
  cast(floor(value) as bigint) s1, cast(floor(value)*floor(value) as bigint) s2, event_id%3 edges from t_rows
 """)
 view("t_evidence", """
@@ -112,8 +112,9 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 def profile(spark: SparkSession, sf: str) -> DataFrame:
     """Row profile: whiteness, channel spread, change to the row above and moments of every pixel row."""
     e, v = F.col("event_id"), F.floor("value")
+    px = F.round(F.col("value") * 100).cast("long")
     return rows(spark, sf).select(
-        "ch", "y", F.floor(F.col("y") / 20).alias("page"), (F.col("value") / 500.0).alias("white_ratio"),
+        "ch", "y", F.floor(F.col("y") / 20).alias("page"), px.alias("white_px"), (px / 50000).alias("white_ratio"),
         F.when(e % 9 < 6, 1.0).otherwise(6.0).alias("std"), (e % 5 * 1.0).alias("delta"),
         v.alias("s1"), (v * v).alias("s2"), (e % 3).alias("edges"))
 
