@@ -179,7 +179,7 @@ def orbit(edges: DataFrame, starts: DataFrame, keys: Sequence[str], width: int =
     """
     keys = list(keys)
     kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields if f.name in keys)
-    edges = edges.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long"))
+    edges = cut(edges.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long")))
     starts = starts.select(*keys, F.col("pos").cast("long")).distinct()
     if extent is None:
         extent = edges.agg(F.max("pos")).first()[0] or 0
@@ -187,48 +187,46 @@ def orbit(edges: DataFrame, starts: DataFrame, keys: Sequence[str], width: int =
     if one_block:
         entries = starts
     else:
-        edges = cut(edges)
         b, nb = F.floor(F.col("pos") / width), F.floor(F.col("nxt") / width)
         crossing = edges.filter(F.col("nxt").isNotNull() & (b != nb)).select(*keys, F.col("nxt").alias("pos"))
         entries = crossing.unionByName(starts).distinct()
 
     def walker(mark: bool):
-        def run(pdf):
-            import pandas as pd
+        def run(group):
+            import pyarrow as pa
 
-            rows = pdf[~pdf["_entry"]]
-            nxt = {int(p): (None if pd.isna(n) else int(n)) for p, n in zip(rows["pos"], rows["nxt"])}
-            heads = [int(p) for p in pdf.loc[pdf["_entry"], "pos"]]
-            key = {k: pdf[k].iloc[0] for k in keys}
+            rows = group.select(["pos", "nxt", "_entry"]).to_pydict()
+            nxt = {p: n for p, n, e in zip(rows["pos"], rows["nxt"], rows["_entry"]) if not e}
+            heads = [p for p, e in zip(rows["pos"], rows["_entry"]) if e and p in nxt]
             if mark:
-                seen: dict[int, None] = {}
+                seen: dict[int, int | None] = {}
                 for p in heads:
-                    while p is not None and p in nxt and p not in seen:
-                        seen[p] = None
+                    while p in nxt and p not in seen:
+                        seen[p] = nxt[p]
                         p = nxt[p]
-                out = pd.DataFrame({"pos": list(seen), "nxt": pd.array([nxt[p] for p in seen], dtype="Int64")})
+                got = seen
             else:
                 far: dict[int, int | None] = {}
                 for head in heads:
                     trail, p = [], head
-                    while p is not None and p in nxt and p not in far:
+                    while p in nxt and p not in far:
                         trail.append(p)
                         p = nxt[p]
-                    end = far.get(p, p) if p is not None else None
+                    end = far.get(p, p)
                     for t in trail:
                         far[t] = end
-                got = [h for h in heads if h in nxt]
-                out = pd.DataFrame({"pos": got, "nxt": pd.array([far[h] for h in got], dtype="Int64")})
-            for k in reversed(keys):
-                out.insert(0, k, key[k])
-            return out[[*keys, "pos", "nxt"]]
+                got = {h: far[h] for h in heads}
+            n = len(got)
+            cols = [pa.repeat(group.column(k)[0], n) if n else group.column(k).slice(0, 0).combine_chunks() for k in keys]
+            cols += [pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())]
+            return pa.table(cols, names=[*keys, "pos", "nxt"])
         return run
 
     def grouped(heads: DataFrame, mark: bool) -> DataFrame:
         both = edges.withColumn("_entry", F.lit(False)).unionByName(
             heads.select(*keys, "pos").withColumn("nxt", F.lit(None).cast("long")).withColumn("_entry", F.lit(True)))
         both = both.withColumn("_b", F.floor(F.col("pos") / width))
-        return both.groupBy(*keys, "_b").applyInPandas(walker(mark), f"{kt}, pos long, nxt long")
+        return both.groupBy(*keys, "_b").applyInArrow(walker(mark), f"{kt}, pos long, nxt long")
 
     if not one_block:
         skips = grouped(entries, mark=False)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stripline.operators.blocks import best, next_at_or_after, orbit, point_join
+from stripline.session import cut
 
 CH = ["ch"]
 # Fixed values of the domain.
@@ -85,7 +86,7 @@ def chunks(path: DataFrame, totals: DataFrame, keys: Sequence[str] = CH) -> Data
 def cut_decisions(bands: DataFrame, totals: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
     """Every band of the windows on the walk: selected, not selected or rejected, with the reason."""
     keys = list(keys)
-    path = greedy_cut_path(bands, totals, keys)
+    path = cut(greedy_cut_path(bands, totals, keys))
     stood = path.select(*keys, "cur", "nxt").unionByName(
         chunks(path, totals, keys).filter("true").join(totals.select(*keys, F.col("total").alias("end")), [*keys, "end"], "left_semi")
         .select(*keys, F.col("start").alias("cur"), F.lit(None).cast("long").alias("nxt")))
@@ -100,13 +101,15 @@ def cut_decisions(bands: DataFrame, totals: DataFrame, keys: Sequence[str] = CH)
 def level1_partition(bands: DataFrame, totals: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
     """Segments passed or failed by height; after the first failure the walk restarts once at the next band beyond the maximum."""
     keys = list(keys)
-    edges = next_cut_edges(bands, totals, keys)
-    first = chunks(walk(edges, origin(totals, keys), keys), totals, keys)
+    edges = cut(next_cut_edges(bands, totals, keys))
+    first = cut(chunks(walk(edges, origin(totals, keys), keys), totals, keys))
     stuck = first.filter(F.col("height") > MAX_CHUNK).join(totals.select(*keys, "total"), keys).withColumn("_at", F.col("start") + MAX_CHUNK + 1)
     ends = eligible_white(bands).filter(F.col("center") <= F.col("total") - MIN_CHUNK).select(*keys, F.col("center").alias("pos"))
     rescue = next_at_or_after(stuck, ends, keys, "_at", "rescue").filter("rescue is not null")
     jump = rescue.select(*keys, "start", F.col("rescue").alias("end"))
+    jump = cut(jump)
     again = walk(edges, jump.select(*keys, F.col("end").alias("cur")), keys)
+    again = cut(again)
     steps = again.select(*keys, F.col("cur").alias("start"), F.col("nxt").alias("end"))
     tail = jump.select(*keys, F.col("end").alias("_r")).join(steps.groupBy(*keys).agg(F.max("end").alias("_l")), keys, "left").join(
         totals.select(*keys, "total"), keys).select(*keys, F.coalesce("_l", "_r").alias("start"), F.col("total").alias("end"))
@@ -120,7 +123,7 @@ def review_edges(bands: DataFrame, totals: DataFrame, keys: Sequence[str] = CH)
     """Next cut of a review proposal: the greedy one, else the last strict band, else the first up to 13000, else the first beyond."""
     keys = list(keys)
     at = positions(bands, totals, keys)
-    greedy = next_cut_edges(bands, totals, keys).select(*keys, "cur", "nxt", F.lit("greedy").alias("strategy"))
+    greedy = cut(next_cut_edges(bands, totals, keys).select(*keys, "cur", "nxt", F.lit("greedy").alias("strategy")))
     cur, total = F.col("cur"), F.col("total")
     open_ = at.filter(total - cur > MAX_CHUNK).join(greedy, [*keys, "cur"], "left_anti")
     hard = F.least(total - MIN_CHUNK, cur + MAX_CHUNK)
@@ -142,7 +145,7 @@ def review_edges(bands: DataFrame, totals: DataFrame, keys: Sequence[str] = CH)
 def review_proposal(bands: DataFrame, totals: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
     """Cuts of a review proposal with their strategy; a row without ``nxt`` says that the chapter has no proposal."""
     keys = list(keys)
-    e = review_edges(bands, totals, keys)
+    e = cut(review_edges(bands, totals, keys))
     return walk(e, origin(totals, keys), keys).select(*keys, "cur").join(e, [*keys, "cur"])
 
 
@@ -167,5 +170,5 @@ def source_limit_cuts(segments: DataFrame, bands: DataFrame, pages: DataFrame, l
     order = [F.when(white, 0).otherwise(1), F.abs(F.col("center") - F.col("cur") - TARGET),
              F.when(white, -F.col("height")).otherwise(F.col("std")), F.when(white, -F.col("ratio")).otherwise(F.lit(0.0)), F.col("center")]
     pick = best(c, [*keys, "cur"], [o.cast("double") for o in order]).select(*keys, "cur", F.col("center").alias("nxt"), "kind")
-    edges = over.select(*keys, "cur").join(pick, [*keys, "cur"], "left")
+    edges = cut(over.select(*keys, "cur").join(pick, [*keys, "cur"], "left"))
     return walk(edges, seg.select(*keys, F.col("s").alias("cur")), keys).select(*keys, "cur").join(edges, [*keys, "cur"])

@@ -7,6 +7,7 @@ from stripline.operators import cuts as C
 from stripline.operators import layout as L
 from stripline.plans import standins as S
 from stripline.plans.registry import out, query, view
+from stripline.session import cut
 
 view("t_pos", "select ch, cast(0 as bigint) cur, total from t_chapter union select ch, center, total from t_band where kind='white_band' and height>=150")
 view("t_cand", """
@@ -25,7 +26,8 @@ GREEDY = """with recursive walk as (select ch, 0::bigint cur, 0 step from t_chap
 
 
 def tables(spark, sf):
-    return S.band(spark, sf), S.chapter(spark, sf).select("ch", "total")
+    """Bands, written once for the several passes over them, and chapter totals."""
+    return cut(S.band(spark, sf)), S.chapter(spark, sf).select("ch", "total")
 
 
 @query("next_cut_edges", "select ch, cur, nxt, height, distance, reason from t_edge")
@@ -110,8 +112,8 @@ LIMIT = GREEDY + """, c2 as (select distinct ch, center, kind, height, ratio, st
 @query("source_limit_cuts", LIMIT + "select le.ch, le.cur, le.nxt, le.kind from lw join le on le.ch=lw.ch and le.cur=lw.cur")
 def source_limit_cuts(spark, sf):
     b, t = tables(spark, sf)
-    c = C.chunks(C.greedy_cut_path(b, t), t)
-    return out(C.source_limit_cuts(c, b, S.strip(spark, sf), 4), "ch", "cur", "nxt", "kind")
+    c = cut(C.chunks(C.greedy_cut_path(b, t), t))
+    return out(C.source_limit_cuts(c, b, cut(S.strip(spark, sf)), 4), "ch", "cur", "nxt", "kind")
 
 
 @query("uniform_cut_rank", """
