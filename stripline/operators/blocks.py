@@ -263,3 +263,25 @@ def next_at_or_after(points: DataFrame, targets: DataFrame, keys: Sequence[str],
     near = both.withColumn("_n", F.min("_t").over(here)).filter("_t is null").drop("_t")
     found = near.join(later, [*keys, "_b"]).select(*keys, F.col("_at").alias(at), F.coalesce("_n", "_later").alias(name)).distinct()
     return points.join(found, [*keys, at], "left")
+
+
+def lag_sparse(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Mapping[str, str], width: int = BLOCK) -> DataFrame:
+    """``lag`` by one along sparse positions (``order[0]`` is an integer): inside blocks, and from the last row of the nearest earlier block."""
+    keys = list(keys)
+    d = id_blocks(df, order[0], width)
+    last = d.groupBy(*keys, "_b").agg(F.max_by(F.struct(*[F.col(c).alias(o) for o, c in lags.items()]), F.struct(*order)).alias("_r"))
+    prev = last.withColumn("_p", F.lag("_r").over(W.partitionBy(*keys).orderBy("_b"))).drop("_r")
+    w = W.partitionBy(*keys, "_b").orderBy(*order)
+    j = d.join(prev, [*keys, "_b"]).withColumn("_f", F.row_number().over(w))
+    new = {o: F.when(F.col("_f") == 1, F.col(f"_p.{o}")).otherwise(F.lag(c).over(w)) for o, c in lags.items()}
+    return j.withColumns(new).drop("_b", "_p", "_f")
+
+
+def overlap_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], anti: bool = False,
+                 width: int = BUCKET) -> DataFrame:
+    """Left rows that meet (or, with ``anti``, do not meet) any interval of the right."""
+    keys = list(keys)
+    ident = [*keys, *l]
+    met = overlap_join(left.select(*ident).distinct(), right.select(*keys, F.col(r[0]).alias("_rs"), F.col(r[1]).alias("_re")).distinct(),
+                       keys, l, ("_rs", "_re"), width).select(*ident).distinct()
+    return left.join(met, ident, "left_anti" if anti else "left_semi")

@@ -100,12 +100,6 @@ def page_range_name(spark, sf):
     return out(L.name_outputs(p, S.strip(spark, sf), ["ch", "seg"], ("g_start", "g_end")), "ch", "seg", "name")
 
 
-view("t_halved", """
-select ch, seg*2+half seg, case half when 0 then g_start else (g_start+g_end)//2 end g_start, case half when 0 then (g_start+g_end)//2 else g_end end g_end
-from t_piece cross join (select 0 half union all select 1) h where g_end - g_start > 1
-""")
-
-
 @query("name_collision", """
 with n as (select ch, seg, g_start, g_end, concat('page-', format('{:03d}', a), case when a<>b then concat('-', format('{:03d}', b)) else '' end, '.png') as name from (
  select p.ch, seg, g_start, g_end, min(page_no) a, max(page_no) b
