@@ -11,4 +11,4 @@ def registered():
     for m in pkgutil.iter_modules(__path__):
         if m.name.startswith("plan_"):
             importlib.import_module(f"{__name__}.{m.name}")
-    return registry.QUERIES, registry.ORACLES
+    return registry.QUERIES, {n: registry.with_views(sql) for n, sql in registry.ORACLES.items()}

@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
     return deco
 
