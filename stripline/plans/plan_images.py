@@ -35,11 +35,11 @@ def row_moments(spark, sf):
 
 @query("slice_features", """
 with d as (select doc_id, y, avg(case when lum<104 then 1.0::double else 0 end) rd from t_lum group by doc_id, y)
-select l.doc_id, round(avg(lum),4) mean, round(stddev_pop(lum),4) std, round(avg(case when lum<104 then 1.0::double else 0 end),6) content, round(avg(case when lum>=110 then 1.0::double else 0 end),6) bright, round(avg(case when lum<=60 then 1.0::double else 0 end),6) dark, any_value(rs) row_std
+select l.doc_id, round(avg(lum),4) mean, round(stddev_pop(lum),4) std, count(*) filter (lum<104)/count(*) content, count(*) filter (lum>=110)/count(*) bright, count(*) filter (lum<=60)/count(*) dark, any_value(rs) row_std
 from t_lum l join (select doc_id, round(stddev_pop(rd),6) rs from d group by doc_id) q on l.doc_id=q.doc_id group by l.doc_id""")
 def slice_features(spark, sf):
     f = I.slice_features(S.images(spark, sf), ["doc_id"], 104, 110, 60)
-    return out(f, "doc_id", mean=F.round("mean", 4), std=F.round("std", 4), **{c: F.round(c, 6) for c in ("content", "bright", "dark", "row_std")})
+    return out(f, "doc_id", mean=F.round("mean", 4), std=F.round("std", 4), row_std=F.round("row_std", 6), **{c: F.col(c) for c in ("content", "bright", "dark")})
 
 
 @query("dark_components")
@@ -86,3 +86,15 @@ def integrity_outside_mask(spark, sf):
 @query("masked_composite", "select doc_id, md5(string_agg(printf('%02X', case when y%2=0 and chr(v::integer) in ('a','e','i','o','u') then v-32 else v end), '' order by i)) md5 from t_byte group by doc_id")
 def masked_composite(spark, sf):
     return out(I.masked_composite(pairs(spark, sf), ["doc_id"]), "doc_id", md5=F.md5(F.hex("out")))
+
+
+@query("scan_images", """
+select doc_id, case when doc_id%97<>0 then 16 end::bigint width, case when doc_id%97<>0 then cast(ceil(octet_length(encode(text))/48.0) as bigint) end height, case when doc_id%97=0 then 'unreadable' end problem from documents""")
+def scan_images(spark, sf):
+    """Sizes from PNG headers; files cut short stay as error rows."""
+    from stripline.sources.pages import png_size
+    from stripline.sources.sinks import encode_png
+    files = encode_png(S.images(spark, sf), ["doc_id"])
+    broken = F.col("doc_id") % 97 == 0
+    files = files.withColumn("content", F.when(broken, F.substring("content", 2, 20)).otherwise(F.col("content")))
+    return out(png_size(files), "doc_id", "width", "height", problem=F.when(F.col("width").isNull(), "unreadable"))
