@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripline.operators.blocks import BLOCK, best, halo, neighbours, top_k
+from stripline.operators.blocks import best, halo, neighbours, top_k
 
 CH = ["ch"]
 FEATURES = [f"f{i}" for i in range(1, 7)]
@@ -36,7 +36,7 @@ def ruptures(z: DataFrame, keys: Sequence[str] = CH, number: str = "page_no", di
     return top_k(strong, keys, [-F.col("strength"), F.col("gs")], 3)
 
 
-def islands(z: DataFrame, strong: DataFrame, keys: Sequence[str] = CH, number: str = "page_no", dims: int = 6, width: int = BLOCK) -> DataFrame:
+def islands(z: DataFrame, strong: DataFrame, keys: Sequence[str] = CH, number: str = "page_no", dims: int = 6, width: int | None = None) -> DataFrame:
     """Windows of three or four units that are compact, lose compactness on both sides and differ from both contexts.
 
     Works in blocks of the unit number with a halo of the widest context, so a group never holds a whole region.

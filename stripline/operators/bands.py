@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripline.operators.blocks import BLOCK, block_window, halo, sessions
+from stripline.operators.blocks import block_window, halo, sessions
 
 CH = ["ch"]
 UNIFORM_STD, UNIFORM_DELTA = 4.0, 3.0
 
 
-def bands(profile: DataFrame, flag: Column, aggs=None, keys: Sequence[str] = CH, pos: str = "y", width: int = BLOCK) -> DataFrame:
+def bands(profile: DataFrame, flag: Column, aggs=None, keys: Sequence[str] = CH, pos: str = "y", width: int | None = None) -> DataFrame:
     """Maximal runs of consecutive rows that satisfy ``flag``: ``start``, ``end``, ``height`` and ``aggs``."""
     s = sessions(profile.filter(flag), keys, pos, 1, aggs, width)
     return s.withColumns({"end": F.col("last") + 1, "height": F.col("n")}).drop("last", "n")
@@ -37,7 +37,7 @@ def uniform_bands(profile: DataFrame, std: float = UNIFORM_STD, delta: float = U
     return b.drop("_s", "_d", *[f"_m_{c}" for c in rgb])
 
 
-def moving_band(profile: DataFrame, half: int = 8, keys: Sequence[str] = CH, count: Column | None = None, width: int = BLOCK) -> DataFrame:
+def moving_band(profile: DataFrame, half: int = 8, keys: Sequence[str] = CH, count: Column | None = None, width: int | None = None) -> DataFrame:
     """Spread and edge density of the rows from ``y - half`` to ``y + half``, from per-row moments."""
     n = count if count is not None else F.lit(1)
     w = block_window(keys, "y").rangeBetween(-half, half)
@@ -49,7 +49,7 @@ def moving_band(profile: DataFrame, half: int = 8, keys: Sequence[str] = CH, cou
 
 
 def strip_scan(profile: DataFrame, std_max: float = 7.0, edge_max: float = 10.0, height: int = 18, step: int = 9,
-               keys: Sequence[str] = CH, width: int = BLOCK) -> DataFrame:
+               keys: Sequence[str] = CH, width: int | None = None) -> DataFrame:
     """Strips of ``height`` rows every ``step`` rows whose spread and mean change, across and down, stay low."""
     h = halo(profile, keys, "y", 1, height, width)
     w = block_window(keys, "y")
@@ -66,7 +66,7 @@ def strip_scan(profile: DataFrame, std_max: float = 7.0, edge_max: float = 10.0,
     return out.filter((F.col("uniform_std") <= std_max) & (F.col("edge_mean") <= edge_max)).select(*keys, "y", "center", "uniform_std", "edge_mean")
 
 
-def trimmed_std(profile: DataFrame, half: int = 16, min_core: int = 32, value: str = "s1", keys: Sequence[str] = CH, width: int = BLOCK) -> DataFrame:
+def trimmed_std(profile: DataFrame, half: int = 16, min_core: int = 32, value: str = "s1", keys: Sequence[str] = CH, width: int | None = None) -> DataFrame:
     """Spread of the values between the 10th and 90th percentile of a band; of all values where too few remain."""
     w = block_window(keys, "y").rangeBetween(-half, half)
     h = halo(profile.select(*keys, "y", F.col(value).alias("_v")), keys, "y", half, half, width)

@@ -14,17 +14,27 @@ from pyspark.sql import functions as F
 
 from stripline.session import cut
 
-BLOCK = 1 << 18   # positions per block: the largest group any task sees
-BUCKET = 1 << 14  # axis bucket of the interval joins
-FAN = 1 << 8      # blocks per block of the next level up
+# Defaults of the session settings ``spark.stripline.block``, ``.bucket`` and ``.slice``.
+SIZES = {
+    "block": 1 << 18,   # positions per block: the largest group any task sees
+    "bucket": 1 << 14,  # axis bucket of the interval joins
+    "slice": 1 << 20,   # rows of the axis a path search holds at once
+}
+FAN = 1 << 8  # blocks per block of the next level up
+
+
+def size_of(df: DataFrame, kind: str, given: int | None = None) -> int:
+    """``given``, else the session's setting, else the default."""
+    return given or int(df.sparkSession.conf.get(f"spark.stripline.{kind}", str(SIZES[kind])))
 
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def id_blocks(df: DataFrame, pos: str, width: int = BLOCK) -> DataFrame:
+def id_blocks(df: DataFrame, pos: str, width: int | None = None) -> DataFrame:
     """Block column ``_b`` from a unique integer order column: at most ``width`` rows per (key, block)."""
+    width = size_of(df, "block", width)
     return df.withColumn("_b", F.floor(F.col(pos) / width))
 
 
@@ -75,11 +85,12 @@ def running(
     return out.withColumns(new).drop("_cn", *[f"_c_{k}" for k in sums])
 
 
-def halo(df: DataFrame, keys: Sequence[str], pos: str, before: int = 0, after: int = 0, width: int = BLOCK) -> DataFrame:
+def halo(df: DataFrame, keys: Sequence[str], pos: str, before: int = 0, after: int = 0, width: int | None = None) -> DataFrame:
     """Rows with their block ``_b`` plus copies for the neighbour blocks that look ``before``/``after`` positions over the edge.
 
     ``_home`` marks the original.  Follow with a window over :func:`block_window` and filter on ``_home``.
     """
+    width = size_of(df, "block", width)
     p = F.col(pos)
     first = F.floor((p - after) / width)
     last = F.floor((p + before) / width)
@@ -92,7 +103,7 @@ def block_window(keys: Sequence[str], *order: str | Column):
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], pos: str, lags: Mapping[str, str] | None = None,
-               leads: Mapping[str, str] | None = None, reach: int = 1, width: int = BLOCK) -> DataFrame:
+               leads: Mapping[str, str] | None = None, reach: int = 1, width: int | None = None) -> DataFrame:
     """``lag``/``lead`` by one along a dense integer position, without a window over the whole key."""
     h = halo(df, keys, pos, reach, reach, width)
     w = block_window(keys, pos)
@@ -107,13 +118,14 @@ def sessions(
     pos: str,
     gap: int = 1,
     aggs: Mapping[str, tuple[str, str | Column]] | None = None,
-    width: int = BLOCK,
+    width: int | None = None,
 ) -> DataFrame:
     """Maximal groups of positions whose neighbours are at most ``gap`` apart: ``start``, ``last``, ``n`` and ``aggs``.
 
     ``aggs`` maps a name to (``sum``/``min``/``max``, column).  Groups are found inside blocks; only those touching a
     block edge, at most two per block, are merged along the key.
     """
+    width = size_of(df, "block", width)
     aggs = dict(aggs or {})
     keys = list(keys)
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -146,12 +158,14 @@ def sessions(
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str],
-                 width: int = BUCKET) -> DataFrame:
+                 width: int | None = None) -> DataFrame:
     """Inner join on equal keys and intersecting half-open intervals.
 
     Intervals meet in the axis buckets they touch, so a long strip is spread over many tasks; a pair counts in the one
     bucket where its intersection starts.
     """
+    width = size_of(left, "bucket", width)
+
     def buckets(df, s, e):
         return df.withColumn("_k", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.greatest(F.col(e), F.col(s) + 1) - 1) / width))))
 
@@ -162,21 +176,23 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tupl
 
 
 def point_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, span: tuple[str, str],
-               width: int = BUCKET) -> DataFrame:
+               width: int | None = None) -> DataFrame:
     """Inner join of points with the half-open intervals that contain them."""
+    width = size_of(points, "bucket", width)
     p = points.withColumn("_k", F.floor(F.col(at) / width))
     s = spans.withColumn("_k", F.explode(F.sequence(F.floor(F.col(span[0]) / width),
                                                     F.floor((F.greatest(F.col(span[1]), F.col(span[0]) + 1) - 1) / width))))
     return p.join(s, [*keys, "_k"]).filter((F.col(at) >= F.col(span[0])) & (F.col(at) < F.col(span[1]))).drop("_k")
 
 
-def orbit(edges: DataFrame, starts: DataFrame, keys: Sequence[str], width: int = BLOCK, extent: int | None = None) -> DataFrame:
+def orbit(edges: DataFrame, starts: DataFrame, keys: Sequence[str], width: int | None = None, extent: int | None = None) -> DataFrame:
     """Rows of ``edges(keys, pos, nxt)`` met when walking from ``starts(keys, pos)`` along ``nxt``.
 
     Every position has one successor.  Inside a block the walk is followed directly.  Across blocks each entry position
     is replaced by its exit, which is the same problem with far fewer rows and wider blocks; the positions found there
     are then expanded inside their blocks again.
     """
+    width = size_of(edges, "block", width)
     keys = list(keys)
     kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields if f.name in keys)
     edges = cut(edges.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long")))
@@ -247,11 +263,12 @@ def best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFra
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def next_at_or_after(points: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, name: str, width: int = BLOCK) -> DataFrame:
+def next_at_or_after(points: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, name: str, width: int | None = None) -> DataFrame:
     """Points with the lowest target position (``targets.pos``) that is not below ``at``.
 
     Looked up inside the point's block first; otherwise the first later block with a target, from one row per block.
     """
+    width = size_of(points, "block", width)
     keys = list(keys)
     p = points.withColumn("_b", F.floor(F.col(at) / width))
     t = targets.select(*keys, "pos").distinct().withColumn("_b", F.floor(F.col("pos") / width))
@@ -265,7 +282,7 @@ def next_at_or_after(points: DataFrame, targets: DataFrame, keys: Sequence[str],
     return points.join(found, [*keys, at], "left")
 
 
-def lag_sparse(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Mapping[str, str], width: int = BLOCK) -> DataFrame:
+def lag_sparse(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: Mapping[str, str], width: int | None = None) -> DataFrame:
     """``lag`` by one along sparse positions (``order[0]`` is an integer): inside blocks, and from the last row of the nearest earlier block."""
     keys = list(keys)
     d = id_blocks(df, order[0], width)
@@ -278,7 +295,7 @@ def lag_sparse(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: M
 
 
 def overlap_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], anti: bool = False,
-                 width: int = BUCKET) -> DataFrame:
+                 width: int | None = None) -> DataFrame:
     """Left rows that meet (or, with ``anti``, do not meet) any interval of the right."""
     keys = list(keys)
     ident = [*keys, *l]

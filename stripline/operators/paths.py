@@ -11,12 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripline.operators.blocks import best, orbit, point_join, sessions, top_k
+from stripline.operators.blocks import best, orbit, point_join, sessions, size_of, top_k
 from stripline.operators.cuts import MAX_CHUNK, MIN_BAND, MIN_CHUNK, TARGET
 from stripline.session import cut
 
 CH = ["ch"]
-SLICE = 1 << 20
 STATE = ["prev", "edge", "shortfall", "deviation", "cmax", "cmin", "chunks", "quality", "lex"]
 STATE_DDL = "prev long, edge long, shortfall long, deviation long, cmax long, cmin long, chunks long, quality double, lex long"
 
@@ -105,12 +104,13 @@ def kernel(nodes: dict, *, target: int, lo: int, hi: int, prefer: int, small_edg
 
 
 def best_paths(nodes: DataFrame, keys: Sequence[str] = CH, *, target: int = TARGET, lo: int = MIN_CHUNK, hi: int = MAX_CHUNK, prefer: int = 0,
-               small_edges: bool = False, first_wins: bool = False, width: int = SLICE) -> DataFrame:
+               small_edges: bool = False, first_wins: bool = False, width: int | None = None) -> DataFrame:
     """State of every reachable node.  ``nodes``: keys, ``s`` (region start), ``y``, ``role``, ``q``, ``cs``, ``ce``.
 
     The regions are solved slice by slice; the number of rounds is that of the longest region, one for most data.
     """
     keys = list(keys)
+    width = size_of(nodes, "slice", width)
     base = nodes.select(*keys, "s", "y", F.col("role").cast("long"), F.col("q").cast("double"), F.col("cs").cast("long"), F.col("ce").cast("long"))
     base = cut(base.withColumn("_r", F.floor((F.col("y") - F.col("s")) / width)))
     rounds = base.agg(F.max("_r")).first()[0]
@@ -208,7 +208,7 @@ def balanced_nodes(regions: DataFrame, bands: DataFrame, pages: DataFrame, keys:
     return with_source_counts(inner.unionByName(ends.select(*keys, "s", "n.y", "n.role", F.lit(0.0).alias("q"))), pages, keys)
 
 
-def balanced_path(regions: DataFrame, bands: DataFrame, pages: DataFrame, prefer: int = 4, keys: Sequence[str] = CH, width: int = SLICE) -> DataFrame:
+def balanced_path(regions: DataFrame, bands: DataFrame, pages: DataFrame, prefer: int = 4, keys: Sequence[str] = CH, width: int | None = None) -> DataFrame:
     """Chunks of the best safe composition of every region.
 
     A strict path to the end, else one with a small chunk at an edge, else the best strict prefix with a residual, else
@@ -254,7 +254,7 @@ def safe_nodes(regions: DataFrame, safe: DataFrame, keys: Sequence[str] = CH) ->
     return inner.unionByName(ends.select(*keys, "s", "n.y", "n.role")).withColumns(z)
 
 
-def complete_path(regions: DataFrame, safe: DataFrame, keys: Sequence[str] = CH, width: int = SLICE) -> DataFrame:
+def complete_path(regions: DataFrame, safe: DataFrame, keys: Sequence[str] = CH, width: int | None = None) -> DataFrame:
     """Chunks of the best complete path of every region that has one.  Regions within the maximum are one chunk."""
     keys = list(keys)
     small = regions.filter(F.col("e") - F.col("s") <= MAX_CHUNK).select(*keys, F.col("s").alias("start"), F.col("e").alias("end"), (F.col("e") - F.col("s")).alias("height"))
@@ -263,7 +263,7 @@ def complete_path(regions: DataFrame, safe: DataFrame, keys: Sequence[str] = CH,
     return small.unionByName(path_to(st, st.filter("role = 2").select(*keys, "y"), keys))
 
 
-def exhaustive_composition(regions: DataFrame, safe: DataFrame, step: int = 1, keys: Sequence[str] = CH, width: int = SLICE) -> DataFrame:
+def exhaustive_composition(regions: DataFrame, safe: DataFrame, step: int = 1, keys: Sequence[str] = CH, width: int | None = None) -> DataFrame:
     """Complete path from the even positions, else from all; else the furthest SAFE prefix and its residual.
 
     Columns: keys, ``start``, ``end``, ``height``, ``passes``, ``part``.

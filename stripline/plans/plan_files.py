@@ -387,3 +387,32 @@ def read_markers(spark, sf):
     j = s.select("chapter").distinct().join(done, "chapter", "left").join(going, "chapter", "left").join(broken, "chapter", "left")
     return out(j, "chapter", in_progress=F.coalesce("going", F.lit(False)), expected_pages=F.when(c("expected") > 0, c("expected")),
                status=F.when(c("broken"), "invalid").when(c("going"), "in_progress").otherwise("completed"))
+
+
+@query("scan_pages")
+def scan_pages(spark, sf):
+    """Files of the given folder in natural order, by name, extension and size; no content is read."""
+    from stripline.sources.pages import scan_files
+    return out(scan_files(spark, sf, r"\.parquet$").orderBy(M.natural_key("file")), "file", "ext", "size")
+
+
+@query("promote_versioned", """
+with bad as (select distinct ch from (select ch from t_cover) x) select ch, seg, stage, g_start, g_end from t_piece where ch not in (select ch from bad)""")
+def promote_versioned(spark, sf):
+    """Chapters without a coverage error become the official version; a second promotion is refused while that one is valid."""
+    import uuid
+
+    from stripline.operators import compose as K
+    from stripline.session import cut, shared_dir
+    from stripline.sources.sinks import current_version, promote_versioned
+    p = cut(S.piece(spark, sf))
+    totals = S.chapter(spark, sf).select("ch", "total")
+    bad = cut(K.coverage_errors(p, totals))
+    good = p.join(bad.select("ch").distinct(), "ch", "left_anti")
+    root = f"{shared_dir(spark)}/official-{uuid.uuid4().hex}"
+
+    def errors_of(df):
+        return K.coverage_errors(df, totals.join(df.select("ch").distinct(), "ch", "left_semi"))
+
+    promote_versioned(good, errors_of, root)
+    return out(spark.read.parquet(current_version(spark, root)), "ch", "seg", "stage", "g_start", "g_end")

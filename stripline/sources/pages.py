@@ -13,6 +13,12 @@ def _named(files: DataFrame, path: str) -> DataFrame:
     return files.withColumns({"file": F.element_at(parts, -1), "ch": F.element_at(parts, -2), "page_no": page_number(F.element_at(parts, -1))})
 
 
+def scan_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files below ``root`` whose name matches, with extension and size; the content column is never read."""
+    f = _named(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content"), "path")
+    return f.filter(F.lower("file").rlike(pattern)).select("file", F.regexp_extract("file", r"\.([^.]+)$", 1).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
 def scan_pages(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """Page files ``<chapter>/page-<n>.<ext>`` below ``root`` with size, time and number; backups are left out.
 
