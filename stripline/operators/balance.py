@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripline.operators.blocks import best, halo, neighbours, top_k
+from stripline.operators.blocks import best, halo, neighbours, spread, top_k
 
 CH = ["ch"]
 FEATURES = [f"f{i}" for i in range(1, 7)]
@@ -90,7 +90,7 @@ def islands(z: DataFrame, strong: DataFrame, keys: Sequence[str] = CH, number: s
         head = [pa.repeat(t.column(x)[0], len(got)) if got else t.column(x).slice(0, 0).combine_chunks() for x in keys]
         return pa.table([*head, *[pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]], names=[*keys, *names])
 
-    return h.groupBy(*keys, "_b").applyInArrow(run, f"{kt}, first_no long, end_no long, start_y long, end_y long, internal double, gain_left double, gain_right double, contrast double, score double")
+    return spread(h, *keys, "_b").groupBy(*keys, "_b").applyInArrow(run, f"{kt}, first_no long, end_no long, start_y long, end_y long, internal double, gain_left double, gain_right double, contrast double, score double")
 
 
 def pick_islands(found: DataFrame, keys: Sequence[str] = CH) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripline.operators.blocks import block_window, halo, sessions
+from stripline.operators.blocks import block_window, halo, sessions, spread
 
 CH = ["ch"]
 UNIFORM_STD, UNIFORM_DELTA = 4.0, 3.0
@@ -68,26 +68,39 @@ def strip_scan(profile: DataFrame, std_max: float = 7.0, edge_max: float = 10.0,
 
 def trimmed_std(profile: DataFrame, half: int = 16, min_core: int = 32, value: str = "s1", keys: Sequence[str] = CH, width: int | None = None) -> DataFrame:
     """Spread of the values between the 10th and 90th percentile of a band; of all values where too few remain."""
-    w = block_window(keys, "y").rangeBetween(-half, half)
-    h = halo(profile.select(*keys, "y", F.col(value).alias("_v")), keys, "y", half, half, width)
-    h = h.withColumn("_a", F.array_sort(F.collect_list("_v").over(w))).filter("_home").drop("_b", "_home", "_v")
-    n = F.size("_a")
-
-    def pct(p: float) -> Column:
-        at = (n - 1) * F.lit(p)
-        i = F.floor(at).cast("int")
-        lo = F.element_at("_a", i + 1)
-        hi = F.element_at("_a", F.least(i + 2, n))
-        return lo + (hi - lo) * (at - i)
-
-    h = h.withColumns({"_lo": pct(0.1), "_hi": pct(0.9)})
-    core = F.filter("_a", lambda v: (v >= F.col("_lo")) & (v <= F.col("_hi")))
-    h = h.withColumn("_c", core).withColumn("_c", F.when(F.size("_c") < F.greatest(F.lit(min_core), F.floor(n / 4)), F.col("_a")).otherwise(F.col("_c")))
-    zero = F.lit(0).cast("long")
-    m = F.size("_c")
-    s1 = F.aggregate("_c", zero, lambda a, v: a + v) / m
-    s2 = F.aggregate("_c", zero, lambda a, v: a + v * v) / m
-    return h.withColumns({"core_size": m.cast("long"), "trimmed_std": F.sqrt(F.greatest(s2 - s1 * s1, F.lit(0.0)))}).drop("_a", "_c", "_lo", "_hi")
+    keys = list(keys)
+    h = halo(profile.select(*keys, "y", F.col(value).cast("long").alias("_v")), keys, "y", half, half, width)
+    kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in profile.schema.fields if f.name in keys)
+
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+
+        t = group.sort_by("y")
+        y, v = np.array(t.column("y")), np.array(t.column("_v"))
+        home = np.flatnonzero(np.array(t.column("_home").to_pylist(), bool))
+        first, last = np.searchsorted(y, y[home] - half), np.searchsorted(y, y[home] + half, side="right")
+        size, std = np.zeros(len(home), np.int64), np.zeros(len(home))
+        for n in np.unique(last - first):  # windows of one length together; the ends of a strip have shorter ones
+            at = np.flatnonzero(last - first == n)
+            for part in np.array_split(at, max(1, len(at) * n // 4_000_000)):
+                w = np.sort(v[first[part][:, None] + np.arange(n)], axis=1)
+
+                def pct(p):
+                    x = (n - 1) * p
+                    i = int(np.floor(x))
+                    lo, hi = w[:, i], w[:, min(i + 1, n - 1)]
+                    return lo + (hi - lo) * (x - i)
+
+                core = (w >= pct(0.1)[:, None]) & (w <= pct(0.9)[:, None])
+                core[core.sum(axis=1) < max(min_core, n // 4)] = True
+                m = core.sum(axis=1)
+                s1, s2 = (w * core).sum(axis=1) / m, (w * w * core).sum(axis=1) / m
+                size[part], std[part] = m, np.sqrt(np.maximum(s2 - s1 * s1, 0.0))
+        head = [pa.repeat(t.column(k)[0], len(home)) if len(home) else t.column(k).slice(0, 0).combine_chunks() for k in keys]
+        return pa.table([*head, pa.array(y[home]), pa.array(size), pa.array(std)], names=[*keys, "y", "core_size", "trimmed_std"])
+
+    return spread(h, *keys, "_b").groupBy(*keys, "_b").applyInArrow(run, f"{kt}, y long, core_size long, trimmed_std double")
 
 
 def median_ring(pixels: DataFrame, keys: Sequence[str], rgb: Sequence[str] = ("r", "g", "b"), bright: float = 210.0,

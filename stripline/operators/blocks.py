@@ -32,6 +32,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Exchange by key ahead of grouped Python work, at full width: its cost is in the rows' work, not in their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def id_blocks(df: DataFrame, pos: str, width: int | None = None) -> DataFrame:
     """Block column ``_b`` from a unique integer order column: at most ``width`` rows per (key, block)."""
     width = size_of(df, "block", width)
@@ -242,7 +247,7 @@ def orbit(edges: DataFrame, starts: DataFrame, keys: Sequence[str], width: int |
         both = edges.withColumn("_entry", F.lit(False)).unionByName(
             heads.select(*keys, "pos").withColumn("nxt", F.lit(None).cast("long")).withColumn("_entry", F.lit(True)))
         both = both.withColumn("_b", F.floor(F.col("pos") / width))
-        return both.groupBy(*keys, "_b").applyInArrow(walker(mark), f"{kt}, pos long, nxt long")
+        return spread(both, *keys, "_b").groupBy(*keys, "_b").applyInArrow(walker(mark), f"{kt}, pos long, nxt long")
 
     if not one_block:
         skips = grouped(entries, mark=False)

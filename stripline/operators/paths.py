@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripline.operators.blocks import best, orbit, point_join, sessions, size_of, top_k
+from stripline.operators.blocks import best, orbit, point_join, sessions, size_of, spread, top_k
 from stripline.operators.cuts import MAX_CHUNK, MIN_BAND, MIN_CHUNK, TARGET
 from stripline.session import cut
 
@@ -141,7 +141,7 @@ def best_paths(nodes: DataFrame, keys: Sequence[str] = CH, *, target: int = TARG
         cur = base.filter(F.col("_r") == r).drop("_r").withColumns(empty)
         if front is not None:
             cur = cur.unionByName(front)
-        done = cut(cur.groupBy(*keys).applyInArrow(step(r), ddl))
+        done = cut(spread(cur, *keys).groupBy(*keys).applyInArrow(step(r), ddl))
         parts.append(done.filter("not carried").drop("carried"))
         front = done.filter(F.col("y") >= F.col("s") + (r + 1) * width - hi).drop("carried")
     out = parts[0]

@@ -16,6 +16,31 @@ view("t_strength", "select ch, page_no, gs, sqrt(" + "+".join(f"(z{i}-p{i})*(z{i
 view("t_rupture", """select * from (select *, row_number() over (partition by ch order by strength desc, gs) rank from (select *, max(strength) over (partition by ch) mx from t_strength) a
  where strength >= greatest(2.0::double, mx*0.9::double)) b where rank<=3""")
 
+MEAN = ", ".join(f"avg(m.z{i}) c{i}" for i in range(1, 7))
+
+
+def apart(a: str, b: str, left: str = "c") -> str:
+    return "sqrt(" + "+".join(f"({a}.{left}{i}-{b}.c{i})*({a}.{left}{i}-{b}.c{i})" for i in range(1, 7)) + ")"
+
+
+view("t_island", f"""
+with w as (select ch, page_no s, k, n from t_z cross join (select unnest([3,4,5]) k) q where page_no + k - 1 <= n),
+ c as (select w.ch, w.s, w.k, {MEAN} from w join t_z m on m.ch=w.ch and m.page_no between w.s and w.s+w.k-1 group by all),
+ d as (select c.ch, c.s, c.k, avg({apart('m', 'c', 'z')}) disp from c join t_z m on m.ch=c.ch and m.page_no between c.s and c.s+c.k-1 group by all),
+ lc as (select w.ch, w.s, w.k, {MEAN} from w join t_z m on m.ch=w.ch and m.page_no between w.s-3 and w.s-1 group by all),
+ rc as (select w.ch, w.s, w.k, {MEAN} from w join t_z m on m.ch=w.ch and m.page_no between w.s+w.k and w.s+w.k+2 group by all),
+ v as (select w.ch, w.s, w.k, greatest(d.disp, 1e-9::double) inner_, dl.disp/greatest(d.disp, 1e-9::double)-1.0::double gl, dr.disp/greatest(d.disp, 1e-9::double)-1.0::double gr, least({apart('c', 'lc')}, {apart('c', 'rc')}) contrast
+  from w join c using (ch, s, k) join d using (ch, s, k) join lc using (ch, s, k) join rc using (ch, s, k) join d dl on dl.ch=w.ch and dl.s=w.s-1 and dl.k=w.k+1 join d dr on dr.ch=w.ch and dr.s=w.s and dr.k=w.k+1
+  where w.k < 5 and w.s >= 2 and w.s + w.k <= w.n and not exists (select 1 from t_rupture r where r.ch=w.ch and r.page_no in (w.s, w.s+w.k)))
+select v.ch, s first_no, s+k end_no, a.gs start_y, b.gs end_y, round(inner_,6) "internal", round(gl,6) gain_left, round(gr,6) gain_right, round(contrast,6) contrast, round(gl+gr+contrast-inner_,6) score
+from v join t_z a on a.ch=v.ch and a.page_no=s join t_z b on b.ch=v.ch and b.page_no=s+k where inner_ <= 0.75 and gl >= 0.25 and gr >= 0.25 and contrast >= 0.65
+""")
+view("t_islands2", """
+with f as (select * from (select *, row_number() over (partition by ch order by score desc, "internal", start_y, end_y) rank from t_island) x where rank=1),
+ g as (select i.* from t_island i join f on i.ch=f.ch where i.end_no <= f.first_no or i.first_no >= f.end_no)
+select * from f union all select * exclude (r), 2 from (select *, row_number() over (partition by ch order by score desc, "internal", start_y, end_y) r from g) y where r=1
+""")
+
 
 def z(spark, sf):
     return cut(B.standardize(S.feat(spark, sf)))
@@ -40,12 +65,12 @@ def found(spark, sf):
 ISLAND = ["ch", "first_no", "end_no", "start_y", "end_y", "internal", "gain_left", "gain_right", "contrast", "score"]
 
 
-@query("visual_islands")
+@query("visual_islands", "select * from t_island")
 def visual_islands(spark, sf):
     return out(found(spark, sf)[2], *ISLAND)
 
 
-@query("greedy_islands")
+@query("greedy_islands", "select * from t_islands2")
 def greedy_islands(spark, sf):
     return out(B.pick_islands(found(spark, sf)[2]), *ISLAND, "rank")
 

@@ -31,7 +31,15 @@ def balance_payload(spark, sf):
     return out(n, "ch", "start", "end", "height", "source_count", preferred_met=F.col("source_count") >= 4)
 
 
-@query("dedupe_close_candidates")
+DEDUPE = """with recursive b as (select ch, kind, center, height, row_number() over (partition by ch order by center, -height, kind) i, count(*) over (partition by ch) n from t_band where height >= 150),
+ walk as (select ch, i, i cur, n from b where i=1 union all
+  select w.ch, w.i+1, case when x.center - c.center > 8 or x.height > c.height or (x.height = c.height and x.kind='white_band' and c.kind<>'white_band') then x.i else w.cur end, w.n
+  from walk w join b x on x.ch=w.ch and x.i=w.i+1 join b c on c.ch=w.ch and c.i=w.cur),
+ kept as (select w.ch, w.cur from walk w where w.i=w.n union select w.ch, w.cur from walk w join b x on x.ch=w.ch and x.i=w.i+1 join b c on c.ch=w.ch and c.i=w.cur where x.center - c.center > 8)
+select b.ch, b.kind, b.center, b.height from kept k join b on b.ch=k.ch and b.i=k.cur"""
+
+
+@query("dedupe_close_candidates", DEDUPE)
 def dedupe_close_candidates(spark, sf):
     b = S.band(spark, sf).filter("height >= 150")
     return out(P.dedupe_close(b), "ch", "kind", "center", "height")

@@ -36,11 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete the tables that :func:`cut` wrote in this process, once no result that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing a table to the shared folder.
 
     A written table survives the loss of executors, keeps column pruning and gives the optimizer real sizes.
     """
     path = f"{shared_dir(df.sparkSession)}/stripline-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
