@@ -11,6 +11,65 @@ from stripline.plans.registry import out, query
 from stripline.session import cut
 
 
+DEDUPE = """with recursive b as (select ch, kind, center, height, row_number() over (partition by ch order by center, -height, kind) i, count(*) over (partition by ch) n from t_band where height >= 150),
+ walk as (select ch, i, i cur, n from b where i=1 union all
+  select w.ch, w.i+1, case when x.center - c.center > 8 or x.height > c.height or (x.height = c.height and x.kind='white_band' and c.kind<>'white_band') then x.i else w.cur end, w.n
+  from walk w join b x on x.ch=w.ch and x.i=w.i+1 join b c on c.ch=w.ch and c.i=w.cur),
+ kept as (select w.ch, w.cur from walk w where w.i=w.n union select w.ch, w.cur from walk w join b x on x.ch=w.ch and x.i=w.i+1 join b c on c.ch=w.ch and c.i=w.cur where x.center - c.center > 8)
+select b.ch, b.kind, b.center, b.height from kept k join b on b.ch=k.ch and b.i=k.cur"""
+STEP = """list_transform(list_filter(best, lambda b: {ok}), lambda b: {{'edge': b.edge + {small}, 'sh': b.sh + {short}, 'dev': b.dev + abs({d}-7000), 'imb': greatest(b.mx, {d}) - case when b.n=0 then {d} else least(b.mn, {d}) end,
+ 'n': b.n+1, 'q': b.q - ns[i+1].q, 'tie': {tie}, 'path': list_append(b.path, ns[i+1].y), 'mx': greatest(b.mx, {d}), 'mn': case when b.n=0 then {d} else least(b.mn, {d}) end, 'ce': ns[i+1].ce}})"""
+D = "(ns[i+1].y - b.path[-1])"
+
+
+def recurrence(name: str, nodes: str, loose: bool = False, first: bool = False, sources: bool = False) -> str:
+    """SQL of the one-best-path-per-node recurrence: a list of states per region grows node by node."""
+    ok = f"{D} <= 12000 and {D} > 0 and " + (f"({D} >= 3000 or b.n=0 or ns[i+1].role=2)" if loose else f"{D} >= 3000")
+    step = STEP.format(ok=ok, d=D, small=f"case when {D} < 3000 then 1 else 0 end", short="greatest(0, 4-(ns[i+1].cs-b.ce))" if sources else "0", tie="b.path[-1]" if first else "0")
+    return f"""{name} as (select ch, ns, 1 i, [{{'edge': 0::bigint, 'sh': 0::bigint, 'dev': 0::bigint, 'imb': 0::bigint, 'n': 0::bigint, 'q': 0::double, 'tie': 0::bigint, 'path': [ns[1].y], 'mx': 0::bigint, 'mn': 0::bigint, 'ce': ns[1].ce}}] best from {nodes}
+ union all select ch, ns, i+1, case when len(c)=0 then best else list_append(best, list_sort(c)[1]) end from (select *, {step} c from {name} where i < len(ns)) z)"""
+
+
+def nodes_sql(name: str, positions: str, region: str, end: bool = True) -> str:
+    """Nodes of the safe search: region ends and the positions strictly inside."""
+    tail = "union all select ch, total, 2 from r" if end else ""
+    return f"""{name} as (select ch, list({{'y': y, 'role': role, 'q': 0::double, 'cs': 0::bigint, 'ce': 0::bigint}} order by y) ns from (with r as ({region})
+ select ch, cast(0 as bigint) y, 0 role from r union all select distinct p.ch, p.y, 1 from ({positions}) p join r on p.ch=r.ch where p.y > 0 and p.y < total {tail}) x group by ch)"""
+
+
+def chunks_sql(states: str, pick: str) -> str:
+    return f"""select ch, p[k] "start", p[k+1] "end" from (select ch, p, unnest(generate_series(1, len(p)-1)) k from (select ch, {pick} p from {states} where i = len(ns)) a where p is not null) b"""
+
+
+SAFE = "select ch, y_path y from t_decided where decision='SAFE'"
+BIG = "select ch, total from t_extent where total > 12000"
+TO_END = "list_filter(best, lambda b: b.path[-1] = ns[-1].y)[1].path"
+COMPLETE = f"with recursive {nodes_sql('nd', SAFE, BIG)}, {recurrence('dp', 'nd')}, done as ({chunks_sql('dp', TO_END)} union all select ch, 0, total from t_extent where total <= 12000)\n"
+REFINED = """select c.ch, c.y from (select ch, unnest(generate_series(greatest(lower,y-128), least(upper,y+128), 8)) y from t_seed union select ch, y from t_seed) c join t_decided d on d.ch=c.ch and d.y_path=c.y and d.decision='SAFE'"""
+DIRECTED = f"with recursive {nodes_sql('nd', REFINED, BIG)}, {recurrence('dp', 'nd')}, done as ({chunks_sql('dp', TO_END)} union all select ch, 0, total from t_extent where total <= 12000)\n"
+EXHAUSTIVE = f"""with recursive {nodes_sql('n1', SAFE + ' and (y_path//500)%2=0', BIG)}, {recurrence('dp1', 'n1')}, even as ({chunks_sql('dp1', TO_END)} union all select ch, 0, total from t_extent where total <= 12000),
+ {nodes_sql('n2', SAFE, BIG + ' and ch not in (select ch from even)')}, {recurrence('dp2', 'n2')}, full_ as ({chunks_sql('dp2', TO_END)}),
+ {nodes_sql('n3', SAFE, BIG + ' and ch not in (select ch from even) and ch not in (select ch from full_)', False)}, {recurrence('dp3', 'n3', first=True)},
+ pre as ({chunks_sql('dp3', "best[-1].path")}),
+ rest as (select t.ch, coalesce(max(p."end"), 0) "start", t.total "end" from t_extent t left join pre p on t.ch=p.ch where t.ch not in (select ch from even) and t.ch not in (select ch from full_) group by t.ch, t.total)
+"""
+BALANCED = DEDUPE.replace("with recursive", "with recursive", 1).rsplit("select b.ch, b.kind", 1)[0].rstrip().rstrip(",") + f""", one as (select b.ch, b.center y, 1 role, b.height + case when b.kind='white_band' then t.ratio else -t.std end q from kept k join b on b.ch=k.ch and b.i=k.cur
+  join t_band t on t.ch=b.ch and t.center=b.center and t.kind=b.kind and t.height=b.height join t_chapter c on c.ch=b.ch where b.center > 0 and b.center < c.total),
+ al as (select ch, y, role, q from one union all select ch, cast(0 as bigint), 0, 0 from t_chapter union all select ch, total, 2, 0 from t_chapter),
+ cn as (select a.ch, a.y, a.role, a.q, count(*) filter (s.gs < a.y) cs, count(*) filter (s.ge <= a.y) ce from al a join t_strip s on s.ch=a.ch group by all),
+ nd as (select ch, list({{'y': y, 'role': role, 'q': q::double, 'cs': cs, 'ce': ce}} order by y) ns from cn where ch in (select ch from t_chapter where total > 12000) group by ch),
+ {recurrence('dp', 'nd', sources=True)}, st as (select ch, ns, best, {TO_END} p from dp where i = len(ns)),
+ nl as (select ch, ns from st where p is null), {recurrence('dpl', 'nl', loose=True, sources=True)}, sl as (select ch, {TO_END} p from dpl where i = len(ns)),
+ pf as (select st.ch, st.ns[-1].y e, list_sort(list_transform(list_filter(best, lambda b: b.n > 0 and ns[-1].y - b.path[-1] >= 3000), lambda b: {{'sh': b.sh, 'dev': b.dev, 'imb': b.imb, 'y': -b.path[-1], 'path': b.path}}))[1].path p from st join sl on st.ch=sl.ch where sl.p is null),
+ res as (select ch, p, 'resolved' status, 'bounded_safe_balanced_path' strategy from st where p is not null union all select ch, p, 'resolved', 'bounded_safe_balanced_path_with_edge_chunk' from sl where p is not null
+  union all select ch, p, 'partial', 'bounded_safe_balanced_prefix' from pf where p is not null),
+ bal as (select ch, p[k] "start", p[k+1] "end", p[k+1]-p[k] height, status, strategy, 'chunk' part from (select *, unnest(generate_series(1, len(p)-1)) k from res) u
+  union all select ch, p[-1], e, e-p[-1], 'partial', 'bounded_safe_balanced_prefix', 'residual' from pf where p is not null
+  union all select ch, cast(0 as bigint), e, e, 'unresolved', 'no_reachable_safe_path', 'residual' from pf where p is null
+  union all select ch, cast(0 as bigint), total, total, 'resolved', 'already_within_max_height', 'chunk' from t_chapter where total <= 12000)
+"""
+
+
 def whole(spark, sf):
     return S.chapter(spark, sf).select("ch", F.lit(0).cast("long").alias("s"), F.col("total").alias("e"))
 
@@ -19,33 +78,27 @@ def balanced(spark, sf):
     return P.balanced_path(whole(spark, sf), cut(S.band(spark, sf)), cut(S.strip(spark, sf)))
 
 
-@query("balanced_path")
+@query("balanced_path", BALANCED + "select * from bal")
 def balanced_path(spark, sf):
     return out(balanced(spark, sf), "ch", "start", "end", "height", "status", "strategy", "part")
 
 
-@query("balance_payload")
+@query("balance_payload", BALANCED + """select b.ch, b."start", b."end", b.height, count(*) source_count, count(*) >= 4 preferred_met from bal b join t_strip s on s.ch=b.ch and s.gs < b."end" and s.ge > b."start" where part='chunk' group by all""")
 def balance_payload(spark, sf):
     c = cut(balanced(spark, sf).filter("part = 'chunk'").select("ch", "start", "end", "height"))
     n = L.segment_sources(c, S.strip(spark, sf), ["ch", "start", "end"])
     return out(n, "ch", "start", "end", "height", "source_count", preferred_met=F.col("source_count") >= 4)
 
 
-DEDUPE = """with recursive b as (select ch, kind, center, height, row_number() over (partition by ch order by center, -height, kind) i, count(*) over (partition by ch) n from t_band where height >= 150),
- walk as (select ch, i, i cur, n from b where i=1 union all
-  select w.ch, w.i+1, case when x.center - c.center > 8 or x.height > c.height or (x.height = c.height and x.kind='white_band' and c.kind<>'white_band') then x.i else w.cur end, w.n
-  from walk w join b x on x.ch=w.ch and x.i=w.i+1 join b c on c.ch=w.ch and c.i=w.cur),
- kept as (select w.ch, w.cur from walk w where w.i=w.n union select w.ch, w.cur from walk w join b x on x.ch=w.ch and x.i=w.i+1 join b c on c.ch=w.ch and c.i=w.cur where x.center - c.center > 8)
-select b.ch, b.kind, b.center, b.height from kept k join b on b.ch=k.ch and b.i=k.cur"""
-
-
 @query("dedupe_close_candidates", DEDUPE)
 def dedupe_close_candidates(spark, sf):
     b = S.band(spark, sf).filter("height >= 150")
     return out(P.dedupe_close(b), "ch", "kind", "center", "height")
 
 
-@query("level2_decision_reason")
+@query("level2_decision_reason", BALANCED + """, k as (select ch, center, max(case when kind='uniform_color_band' then 1 else 0 end) u from t_band where height>=150 group by all),
+ g as (select b.ch, strategy, max(u) u from bal b left join k on k.ch=b.ch and k.center=b."end" where part='chunk' group by all)
+select ch, strategy, case when strategy like '%edge_chunk' then 'safe_edge_chunk_last_fallback' when u=1 then 'uniform_color_safe_path' else 'white_band_safe_path' end reason from g""")
 def level2_decision_reason(spark, sf):
     """Why a region was resolved: an edge chunk, a path with uniform bands, or one of white bands only."""
     c = cut(balanced(spark, sf))
@@ -65,12 +118,12 @@ def safe(spark, sf):
     return cut(on_path(spark, sf).filter("decision = 'SAFE'").select("ch", "y", "edge_density", "crossing_components"))
 
 
-@query("complete_path")
+@query("complete_path", COMPLETE + """select ch, "start", "end", "end"-"start" height from done""")
 def complete_path(spark, sf):
     return out(P.complete_path(strip_regions(spark, sf), safe(spark, sf)), "ch", "start", "end", "height")
 
 
-@query("directed_composition")
+@query("directed_composition", DIRECTED + """select ch, "start", "end", "end"-"start" height, true resolved from done union all select ch, 0, total, total, false from t_extent where ch not in (select ch from done)""")
 def directed_composition(spark, sf):
     r = strip_regions(spark, sf)
     cand = E.refine(seeds(spark, sf))
@@ -80,7 +133,8 @@ def directed_composition(spark, sf):
     return out(done.withColumn("resolved", F.lit(True)).unionByName(left.withColumn("resolved", F.lit(False))), "ch", "start", "end", "height", "resolved")
 
 
-@query("exhaustive_composition")
+@query("exhaustive_composition", EXHAUSTIVE + """select ch, "start", "end", "end"-"start" height, 1::bigint passes, 'chunk' part from even union all select ch, "start", "end", "end"-"start", 2, 'chunk' from full_
+union all select ch, "start", "end", "end"-"start", 2, 'prefix' from pre union all select ch, "start", "end", "end"-"start", 2, 'residual' from rest""")
 def exhaustive_composition(spark, sf):
     return out(P.exhaustive_composition(cut(strip_regions(spark, sf)), safe(spark, sf), 500), "ch", "start", "end", "height", "passes", "part")
 
