@@ -75,13 +75,34 @@ def greedy_islands(spark, sf):
     return out(B.pick_islands(found(spark, sf)[2]), *ISLAND, "rank")
 
 
-@query("anchor_select")
+ANCHORS = """with recursive raw as (select ch, gs y, 'strong_regime_rupture' reason, 100+strength priority from t_rupture union all select ch, start_y, 'visual_island_start', 80+score from t_islands2 union all select ch, end_y, 'visual_island_end', 80+score from t_islands2),
+ one as (select * from (select *, row_number() over (partition by ch, y order by priority desc, reason) k from raw) x where k=1),
+ sz as (select ch, cast(greatest(1, round_even(median(h)*2,0)) as bigint) gap, min(gs) s, max(ge) e from t_feat group by ch),
+ c as (select o.ch, y, reason, priority, gap, row_number() over (partition by o.ch order by priority desc, y, reason) r from one o join sz on o.ch=sz.ch where y-s >= gap and e-y >= gap),
+ walk as (select ch, 1 r, [y] got from c where r=1 union all
+  select w.ch, w.r+1, case when len(list_filter(w.got, lambda g: abs(g-c.y) < c.gap))=0 then list_append(w.got, c.y) else w.got end from walk w join c on c.ch=w.ch and c.r=w.r+1),
+ fin as (select ch, arg_max(got, r) got from walk group by ch),
+ anc as (select c.ch, c.y, c.reason, c.gap min_gap, priority from c join fin f on f.ch=c.ch where list_contains(f.got, c.y))
+"""
+PARTITION = ANCHORS + """, tot as (select ch, max(ge) total, count(*) n from t_feat group by ch),
+ lim as (select a.ch, y a, coalesce(lag(y) over w, 0) l, coalesce(lead(y) over w, total) r from anc a join tot t on a.ch=t.ch window w as (partition by a.ch order by y)),
+ rad as (select *, cast(floor(least(1800, greatest(240, 0.35::double*least(greatest(a-l,1), greatest(r-a,1))))) as bigint) q from lim),
+ safe as (select distinct ch, center y, 400-height e from t_band w where kind='white_band' and height>=20 and center>=0 and not exists (select 1 from t_band u where u.ch=w.ch and u.kind='uniform_color_band' and w.center >= greatest(0, u.b_start-16) and w.center < u.b_end+17)),
+ pick as (select * from (select rad.ch, a, y, row_number() over (partition by rad.ch, a order by abs(y-a), e, y) k from rad join safe on safe.ch=rad.ch and y between greatest(l+1, a-q) and least(r-1, a+q)) z where k=1),
+ sn as (select lim.ch, lim.a, case when exists (select 1 from t_band b where b.ch=lim.ch and b.kind='white_band' and b.height>=100 and b.center=lim.a) then lim.a else pick.y end s from lim left join pick on pick.ch=lim.ch and pick.a=lim.a),
+ od as (select *, s is not null and coalesce(s > lag(s) over (partition by ch order by a), true) ok from sn),
+ g as (select ch, count(*) anchors, count(*) filter (s is null) lost, count(*) filter (not ok) bad, string_agg(cast(s as varchar), '-' order by s) cuts from od group by ch),
+ rs as (select t.ch, anchors, cuts, case when n<4 then 'too_few_slices' when anchors is null then 'no_visual_anchor' when lost>0 then 'no_safe_snap' when bad>0 then 'anchors_not_increasing' end reason from tot t left join g on g.ch=t.ch)
+"""
+
+
+@query("anchor_select", ANCHORS + "select ch, y, reason, min_gap, round(priority,6) priority from anc")
 def anchor_select(spark, sf):
     u, r, i = found(spark, sf)
     return out(B.select_anchors(u, r, B.pick_islands(i)), "ch", "y", "reason", "min_gap", priority=F.round("priority", 6))
 
 
-@query("balance_partition")
+@query("balance_partition", PARTITION + "select ch, case when reason is null then 'PROPOSTA_GERADA' else 'SEM_PROPOSTA_SAFE' end status, reason, anchors, case when reason is null then cuts end cuts from rs")
 def balance_partition(spark, sf):
     """Features, anchors, protected ranges, snapping and the proposal of every chapter."""
     from pyspark.sql import Window as W

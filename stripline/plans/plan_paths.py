@@ -139,12 +139,31 @@ def exhaustive_composition(spark, sf):
     return out(P.exhaustive_composition(cut(strip_regions(spark, sf)), safe(spark, sf), 500), "ch", "start", "end", "height", "passes", "part")
 
 
-@query("beam_balance")
+def beam_round(o: int, src: str) -> str:
+    """SQL of one beam round: every extension of the kept paths, the best 400 stay."""
+    d, pos = "((z.y-p.path[-1]-t)/t)", f"(abs(z.y-t*{o})/t)"
+    return f"""b{o} as (select ch, score, path, t, e from (select *, row_number() over (partition by ch order by score, path) k from (
+  select p.ch, p.score + {d}*{d} + {pos}*{pos}*0.10::double + (z.edge_density*1e-3::double + z.crossing_components*1e-6::double) score, list_append(p.path, z.y) path, t, e
+  from {src} p join rep z on z.ch=p.ch and z.y > p.path[-1] and z.y-p.path[-1] >= t*0.5::double) x) y where k<=400)"""
+
+
+BEAM = f"""with s0 as (select ch, y_path//250 y, edge_density, crossing_components from t_decided where decision='SAFE'),
+ s1 as (select *, sum(f) over (partition by ch order by y) g from (select *, case when y - lag(y) over (partition by ch order by y) <= 2 then 0 else 1 end f from s0) a),
+ zn as (select ch, g, (min(y)+max(y))/2.0::double mid from s1 group by ch, g),
+ rep as (select ch, y, edge_density, crossing_components from (select s1.*, row_number() over (partition by s1.ch, s1.g order by abs(y-mid), edge_density, crossing_components, y) k from s1 join zn on zn.ch=s1.ch and zn.g=s1.g) q where k=1 and y > 0),
+ b0 as (select ch, 0::double score, [cast(0 as bigint)] path, (total//250)/4.0::double t, total//250 e from t_extent where ch in (select ch from rep group by ch having count(*) >= 3)),
+ {beam_round(1, 'b0')}, {beam_round(2, 'b1')}, {beam_round(3, 'b2')},
+ f as (select ch, score, list_append(path, e) bounds, t, [path[2], path[3]-path[2], path[4]-path[3], e-path[4]] h, e/4.0::double m from b3),
+ v as (select ch, bounds, score + ((h[1]-m)*(h[1]-m)+(h[2]-m)*(h[2]-m)+(h[3]-m)*(h[3]-m)+(h[4]-m)*(h[4]-m))/4.0::double/greatest(1, m*m) score from f where list_min(h) >= t*0.5::double)
+select ch, round(score,6) score, array_to_string(bounds, '-') bounds from (select *, row_number() over (partition by ch order by score, bounds) k from v) w where k=1"""
+
+
+@query("beam_balance", BEAM)
 def beam_balance(spark, sf):
     s = safe(spark, sf).select("ch", (F.col("y") / 250).cast("long").alias("y"), "edge_density", "crossing_components")
     r = strip_regions(spark, sf).select("ch", "s", (F.col("e") / 250).cast("long").alias("e"))
     b = P.beam_balance(r, E.safe_zones(s), 4)
-    return out(b, "ch", score=F.round("score", 8), bounds=F.array_join(F.transform("bounds", lambda x: x.cast("string")), "-"))
+    return out(b, "ch", score=F.round("score", 6), bounds=F.array_join(F.transform("bounds", lambda x: x.cast("string")), "-"))
 
 
 WALK = """with recursive near as (select * from (select n.ch, n.y_path y, s.y_path alt, row_number() over (partition by n.ch, n.y_path order by s.edge_density, s.crossing_components, abs(s.y_path-n.y_path), case when s.y_path<n.y_path then 0 else 1 end) r
