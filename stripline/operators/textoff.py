@@ -66,10 +66,12 @@ def mask_report(pages: DataFrame) -> DataFrame:
 
 def clean_summary(gated: DataFrame, texts: DataFrame) -> DataFrame:
     """Detections, approved ones, texts to clean and texts kept."""
-    a = gated.agg(F.count(F.lit(1)).alias("detections"), F.count_if("gate_ok").alias("approved"))
-    b = texts.agg(F.count(F.lit(1)).alias("ocr_regions"), F.count_if(F.col("decision") == "auto_clean").alias("auto_clean"),
-                  F.count_if(F.col("decision") != "auto_clean").alias("preserved"))
-    return a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one").drop("one")
+    n = F.lit(0)
+    d = gated.select(F.lit(1).alias("d"), F.col("gate_ok").cast("int").alias("g"), n.alias("t"), n.alias("c"))
+    t = texts.select(n.alias("d"), n.alias("g"), F.lit(1).alias("t"), (F.col("decision") == "auto_clean").cast("int").alias("c"))
+    names = {"detections": "d", "approved": "g", "ocr_regions": "t", "auto_clean": "c"}
+    out = d.unionByName(t).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in names.items()])
+    return out.withColumn("preserved", F.col("ocr_regions") - F.col("auto_clean"))
 
 
 def candidate_boxes(boxes: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
