@@ -237,9 +237,12 @@ def balanced_path(regions: DataFrame, bands: DataFrame, pages: DataFrame, prefer
     rest = prefix.select(*keys, F.col("y").alias("start"), F.col("e").alias("end"), (F.col("e") - F.col("y")).alias("height"))
     none = open_.join(prefix.select(*keys), keys, "left_anti").join(regions.select(*keys, "s"), keys).select(
         *keys, F.col("s").alias("start"), F.col("e").alias("end"), (F.col("e") - F.col("s")).alias("height"))
-    return (small.unionByName(tag(path_to(strict, hit, keys), "resolved", "bounded_safe_balanced_path"))
+    whole = hit.withColumns({"status": F.lit("resolved"), "strategy": F.lit("bounded_safe_balanced_path")})
+    part = prefix.select(*keys, "y").withColumns({"status": F.lit("partial"), "strategy": F.lit("bounded_safe_balanced_prefix")})
+    label = cut(whole.unionByName(part))  # one walk for both: a region has either a full path or a prefix
+    walked = path_to(strict, label.select(*keys, "y"), keys).join(label.drop("y"), keys).withColumn("part", F.lit("chunk"))
+    return (small.unionByName(walked)
             .unionByName(tag(path_to(loose, hit2, keys), "resolved", "bounded_safe_balanced_path_with_edge_chunk"))
-            .unionByName(tag(path_to(strict, prefix.select(*keys, "y"), keys), "partial", "bounded_safe_balanced_prefix"))
             .unionByName(tag(rest, "partial", "bounded_safe_balanced_prefix", "residual"))
             .unionByName(tag(none, "unresolved", "no_reachable_safe_path", "residual")))
 
