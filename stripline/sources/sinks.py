@@ -60,10 +60,11 @@ def promote_versioned(pieces: DataFrame, errors_of, root: str, replace: bool = F
     stream = fs.create(tmp, True)
     stream.write(bytearray(target.encode()))
     stream.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(tmp, final):
-        raise OSError("the pointer could not be replaced")
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark._jsc.hadoopConfiguration()).rename(
+        tmp.makeQualified(fs.getUri(), fs.getWorkingDirectory()), final.makeQualified(fs.getUri(), fs.getWorkingDirectory()), how)
     return target
 
 
