@@ -16,5 +16,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing,)}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.lines import drop_repeated_lines
+
+    return drop_repeated_lines(docs(spark, sf_dir), with_text=False).drop("text")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.mixing import mixed_sizes
+
+    return mixed_sizes(docs(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.quality import judge
+
+    return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op6_line_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
