@@ -9,6 +9,7 @@ out nearly equal; if the fullest exceeds the capacity, ``k`` rises by one.  Roun
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from stripline.llm.common import LAST, documents, flat, ids, null_ids
+from stripline.llm.common import documents, flat, ids, null_ids
 
 CAPACITY = 4096
-ROUND = 192 * CAPACITY  # ids packed together
-CACHED = 400_000        # words whose ids a task remembers before it starts anew
+ROUND = 64 * CAPACITY   # ids packed together
+CACHED = 1_000_000      # words whose ids a worker process remembers before it starts anew
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long")
 
 
@@ -71,53 +72,114 @@ def windows(sizes: Sequence[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
+#: Classes of ASCII: letters 1, digits 2, marks 3.  Apostrophes begin contractions and <|> special tokens: they, like all else, are 0.
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<|>"]] = 3
+SEPARATOR, SEPARATOR_ID = "<|startoftext|>", 49406
+
+
+def parted(data: bytes) -> bytes:
+    """The text with a blank between any two ASCII characters that no token spans: where letters, digits and marks meet, and between digits."""
+    buf = np.frombuffer(data, np.uint8)
+    if len(buf) < 2:
+        return data
+    k = KIND[buf]
+    gap = (k[1:] != k[:-1]) | (k[1:] == 2)
+    gap &= (k[1:] > 0) & (k[:-1] > 0)
+    at = np.flatnonzero(gap) + 1
+    if not len(at):
+        return data
+    out = np.empty(len(buf) + len(at), np.uint8)
+    blank = at + np.arange(len(at))
+    keep = np.ones(len(out), bool)
+    keep[blank] = False
+    out[blank] = 32
+    out[keep] = buf
+    return out.tobytes()
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self, fresh: list[bytes]):
+        self.fresh = fresh
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.fresh.append(word)
+        return i
+
+
 class WordIds:
     """Ids of whole texts, remembering those of the words: no token of the vocabulary crosses ASCII white space."""
 
-    def __init__(self, path: str):
+    kept: dict[tuple, WordIds] = {}  # one for each worker process and vocabulary
+    STOP = b"\xff"  # no UTF-8 text holds it: the word that ends each text
+
+    def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.separated = self.tokenizer.token_to_id(SEPARATOR) == SEPARATOR_ID
         self.clear()
 
+    @classmethod
+    def of(cls, path: str, end: int) -> WordIds:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
+        if (path, end) not in cls.kept:
+            cls.kept[path, end] = cls(path, end)
+        return cls.kept[path, end]
+
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.table, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.fresh: list[bytes] = []
+        self.index = Numbers(self.fresh)
+        self.table, self.used = np.zeros(1 << 16, np.uint32), 1
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        n = np.array([len(x) for x in got], np.int64)
-        at, total = len(self.index), int(n.sum())
+        self.index[self.STOP], self.table[0], self.count[0] = 0, self.end, 1
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has; many words go in one call, a special token between them."""
+        mark = SEPARATOR.encode()
+        if not self.separated or any(mark in w for w in words):
+            got = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+        got = []
+        for i in range(0, len(words), 256):
+            got += self.tokenizer.encode((mark.join(words[i:i + 256]) + mark).decode(), add_special_tokens=False).ids
+        ids = np.array(got, np.uint32)
+        ends = np.flatnonzero(ids == SEPARATOR_ID)
+        return ids[ids != SEPARATOR_ID], np.diff(ends, prepend=-1) - 1
+
+    def learn(self) -> None:
+        ids, n = self.ids_of(self.fresh)
+        at, total = len(self.index) - len(n), len(ids)
         while self.used + total > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        while at + len(got) > len(self.first):
+        while at + len(n) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        self.table[self.used:self.used + total] = [i for x in got for i in x]
-        self.first[at:at + len(got)] = self.used + np.cumsum(n) - n
-        self.count[at:at + len(got)] = n
-        self.index.update(zip(words, range(at, at + len(words))))
+        self.table[self.used:self.used + total] = ids
+        self.first[at:at + len(n)] = self.used + np.cumsum(n) - n
+        self.count[at:at + len(n)] = n
         self.used += total
+        self.fresh.clear()
 
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        """Ids of each text, followed by ``end``."""
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, followed by the end."""
         if len(self.index) > CACHED:
             self.clear()
-        split = [t.split() for t in texts]  # bytes: at ASCII white space
-        fresh = set().union(*split).difference(self.index)
-        if fresh:
-            self.learn(sorted(fresh))
-        out, get = [], self.index.__getitem__
-        for words in split:
-            w = np.fromiter(map(get, words), np.int64, len(words))
-            n = self.count[w]
-            stop = np.cumsum(n)
-            total = int(stop[-1]) if len(n) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:-1] = self.table[np.arange(total) + np.repeat(self.first[w] - stop + n, n)]
-            ids[-1] = end
-            out.append(ids)
-        return out
+        stop = b" " + self.STOP + b" "
+        # the vocabulary is of lower-cased text, but for special tokens, whose case counts
+        data = stop.join([t if b"<|" in t else t.lower() for t in texts]) + stop
+        words = parted(data).split()  # bytes: at ASCII white space
+        w = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            self.learn()
+        n = self.count[w]
+        after = np.cumsum(n)
+        ids = self.table[np.arange(after[-1]) + np.repeat(self.first[w] - after + n, n)]
+        return np.split(ids, after[w == 0][:-1])
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 2, with_ids: bool = False) -> DataFrame:
@@ -126,11 +188,11 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     docs: ``doc_id, text``.  A text (null: empty) gives its ids and ``end``; a piece is ``length`` of them from ``start`` on, at ``offset`` of
     ``sequence_id``.  ``padded`` is the length that the sequence is padded to: ``capacity``, or its own where that is a power of two.  With
     ``with_ids`` the ids themselves are returned too.  Repeated rows and ids are packed row by row; an empty table gives no sequence.  Sequence ids are
-    unique in one result; their order has no meaning.  ``tokenizer`` is the path of a ``tokenizers`` file, the same on all executors, whose tokens don't
-    cross ASCII white space.
+    unique in one result; their order has no meaning.  ``tokenizer`` is the path of a ``tokenizers`` file, the same on all executors, whose vocabulary is of
+    lower-cased words and whose tokens cross neither ASCII white space nor the meeting of letters, digits and marks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, context = WordIds(tokenizer), TaskContext.get()
+        words, context = WordIds.of(tokenizer, end), TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         rows: list[tuple] = []
         pieces: list[tuple] = []
@@ -167,7 +229,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
             i = 0
             while i < len(doc):
                 j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1)
-                for d, x in zip(doc[i:j], words.encode([data[off[r]:off[r + 1]] for r in range(i, j)], end)):
+                for d, x in zip(doc[i:j], words.encode([data[off[r]:off[r + 1]] for r in range(i, j)])):
                     whole = len(x) // capacity * capacity
                     for s in range(0, whole, capacity):
                         put(d, s, x[s:s + capacity], len(x), number, 0, capacity)
