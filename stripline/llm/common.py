@@ -35,8 +35,8 @@ def width(spark: SparkSession) -> int:
 
 
 def text_bytes(df: DataFrame) -> int:
-    """Spark's size estimate of what ``df`` reads, times 4 for the compression of text: it only sets numbers of blocks."""
-    return 4 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's size estimate of what ``df`` reads, times 2 for the compression of text: it only sets numbers of blocks."""
+    return 2 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts(df: DataFrame, per: int) -> int:
@@ -49,11 +49,61 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+class Docs:
+    """Documents side by side: ids (``LAST`` where missing), all bytes, and the offsets of the texts in them."""
+
+    def __init__(self, doc: np.ndarray, buf: np.ndarray, off: np.ndarray):
+        self.doc, self.buf, self.off = doc, buf, off
+        self._bytes: bytes | None = None
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def text(self, i: int) -> bytes:
+        if self._bytes is None:
+            self._bytes = self.buf.tobytes()
+        return self._bytes[self.off[i]:self.off[i + 1]]
+
+
 def blocked(docs: DataFrame, per: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, text, _b``: a block is one group of bounded size, several to a partition so that partitions even out."""
+    """Documents by block ``_b``, a group of bounded size, in packed rows: the texts that one task has for one block are compressed together.
+
+    There are several blocks to a partition so that partitions even out.
+    """
     n = parts(docs, 2 * per)
-    d = documents(docs)
-    return d.withColumn("_b", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), F.lit(7)), F.lit(3 * n))).repartition(n, "_b")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+            buf, off = flat(batch.column(1))
+            block = (mix(doc.astype(np.uint64) * np.uint64(5)) % np.uint64(2 * n)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            d, size = Docs(doc, buf, off), np.diff(off)
+            at = groups(block[order])
+            rows = []
+            for x in np.split(order, at[1:]):
+                data = b"".join([d.text(i) for i in x.tolist()])
+                rows.append((int(block[x[0]]), doc[x].tobytes(), size[x].tobytes(), codec.compress(data, asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))], ["_b", "docs", "sizes", "texts"])
+    return documents(docs).mapInArrow(pack, "_b long, docs binary, sizes binary, texts binary").repartition(n, "_b")
+
+
+def unpacked(t: pa.Table) -> Docs:
+    """A block's documents by ascending id, those that share an id by text: an order that doesn't depend on how rows arrived."""
+    codec = pa.Codec("zstd")
+    doc = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in blobs(t.column("docs"))]])
+    sizes = [np.frombuffer(x, np.int64) for x in blobs(t.column("sizes"))]
+    data = b"".join([codec.decompress(x, int(n.sum()), asbytes=True) if n.sum() else b"" for x, n in zip(t.column("texts").to_pylist(), sizes)])
+    size = np.concatenate([np.zeros(0, np.int64), *sizes])
+    end = np.cumsum(size)
+    order = np.argsort(doc, kind="stable")
+    if len(doc) and (np.diff(doc[order]) == 0).any():
+        order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i], data[end[i] - size[i]:end[i]])))
+    data = b"".join([data[z - n:z] for z, n in zip(end[order].tolist(), size[order].tolist())])
+    return Docs(doc[order], np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64))
 
 
 def serve(requests: DataFrame, n: int, answer: Callable[[pa.Table], Iterable[pa.Table]], schema: str, key: str = "_s") -> DataFrame:
@@ -83,11 +133,6 @@ def null_ids(x: np.ndarray) -> pa.Array:
     return pa.array(x, pa.int64(), mask=x == LAST)
 
 
-def ordered(t: pa.Table) -> pa.Table:
-    """A block's rows in an order that does not depend on how they arrived."""
-    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if t.num_rows > 1 else t
-
-
 def flat(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offsets of its rows, without copying rows one by one."""
     a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

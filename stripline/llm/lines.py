@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stripline.llm.common import (BLOCK_BYTES, LOWER, SHARD_BYTES, SPACE, blobs, blocked, cuts, flat, groups, ids, meet, mix, null_ids, parts,
-                                  per_block, serve, slices, span_hashes)
+from stripline.llm.common import (BLOCK_BYTES, LOWER, SHARD_BYTES, SPACE, Docs, blobs, blocked, cuts, groups, meet, mix, null_ids, parts,
+                                  per_block, serve, slices, span_hashes, unpacked)
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, text string"
@@ -94,10 +95,10 @@ class LineIndex:
         return np.where(known, self.count[place], 0), self.last[place]
 
 
-def line_keys(t: pa.Table, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, row offsets, starts and ends of all lines, number of lines before each row (rows + 1), line hashes (0: too short)."""
-    buf, off = flat(t.column("text"))
-    starts, ends, counts, keys = [], [], [0], []
+def line_keys(d: Docs, least_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of lines before each row (rows + 1), line hashes (0: too short)."""
+    buf, off = d.buf, d.off
+    counts, keys = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)]
     for i, j in slices(off):
         part = buf[off[i]:off[j]]
         local = off[i:j + 1] - off[i]
@@ -108,14 +109,10 @@ def line_keys(t: pa.Table, least_chars: int) -> tuple[np.ndarray, np.ndarray, np
         chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
         h = span_hashes(LOWER[part], a, b)
         h[chars[b] - chars[a] < least_chars] = 0
-        starts.append(starts_ + off[i])
-        ends.append(ends_ + off[i])
         keys.append(h)
         in_row = np.concatenate([[0], np.cumsum(part == 10)])[local]
         counts.append(np.diff(in_row) + 1)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    n = np.cumsum(np.concatenate([[0], *counts[1:]]).astype(np.int64))
-    return buf, off, cat(starts), cat(ends), n, cat(keys).astype(np.uint64)
+    return np.cumsum(np.concatenate(counts)), np.concatenate(keys)
 
 
 def strip(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +139,10 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_d
     shards = parts(docs, 4 * SHARD_BYTES)
 
     def ask(t: pa.Table) -> pa.Table:
-        doc = ids(t)
-        *_, n, key = line_keys(t, least_chars)
-        row = np.repeat(np.arange(t.num_rows), np.diff(n))
+        d = unpacked(t)
+        doc = d.doc
+        n, key = line_keys(d, least_chars)
+        row = np.repeat(np.arange(len(d)), np.diff(n))
         use = key != 0
         key, row = key[use], row[use]
         order = np.lexsort((row, key))
@@ -177,25 +175,24 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_d
             yield pa.table([pa.array(x, y) for x, y in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["_b", "key", "last"])
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
-        doc = ids(t)
-        buf, off, starts, ends, n, key = line_keys(t, least_chars)
+        d = unpacked(t)
+        doc = d.doc
+        n, key = line_keys(d, least_chars)
         many = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in blobs(got.column("key"))]])
         last = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in blobs(got.column("last"))]])
         order = np.argsort(many)
         many, last = many[order], last[order]
-        row = np.repeat(np.arange(t.num_rows), np.diff(n))
+        row = np.repeat(np.arange(len(d)), np.diff(n))
         drop = np.zeros(len(key), bool)
         if len(many):
             at = np.minimum(np.searchsorted(many, key), len(many) - 1)
             drop = (many[at] == key) & (key != 0) & (last[at] != doc[row])
         dropped = np.concatenate([[0], np.cumsum(drop)])[n]
-        data, sha, texts = buf.tobytes(), [], []
-        for r in range(t.num_rows):
-            if dropped[r + 1] == dropped[r]:
-                kept = data[off[r]:off[r + 1]]
-            else:
-                stay = np.flatnonzero(~drop[n[r]:n[r + 1]]) + n[r]
-                kept = b"\n".join(data[a:b] for a, b in zip(starts[stay].tolist(), ends[stay].tolist()))
+        sha, texts = [], []
+        for r in range(len(d)):
+            kept = d.text(r)
+            if dropped[r + 1] > dropped[r]:
+                kept = b"\n".join(compress(kept.split(b"\n"), (~drop[n[r]:n[r + 1]]).tolist()))
             sha.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept if with_text else None)
         return pa.table([null_ids(doc), pa.array(np.diff(n), pa.int64()), pa.array(np.diff(dropped), pa.int64()), pa.array(sha, pa.string()),

@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     per = per.withColumn("_k", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long")).withColumn("_w", w)
     per = per.withColumn("_cap", repeats * F.col("source_size")).withColumn("_fill", F.col("_cap") / F.col("_w"))
     whole, before = W.partitionBy(), W.orderBy("_fill", "_k").rowsBetween(W.unboundedPreceding, -1)
-    left = F.least(share, F.lit(float(repeats))) * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
+    left = min(share, repeats) * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
     per = per.withColumn("_level", left / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
     per = per.withColumn("_free", F.col("_fill") > F.col("_level"))
     level = F.first(F.when(F.col("_free"), F.col("_level")), ignorenulls=True).over(W.orderBy("_fill", "_k").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))

@@ -16,6 +16,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.anchors import remove_repeats
+
+    return remove_repeats(docs(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripline.llm.lines import drop_repeated_lines
 
@@ -28,11 +34,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(docs(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.lm import score_texts
+
+    return score_texts(docs(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripline.llm.quality import judge
 
     return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op6_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op6_line_dedup, op8_lm_scoring, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
