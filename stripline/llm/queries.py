@@ -22,6 +22,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.suffixes import remove_substrings
+
+    return remove_substrings(docs(spark, sf_dir), with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripline.llm.lines import drop_repeated_lines
 
@@ -46,5 +52,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op6_line_dedup, op8_lm_scoring, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op8_lm_scoring, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
