@@ -40,6 +40,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(docs(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.jaccard import similar_groups
+
+    return similar_groups(docs(spark, sf_dir))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripline.llm.lm import score_texts
 
@@ -52,5 +58,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op8_lm_scoring, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join, op8_lm_scoring, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
