@@ -52,11 +52,18 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs(spark, sf_dir))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.digests import fingerprints
+
+    return fingerprints(docs(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripline.llm.quality import judge
 
     return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join, op8_lm_scoring, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join, op8_lm_scoring, op9_fingerprints,
+                                   op10_quality_rules)}
 ORACLES: dict[str, str] = {}
