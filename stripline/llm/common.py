@@ -9,14 +9,15 @@ of all documents hold is one entry per block, whatever its count, so no shard an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12 << 20   # text of a block
-SHARD_BYTES = 24 << 20   # packed hashes that a shard gathers
+BLOCK_BYTES = 8 << 20    # text of a block
+SHARD_BYTES = 16 << 20   # text whose hashes a shard gathers, about as many bytes packed
 SLICE_BYTES = 1 << 20    # text that numpy works on at once
 LAST = np.iinfo(np.int64).max  # stands for a missing doc_id, which is ordered last
 
@@ -34,26 +35,32 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(df: DataFrame) -> int:
-    """Spark's size estimate of what ``df`` reads, times 2 for the compression of text: it only sets numbers of blocks."""
-    return 2 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+_sizes: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
-def parts(df: DataFrame, per: int) -> int:
-    """Partitions of about ``per`` bytes each, at least as many as the session shuffles into."""
-    return int(min(1 << 20, max(width(df.sparkSession), -(-text_bytes(df) // per))))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, counted once for each frame; it only sets numbers of blocks and shards."""
+    if docs not in _sizes:
+        _sizes[docs] = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _sizes[docs]
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """The two columns the operators read, whatever else there is; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def parts(docs: DataFrame, per: int) -> int:
+    """Partitions for about ``per`` bytes of text each, at least as many as the session shuffles into."""
+    return max(width(docs.sparkSession), -(-text_bytes(docs) // per))
+
+
+def documents(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """The columns the operators read, whatever else there is; a null text counts as empty."""
+    more = [F.coalesce(F.col(carry).cast("string"), F.lit("")).alias("carry")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 class Docs:
     """Documents side by side: ids (``LAST`` where missing), all bytes, and the offsets of the texts in them."""
 
-    def __init__(self, doc: np.ndarray, buf: np.ndarray, off: np.ndarray):
-        self.doc, self.buf, self.off = doc, buf, off
+    def __init__(self, doc: np.ndarray, buf: np.ndarray, off: np.ndarray, carry: list[bytes] | None = None):
+        self.doc, self.buf, self.off, self.carry = doc, buf, off, carry
         self._bytes: bytes | None = None
 
     def __len__(self) -> int:
@@ -65,10 +72,24 @@ class Docs:
         return self._bytes[self.off[i]:self.off[i + 1]]
 
 
-def blocked(docs: DataFrame, per: int = BLOCK_BYTES) -> DataFrame:
+def _packed(rows: list[bytes], codec: pa.Codec) -> tuple[bytes, bytes]:
+    """Sizes of some values, and the values compressed together."""
+    return np.array([len(x) for x in rows], np.int64).tobytes(), codec.compress(b"".join(rows), asbytes=True)
+
+
+def _rows(sizes: list[bytes], data: list[bytes]) -> list[bytes]:
+    codec, out = pa.Codec("zstd"), []
+    for s, x in zip(sizes, data):
+        ends = np.cumsum(np.frombuffer(s, np.int64)).tolist()
+        x = codec.decompress(x, ends[-1], asbytes=True) if ends[-1] else b""
+        out += [x[a:z] for a, z in zip([0, *ends], ends)]
+    return out
+
+
+def blocked(docs: DataFrame, per: int = BLOCK_BYTES, carry: str | None = None) -> DataFrame:
     """Documents by block ``_b``, a group of bounded size, in packed rows: the texts that one task has for one block are compressed together.
 
-    There are several blocks to a partition so that partitions even out.
+    There are several blocks to a partition so that partitions even out.  ``carry`` names a string column that goes along.
     """
     n = parts(docs, 2 * per)
 
@@ -78,32 +99,34 @@ def blocked(docs: DataFrame, per: int = BLOCK_BYTES) -> DataFrame:
             if not batch.num_rows:
                 continue
             doc = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-            buf, off = flat(batch.column(1))
+            d = Docs(doc, *flat(batch.column(1)))
+            c = Docs(doc, *flat(batch.column(2))) if carry else None
             block = (mix(doc.astype(np.uint64) * np.uint64(5)) % np.uint64(2 * n)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            d, size = Docs(doc, buf, off), np.diff(off)
-            at = groups(block[order])
             rows = []
-            for x in np.split(order, at[1:]):
-                data = b"".join([d.text(i) for i in x.tolist()])
-                rows.append((int(block[x[0]]), doc[x].tobytes(), size[x].tobytes(), codec.compress(data, asbytes=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))], ["_b", "docs", "sizes", "texts"])
-    return documents(docs).mapInArrow(pack, "_b long, docs binary, sizes binary, texts binary").repartition(n, "_b")
+            for x in np.split(order, groups(block[order])[1:]):
+                i = x.tolist()
+                rows.append((int(block[i[0]]), doc[x].tobytes(), *_packed([d.text(k) for k in i], codec), *(_packed([c.text(k) for k in i], codec) if c else ())))
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(x, pa.binary()) for x in cols[1:]]], [x.split()[0] for x in schema.split(", ")])
+
+    schema = "_b long, docs binary, sizes binary, texts binary" + (", carry_sizes binary, carry binary" if carry else "")
+    return documents(docs, carry).mapInArrow(pack, schema).repartition(n, "_b")
 
 
 def unpacked(t: pa.Table) -> Docs:
     """A block's documents by ascending id, those that share an id by text: an order that doesn't depend on how rows arrived."""
-    codec = pa.Codec("zstd")
     doc = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in blobs(t.column("docs"))]])
-    sizes = [np.frombuffer(x, np.int64) for x in blobs(t.column("sizes"))]
-    data = b"".join([codec.decompress(x, int(n.sum()), asbytes=True) if n.sum() else b"" for x, n in zip(t.column("texts").to_pylist(), sizes)])
-    size = np.concatenate([np.zeros(0, np.int64), *sizes])
-    end = np.cumsum(size)
+    text = _rows(blobs(t.column("sizes")), blobs(t.column("texts")))
+    carry = _rows(blobs(t.column("carry_sizes")), blobs(t.column("carry"))) if "carry" in t.column_names else None
     order = np.argsort(doc, kind="stable")
-    if len(doc) and (np.diff(doc[order]) == 0).any():
-        order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i], data[end[i] - size[i]:end[i]])))
-    data = b"".join([data[z - n:z] for z, n in zip(end[order].tolist(), size[order].tolist())])
-    return Docs(doc[order], np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64))
+    if (np.diff(doc[order]) == 0).any():
+        order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i], text[i], carry[i] if carry else b"")))
+    i = order.tolist()
+    text = [text[k] for k in i]
+    off = np.zeros(len(text) + 1, np.int64)
+    np.cumsum([len(x) for x in text], out=off[1:])
+    return Docs(doc[order], np.frombuffer(b"".join(text), np.uint8), off, [carry[k] for k in i] if carry else None)
 
 
 def serve(requests: DataFrame, n: int, answer: Callable[[pa.Table], Iterable[pa.Table]], schema: str, key: str = "_s") -> DataFrame:

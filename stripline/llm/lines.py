@@ -127,17 +127,19 @@ def strip(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, per_block_bytes: int = BLOCK_BYTES,
-                        with_text: bool = True) -> DataFrame:
+                        with_text: bool = True, carry: str | None = None) -> DataFrame:
     """Texts without the lines that ``least_docs`` documents share, but for those in the largest doc_id that holds them.
 
     docs: ``doc_id, text``.  Lines are the parts between \\n (a null or empty text is one empty line); their key is stripped of ASCII white space and
     A-Z lower-cased, and counts from ``least_chars`` code points on.  A repeated row counts as another document; rows that share the
     largest doc_id all keep the line.  A missing doc_id is the largest.  Returns ``doc_id, n_lines, n_dropped, kept_sha256, text``, a row for each row;
-    ``text`` is null unless ``with_text``.  Equal 64-bit hashes count as equal lines.
+    ``text`` is null unless ``with_text``; a string column named by ``carry`` goes along.  Equal 64-bit hashes count as equal lines.
     """
-    blocks = blocked(docs, per_block_bytes)
+    blocks = blocked(docs, per_block_bytes, carry)
     shards = parts(docs, 4 * SHARD_BYTES)
 
+    schema = SCHEMA + (", carry string" if carry else "")
+
     def ask(t: pa.Table) -> pa.Table:
         d = unpacked(t)
         doc = d.doc
@@ -195,8 +197,11 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_d
                 kept = b"\n".join(compress(kept.split(b"\n"), (~drop[n[r]:n[r + 1]]).tolist()))
             sha.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept if with_text else None)
-        return pa.table([null_ids(doc), pa.array(np.diff(n), pa.int64()), pa.array(np.diff(dropped), pa.int64()), pa.array(sha, pa.string()),
-                         pa.array(texts, pa.binary()).cast(pa.string())], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        cols = [null_ids(doc), pa.array(np.diff(n), pa.int64()), pa.array(np.diff(dropped), pa.int64()), pa.array(sha, pa.string()),
+                pa.array(texts, pa.binary()).cast(pa.string())]
+        if carry:
+            cols.append(pa.array(d.carry, pa.binary()).cast(pa.string()))
+        return pa.table(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     requests = per_block(blocks, ask, "_s int, _b long, key binary, count binary, last binary")
-    return meet(blocks, serve(requests, shards, answer, "_b long, key binary, last binary"), finish, SCHEMA)
+    return meet(blocks, serve(requests, shards, answer, "_b long, key binary, last binary"), finish, schema)

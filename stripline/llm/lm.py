@@ -20,12 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripline.llm.common import (BLOCK_BYTES, LOWER, SHARD_BYTES, blobs, blocked, cuts, deal, documents, flat, groups, meet, mix, null_ids, parts, per_block,
+from stripline.llm.common import (BLOCK_BYTES, LOWER, blobs, blocked, cuts, deal, documents, flat, groups, meet, mix, null_ids, parts, per_block,
                                   serve, slices, span_hashes, unpack48, unpacked, word_spans)
 from stripline.session import cut
 
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
+SHARD_BYTES = 8 << 20  # a shard counts arcs, which takes about ten times their packed size
 FREQUENT = 1 / 1000  # words of a larger share of the tokens (so fewer than 1000) have their successors spread
 START, END = np.uint64(0x5157A27), np.uint64(0xE2D0F7E)
 SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -107,9 +108,10 @@ def merged(state: np.ndarray, arc: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     key = mix(state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ arc)
     order = np.argsort(key, kind="stable")
     at = groups(key[order])
+    del key, arc
     total = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    back = np.empty(len(key), np.int64)
-    back[order] = np.repeat(total, np.diff(np.append(at, len(key))))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(total, np.diff(np.append(at, len(order))))
     return back, state[order[at]][total > 0]
 
 

@@ -150,4 +150,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **param
     limits = cut(thresholds(m, labels, stratum, **params))
     p = "_quality_"
     out = measured(docs, prefix=p).join(limits, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == limits["_stratum"], "left")
-    return out.filter(verdict(rules, p)).select(*docs.columns)
+    # one condition on both sides of the join: parts of it alone would be pushed below the measures and repeat these many times over
+    good = F.when(F.col(f"{p}base_failed"), False).otherwise(verdict(rules, p))
+    return out.filter(good).select(*docs.columns)

@@ -34,6 +34,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs(spark, sf_dir), with_text=False).drop("text")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.licences import scan_licences
+
+    return scan_licences(docs(spark, sf_dir)).drop("found")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripline.llm.mixing import mixed_sizes
 
@@ -64,6 +70,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join, op8_lm_scoring, op9_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join, op8_lm_scoring, op9_fingerprints,
                                    op10_quality_rules)}
 ORACLES: dict[str, str] = {}
