@@ -30,7 +30,7 @@ def image_job(images: DataFrame, keys: Sequence[str], ddl: str, fn: Callable, ex
                 w, h = cols["width"][i].as_py(), cols["height"][i].as_py()
                 if not w or not h or w < 0:
                     continue
-                px = np.frombuffer(cols["data"][i].as_buffer(), dtype=np.uint8, count=w * h * 3).reshape(h, w, 3)
+                px = three_channels(np.frombuffer(cols["data"][i].as_buffer(), dtype=np.uint8), h, w)
                 res = fn(px, {c: cols[c][i].as_py() for c in extra})
                 n = len(res[names[0]])
                 if n:
@@ -41,6 +41,16 @@ def image_job(images: DataFrame, keys: Sequence[str], ddl: str, fn: Callable, ex
     return need.mapInArrow(run, f"{kt}, {ddl}")
 
 
+def three_channels(data, h: int, w: int):
+    """Pixels in BGR order: gray is repeated, the alpha of a fourth channel dropped."""
+    import numpy as np
+
+    px = data.reshape(h, w, -1)
+    if px.shape[2] not in (1, 3, 4):
+        raise ValueError(f"{px.shape[2]} channels in an image of {w} x {h}")
+    return np.repeat(px, 3, axis=2) if px.shape[2] == 1 else px[..., :3]
+
+
 def luminance(px):
     """Integer luma of the usual 601 weights."""
     import numpy as np
@@ -81,29 +91,44 @@ def slice_features(images: DataFrame, keys: Sequence[str], content: int = 242, b
     return image_job(images, keys, "mean double, std double, content double, bright double, dark double, row_std double", fn)
 
 
+def row_sums(px):
+    """Per row and channel: sum and sum of squares; per row: sum of absolute steps to the right, and down to the next row (0 on the last)."""
+    import numpy as np
+
+    p = px.astype(np.int64)
+    down = np.zeros(len(p), np.int64)
+    down[:-1] = np.abs(p[1:] - p[:-1]).sum(axis=(1, 2))
+    return p.sum(axis=1), (p * p).sum(axis=1), np.abs(p[:, 1:] - p[:, :-1]).sum(axis=(1, 2)), down
+
+
+def flatness(px, first, height: int):
+    """Largest channel deviation and larger mean step of the strips of ``height`` rows that begin at the rows ``first``, from running row sums."""
+    import numpy as np
+
+    def over(x, rows):
+        total = np.concatenate([np.zeros((1, *x.shape[1:]), np.int64), np.cumsum(x, axis=0)])
+        return total[first + rows] - total[first]
+
+    one, two, right, down = row_sums(px)
+    n, w = height * px.shape[1], px.shape[1]
+    mean = over(one, height) / n
+    spread = np.sqrt(np.maximum(over(two, height) / n - mean * mean, 0)).max(axis=1)
+    across = over(right, height) / max(1, height * (w - 1) * 3)
+    along = over(down, height - 1) / max(1, (height - 1) * w * 3)
+    return spread, np.maximum(across, along)
+
+
 def strip_scan(images: DataFrame, keys: Sequence[str], std_max: float = 7.0, edge_max: float = 10.0, height: int = 18, sample: int = 256) -> DataFrame:
     """Flat strips of ``height`` rows every half height; the centre columns and the full width must both pass."""
     def fn(px, _):
         import numpy as np
 
-        f = px.astype(np.float64)
-        w = f.shape[1]
-        sw = min(sample, w)
-        x0 = max(0, (w - sw) // 2)
-
-        def measure(a):
-            dx = np.abs(np.diff(a, axis=1)).mean() if a.shape[1] > 1 else 0.0
-            dy = np.abs(np.diff(a, axis=0)).mean() if a.shape[0] > 1 else 0.0
-            return a.reshape(-1, 3).std(axis=0).max(), max(dx, dy)
-
-        got = []
-        for y in range(0, len(f) - height + 1, max(4, height // 2)):
-            s, e = measure(f[y:y + height, x0:x0 + sw])
-            fs, fe = measure(f[y:y + height])
-            if s <= std_max and e <= edge_max and fs <= std_max and fe <= edge_max:
-                got.append((y, y + height // 2, s, e, fs, fe))
-        names = ["y", "center", "uniform_std", "edge_mean", "full_std", "full_edge"]
-        return {k: [g[i] for g in got] for i, k in enumerate(names)}
+        first = np.arange(0, max(0, len(px) - height + 1), max(4, height // 2))
+        margin = max(0, px.shape[1] - sample) // 2
+        middle, whole = flatness(px[:, margin:margin + sample], first, height), flatness(px, first, height)
+        keep = np.all([m <= most for part in (middle, whole) for m, most in zip(part, (std_max, edge_max))], axis=0)
+        cols = dict(zip(("uniform_std", "edge_mean", "full_std", "full_edge"), (*middle, *whole)))
+        return {"y": first[keep], "center": first[keep] + height // 2, **{k: v[keep] for k, v in cols.items()}}
 
     return image_job(images, keys, "y long, center long, uniform_std double, edge_mean double, full_std double, full_edge double", fn)
 
@@ -199,9 +224,8 @@ def crop_rows(images: DataFrame, start: str, stop: str) -> DataFrame:
     """Row slice of every image as bytes, by a substring of the pixel data: no Python involved."""
     from pyspark.sql import functions as F
 
-    at = F.col(start) * F.col("width") * 3 + 1
-    size = (F.col(stop) - F.col(start)) * F.col("width") * 3
-    return images.withColumn("slice", F.substring("data", at.cast("int"), size.cast("int")))
+    row = F.expr("octet_length(data) div height")
+    return images.withColumn("slice", F.substring("data", (F.col(start) * row + 1).cast("int"), ((F.col(stop) - F.col(start)) * row).cast("int")))
 
 
 def stack_rows(slices: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -209,4 +233,4 @@ def stack_rows(slices: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "slice"))), lambda x: x["slice"])
-    return slices.groupBy(*keys).agg(F.aggregate(parts, F.lit(b""), lambda a, s: F.concat(a, s)).alias("data"), F.count(F.lit(1)).alias("n_slices"))
+    return slices.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(parts, F.hex), "")).alias("data"), F.count(F.lit(1)).alias("n_slices"))

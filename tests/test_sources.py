@@ -116,3 +116,33 @@ def test_object_pages(spark):
     df = spark.createDataFrame([(1, bytearray(body)), (2, bytearray(b""))], "id long, content binary")
     got = {r.id: (r.header_ok, r.pages, r.is_empty) for r in G.object_pages(df).collect()}
     assert got == {1: (True, 3, False), 2: (False, 0, True)}
+
+
+def test_channels_agree(spark):
+    """Gray, colour and colour with alpha give the same rows, strips and crops of the same picture."""
+    rng = np.random.default_rng(1)
+    gray = np.repeat(rng.integers(0, 256, (40, 1)), 24, axis=1).astype(np.uint8)
+    gray[8:30] = 200
+    three = np.repeat(gray[..., None], 3, axis=2)
+    four = np.concatenate([three, rng.integers(0, 256, (40, 24, 1)).astype(np.uint8)], axis=2)
+    df = spark.createDataFrame([(k, 24, 40, bytearray(a.tobytes())) for k, a in enumerate((gray, three, four))], "id long, width int, height int, data binary")
+    for job in (I.row_profile, I.slice_features, lambda d, k: I.strip_scan(d, k, height=8)):
+        per = {}
+        for r in job(df, ["id"]).collect():
+            per.setdefault(r.id, []).append(tuple(r)[1:])
+        assert len(per) == 3 and sorted(per[0]) == sorted(per[1]) == sorted(per[2])
+    crops = {r.id: bytes(r.slice) for r in I.crop_rows(df.withColumns({"a": F.lit(5), "b": F.lit(9)}), "a", "b").collect()}
+    assert crops == {0: gray[5:9].tobytes(), 1: three[5:9].tobytes(), 2: four[5:9].tobytes()}
+
+
+def test_strip_scan_measures(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(90, 110, (50, 31, 3)).astype(np.uint8)
+    df = spark.createDataFrame([(1, 31, 50, bytearray(a.tobytes()))], "id long, width int, height int, data binary")
+    got = {r.y: r for r in I.strip_scan(df, ["id"], 99.0, 99.0, height=10, sample=12).collect()}
+    assert sorted(got) == list(range(0, 41, 5))
+    for y, r in got.items():
+        for part, spread, edge in ((a[y:y + 10, 9:21], r.uniform_std, r.edge_mean), (a[y:y + 10], r.full_std, r.full_edge)):
+            f = part.astype(float)
+            assert spread == pytest.approx(max(f[..., c].std() for c in range(3)))
+            assert edge == pytest.approx(max(np.abs(np.diff(f, axis=1)).mean(), np.abs(np.diff(f, axis=0)).mean()))
