@@ -153,28 +153,33 @@ def anchor_snap(anchors: DataFrame, boundaries: DataFrame, safe: DataFrame, keys
 def residual_walk(decided: DataFrame, regions: DataFrame, radius: int = 200, max_chunk: int = 12000, keys: Sequence[str] = CH) -> tuple[DataFrame, DataFrame]:
     """Walk every region from its start: the next cut is the position ``max_chunk`` further or its best SAFE neighbour.
 
-    Returns the proven pieces and the residuals with the reason that stopped the walk.  ``regions``: keys, ``s``, ``e``.
+    Returns the proven pieces and the residuals with the reason that stopped the walk; a position without evidence proves nothing, so it ends the walk
+    with the reason ``no_evidence``.  ``regions``: keys, ``s``, ``e``; a key may have several that don't overlap.
     """
     from stripline.functions.rules import scene_guard
     from stripline.operators.blocks import orbit
+    from stripline.operators.paths import ZONE, into_zones, zoned
     from stripline.session import cut
 
-    keys = list(keys)
-    r = regions.select(*keys, "s", "e")
-    stops = point_join(decided.filter("decision = 'SAFE'").select(*keys, F.col("y").alias("cur")), r, keys, "cur", ("s", "e"))
-    at = r.withColumn("cur", F.col("s")).unionByName(stops).distinct().filter(F.col("e") - F.col("cur") > max_chunk)
+    r = zoned(regions.select(*keys, "s", "e"))
+    stops = into_zones(decided.filter("decision = 'SAFE'").select(*keys, F.col("y").alias("cur")), r, list(keys), "cur").join(r, [*keys, ZONE])
+    near, keys = list(keys), [*keys, ZONE]
+    at = r.withColumn("cur", F.col("s")).unionByName(stops.select(*keys, "s", "e", "cur")).distinct().filter(F.col("e") - F.col("cur") > max_chunk)
     nominal = at.withColumn("y", F.col("cur") + max_chunk)
-    look = nominal.join(decided.select(*keys, "y", "decision", "reason", "edge_density"), [*keys, "y"])
-    found = local_search(decided, look.select(*keys, "y", "decision").distinct(), radius, keys).select(*keys, "y", "chosen")
-    e = look.join(found, [*keys, "y"]).withColumn(
+    look = nominal.join(decided.select(*near, "y", "decision", "reason", "edge_density"), [*near, "y"], "left")
+    found = local_search(decided, look.filter("decision is not null").select(*near, "y", "decision").distinct(), radius, near).select(*near, "y", "chosen")
+    e = look.join(found, [*near, "y"], "left").withColumn(
         "nxt", F.when((F.col("chosen") > F.col("cur")) & (F.col("chosen") < F.col("e")), F.col("chosen")))
-    e = cut(e.select(*keys, "s", "e", "cur", "nxt", "decision", "reason"))
+    e = cut(e.select(*keys, "s", "e", "cur", "nxt", "decision", F.when(F.col("decision").isNull(), "no_evidence").otherwise(F.col("reason")).alias("reason")))
     seen = cut(orbit(e.select(*keys, F.col("cur").alias("pos"), "nxt"), r.select(*keys, F.col("s").alias("pos")), keys)
                .select(*keys, F.col("pos").alias("cur")).join(e, [*keys, "cur"]))
     steps = seen.filter("nxt is not null").select(*keys, F.col("cur").alias("start"), F.col("nxt").alias("end"), "reason")
     stuck = seen.filter("nxt is null")
-    residual = stuck.select(*keys, F.col("cur").alias("start"), "e", "decision", F.col("reason").alias("trigger_reason"),
-                            F.coalesce(scene_guard(F.col("e") - F.col("cur")), F.col("reason")).alias("reason")).withColumnRenamed("e", "end")
+    guard = F.when(F.col("decision").isNotNull(), scene_guard(F.col("e") - F.col("cur")))
+    residual = stuck.select(*near, F.col("cur").alias("start"), "e", "decision", F.col("reason").alias("trigger_reason"),
+                            F.coalesce(guard, F.col("reason")).alias("reason")).withColumnRenamed("e", "end")
     last = r.join(stuck.select(*keys), keys, "left_anti").join(steps.groupBy(*keys).agg(F.max("end").alias("_l")), keys, "left").select(
         *keys, F.coalesce("_l", "s").alias("start"), F.col("e").alias("end"), F.lit("remaining_within_max_height").alias("reason"))
-    return steps.unionByName(last.filter("start < end")), residual
+    fits = F.assert_true(F.col("end") - F.col("start") <= max_chunk, F.lit("a piece without evidence would count as proven"))
+    last = last.filter("start < end").withColumn("reason", F.when(fits.isNull(), F.col("reason")))
+    return steps.unionByName(last).drop(ZONE), residual

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripline.operators.blocks import best, orbit, point_join, sessions, size_of, spread, top_k
+from stripline.operators.blocks import best, orbit, overlap_join, point_join, sessions, size_of, spread, top_k
 from stripline.operators.cuts import MAX_CHUNK, MIN_BAND, MIN_CHUNK, TARGET
 from stripline.session import cut
 
@@ -20,6 +20,19 @@ STATE = ["prev", "edge", "shortfall", "deviation", "cmax", "cmin", "chunks", "qu
 STATE_DDL = "prev long, edge long, shortfall long, deviation long, cmax long, cmin long, chunks long, quality double, lex long"
 
 
+ZONE = "_zone"  # start of a region: with the keys it names the region, of which a chapter may have many
+
+
+def zoned(regions: DataFrame) -> DataFrame:
+    return regions.withColumn(ZONE, F.col("s"))
+
+
+def into_zones(points: DataFrame, regions: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Points of the keys' regions, each with its region; regions of a key don't overlap."""
+    z = regions.select(*keys, ZONE, F.col("s").alias("_zs"), F.col("e").alias("_ze"))
+    return point_join(points, z, keys, at, ("_zs", "_ze")).drop("_zs", "_ze")
+
+
 def kernel(nodes: dict, *, target: int, lo: int, hi: int, prefer: int, small_edges: bool, first_wins: bool, keep_from: float):
     """Best path of every node of one slice.
 
@@ -214,7 +227,11 @@ def balanced_path(regions: DataFrame, bands: DataFrame, pages: DataFrame, prefer
     A strict path to the end, else one with a small chunk at an edge, else the best strict prefix with a residual, else
     the whole region as residual.  Columns: keys, ``start``, ``end``, ``height``, ``status``, ``strategy``, ``part``.
     """
-    keys = list(keys)
+    regions = zoned(regions)
+    bands = into_zones(bands, regions, list(keys), "center")
+    touched = regions.select(*keys, ZONE, F.col("s").alias("_zs"), (F.col("e") + 1).alias("_ze"))
+    pages = overlap_join(pages.filter("ge > gs").withColumn("_stop", F.col("ge") + 1), touched, list(keys), ("gs", "_stop"), ("_zs", "_ze")).drop("_stop", "_zs", "_ze")
+    keys = [*keys, ZONE]
     nodes = cut(balanced_nodes(regions, bands, pages, keys))
     end = nodes.filter("role = 2").select(*keys, "y")
     small = regions.filter(F.col("e") - F.col("s") <= MAX_CHUNK).select(
@@ -244,7 +261,7 @@ def balanced_path(regions: DataFrame, bands: DataFrame, pages: DataFrame, prefer
     return (small.unionByName(walked)
             .unionByName(tag(path_to(loose, hit2, keys), "resolved", "bounded_safe_balanced_path_with_edge_chunk"))
             .unionByName(tag(rest, "partial", "bounded_safe_balanced_prefix", "residual"))
-            .unionByName(tag(none, "unresolved", "no_reachable_safe_path", "residual")))
+            .unionByName(tag(none, "unresolved", "no_reachable_safe_path", "residual"))).drop(ZONE)
 
 
 def safe_nodes(regions: DataFrame, safe: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
@@ -259,6 +276,11 @@ def safe_nodes(regions: DataFrame, safe: DataFrame, keys: Sequence[str] = CH) ->
 
 def complete_path(regions: DataFrame, safe: DataFrame, keys: Sequence[str] = CH, width: int | None = None) -> DataFrame:
     """Chunks of the best complete path of every region that has one.  Regions within the maximum are one chunk."""
+    regions = zoned(regions)
+    return _complete_path(regions, into_zones(safe, regions, list(keys), "y"), [*keys, ZONE], width).drop(ZONE)
+
+
+def _complete_path(regions: DataFrame, safe: DataFrame, keys: Sequence[str], width: int | None) -> DataFrame:
     keys = list(keys)
     small = regions.filter(F.col("e") - F.col("s") <= MAX_CHUNK).select(*keys, F.col("s").alias("start"), F.col("e").alias("end"), (F.col("e") - F.col("s")).alias("height"))
     big = regions.filter(F.col("e") - F.col("s") > MAX_CHUNK)
@@ -271,10 +293,12 @@ def exhaustive_composition(regions: DataFrame, safe: DataFrame, step: int = 1, k
 
     Columns: keys, ``start``, ``end``, ``height``, ``passes``, ``part``.
     """
-    keys = list(keys)
-    even = cut(complete_path(regions, safe.filter((F.floor(F.col("y") / step) % 2) == 0), keys, width))
+    regions = zoned(regions)
+    safe = cut(into_zones(safe.select(*keys, "y"), regions, list(keys), "y"))
+    keys = [*keys, ZONE]
+    even = cut(_complete_path(regions, safe.filter((F.floor(F.col("y") / step) % 2) == 0), keys, width))
     left = cut(regions.join(even.select(*keys).distinct(), keys, "left_anti"))
-    full = cut(complete_path(left, safe, keys, width))
+    full = cut(_complete_path(left, safe, keys, width))
     hard = cut(left.join(full.select(*keys).distinct(), keys, "left_anti"))
     st = best_paths(safe_nodes(hard, safe, keys).filter("role <> 2"), keys, first_wins=True, width=width)
     far = cut(st.filter("role = 1").groupBy(*keys).agg(F.max("y").alias("y")))
@@ -285,7 +309,7 @@ def exhaustive_composition(regions: DataFrame, safe: DataFrame, step: int = 1, k
         return df.withColumns({"passes": F.lit(passes), "part": F.lit(part)})
 
     return (tag(even, 1, "chunk").unionByName(tag(full, 2, "chunk"))
-            .unionByName(tag(path_to(st, far, keys), 2, "prefix")).unionByName(tag(rest, 2, "residual")))
+            .unionByName(tag(path_to(st, far, keys), 2, "prefix")).unionByName(tag(rest, 2, "residual"))).drop(ZONE)
 
 
 def beam_balance(regions: DataFrame, zones: DataFrame, count: int, beam: int = 400, keys: Sequence[str] = CH, width: int = 1 << 16) -> DataFrame:
@@ -294,7 +318,9 @@ def beam_balance(regions: DataFrame, zones: DataFrame, count: int, beam: int = 4
     Each of the ``count - 1`` rounds extends at most ``beam`` paths per region.  Representatives are spread over axis
     slices; a slice returns its own best ``beam`` extensions, so no task sees a whole region.
     """
-    keys = list(keys)
+    regions = zoned(regions)
+    zones = into_zones(zones, regions, list(keys), "y")
+    keys = [*keys, ZONE]
     r = regions.select(*keys, "s", "e").withColumns({"target": (F.col("e") - F.col("s")) / F.lit(float(count))})
     z = point_join(zones.select(*keys, "y", "edge_density", "crossing_components"), r, keys, "y", ("s", "e")).filter("y > s")
     z = cut(z.withColumn("_k", F.floor(F.col("y") / width)))
@@ -344,4 +370,4 @@ def beam_balance(regions: DataFrame, zones: DataFrame, count: int, beam: int = 4
     full = full.withColumn("_m", mean)
     var = F.aggregate("heights", F.lit(0.0), lambda a, h: a + (h - F.col("_m")) * (h - F.col("_m"))) / float(count)
     final = F.col("score") + var / F.greatest(F.lit(1.0), F.col("_m") * F.col("_m"))
-    return best(full.select(*keys, "bounds", final.alias("score")), keys, [F.col("score"), F.col("bounds")])
+    return best(full.select(*keys, "bounds", final.alias("score")), keys, [F.col("score"), F.col("bounds")]).drop(ZONE)

@@ -169,8 +169,8 @@ def beam_balance(spark, sf):
 WALK = """with recursive near as (select * from (select n.ch, n.y_path y, s.y_path alt, row_number() over (partition by n.ch, n.y_path order by s.edge_density, s.crossing_components, abs(s.y_path-n.y_path), case when s.y_path<n.y_path then 0 else 1 end) r
   from t_decided n join t_decided s on n.ch=s.ch and n.decision='UNSAFE' and s.decision='SAFE' and s.y_path between n.y_path-1500 and n.y_path+1500) z where r=1),
  pick as (select d.ch, d.y_path y, d.decision, d.reason, case when d.decision='SAFE' then d.y_path else n.alt end chosen from t_decided d left join near n on d.ch=n.ch and d.y_path=n.y),
- edge as (select a.ch, a.cur, t.total, p.decision, p.reason, case when chosen > cur and chosen < total then chosen end nxt
-  from (select ch, cast(0 as bigint) cur from t_extent union select ch, y_path from t_decided where decision='SAFE') a join t_extent t on a.ch=t.ch join pick p on p.ch=a.ch and p.y=a.cur+12000 where t.total-a.cur > 12000),
+ edge as (select a.ch, a.cur, t.total, p.decision, case when p.y is null then 'no_evidence' else p.reason end reason, case when chosen > cur and chosen < total then chosen end nxt
+  from (select ch, cast(0 as bigint) cur from t_extent union select ch, y_path from t_decided where decision='SAFE') a join t_extent t on a.ch=t.ch left join pick p on p.ch=a.ch and p.y=a.cur+12000 where t.total-a.cur > 12000),
  walk as (select ch, cast(0 as bigint) cur from t_extent union all select e.ch, e.nxt from walk w join edge e on e.ch=w.ch and e.cur=w.cur where e.nxt is not null),
  seen as (select e.* from walk w join edge e on e.ch=w.ch and e.cur=w.cur)
 """
@@ -178,7 +178,7 @@ WALK = """with recursive near as (select * from (select n.ch, n.y_path y, s.y_pa
 
 @query("level3_residual_walk", WALK + """
 select ch, cur "start", nxt "end", reason, null::varchar trigger_reason, 'safe' part from seen where nxt is not null
-union all select ch, cur, total, case when total-cur > 3000 then 'continuous_scene_too_long' else reason end, reason, 'residual' from seen where nxt is null
+union all select ch, cur, total, case when decision is not null and total-cur > 3000 then 'continuous_scene_too_long' else reason end, reason, 'residual' from seen where nxt is null
 union all select t.ch, coalesce(l, 0), total, 'remaining_within_max_height', null, 'safe' from t_extent t left join (select ch, max(nxt) l from seen group by ch) m on t.ch=m.ch where t.ch not in (select ch from seen where nxt is null)""")
 def level3_residual_walk(spark, sf):
     d = cut(on_path(spark, sf))

@@ -132,3 +132,40 @@ def test_reach_is_walked_over_many_blocks(spark):
     got = sorted(r.pos for r in orbit(e, s, ["ch"], width=3).collect())
     assert got == want
     assert sorted(r.pos for r in orbit(e, s, ["ch"]).select(F.col("pos")).collect()) == want
+
+
+def several(spark, *bounds):
+    return spark.createDataFrame([("a", s, e) for s, e in bounds], "ch string, s long, e long")
+
+
+def safe_rows(spark, *at):
+    return spark.createDataFrame([("a", y) for y in at], "ch string, y long")
+
+
+def test_regions_of_one_chapter_do_not_mix(spark):
+    two = several(spark, (0, 20000), (60000, 80000))
+    rows = lambda df, *c: sorted(tuple(r[k] for k in c) for r in df.collect())
+    got = rows(P.exhaustive_composition(two, safe_rows(spark, 10000)), "start", "end", "part")
+    assert got == [(0, 10000, "chunk"), (10000, 20000, "chunk"), (60000, 80000, "residual")]
+    bands = spark.createDataFrame([("a", "white_band", 10000, 200, 1.0, None)], BAND)
+    got = rows(P.balanced_path(two, bands, pages(spark, "a", 0, 80000), prefer=0), "start", "end", "status")
+    assert got == [(0, 10000, "resolved"), (10000, 20000, "resolved"), (60000, 80000, "unresolved")]
+    apart = several(spark, (0, 20000), (25000, 38000))
+    assert rows(P.complete_path(apart, safe_rows(spark, 10000, 27000)), "start", "end") == [(0, 10000), (10000, 20000)]
+    zones = safe_rows(spark, 4000, 5000, 31000, 33000).withColumns({"edge_density": F.lit(0.0), "crossing_components": F.lit(0)})
+    assert rows(P.beam_balance(several(spark, (0, 10000), (28000, 38000)), zones, 2), "bounds") == [([0, 5000, 10000],), ([28000, 33000, 38000],)]
+
+
+def evidence(spark, *at):
+    return spark.createDataFrame([("a", y, d, "r", 0.0, 0) for y, d in at], "ch string, y long, decision string, reason string, edge_density double, crossing_components long")
+
+
+def test_residual_walk_by_region_and_without_evidence(spark):
+    from stripline.operators.evidence import residual_walk
+
+    d = evidence(spark, (12000, "SAFE"), (72000, "UNSAFE"))
+    ok, rest = residual_walk(d, several(spark, (0, 20000), (60000, 80000)))
+    assert sorted((r.start, r.end) for r in ok.collect()) == [(0, 12000), (12000, 20000)]
+    assert [(r.start, r.end) for r in rest.collect()] == [(60000, 80000)]
+    ok, rest = residual_walk(evidence(spark, (5000, "SAFE")), several(spark, (0, 30000)))
+    assert ok.count() == 0 and [(r.start, r.end, r.reason) for r in rest.collect()] == [(0, 30000, "no_evidence")]
