@@ -33,11 +33,19 @@ def containment(text: tuple[str, ...], region: tuple[str, ...]) -> Column:
     return F.when(area > 0, intersection(text, region) / area).otherwise(0.0)
 
 
+# The gate's reasons.
+GATE_APPROVED = "detector especializado + gate visual aprovados"
+GATE_LETTERING = ("preservado pelo gate V3.5: região muito clara e de baixa textura, compatível com texto gráfico/SFX sem balão "
+                  "(brilho=%.1f, textura=%.1f)")
+GATE_REJECTED = "região especializada detectada, mas gate visual rejeitou (brilho=%.1f, bright_ratio=%.2f)"
+
+
 def detector_gate(conf: Column, bright_ratio: Column, brightness: Column, texture: Column) -> Column:
     """Struct of ``gate_ok`` and ``reason``: very bright and flat regions are kept as drawn lettering."""
     sfx = (brightness >= SFX_BRIGHTNESS) & (texture < SFX_TEXTURE)
     ok = (conf >= GATE_CONF) & (bright_ratio >= GATE_BRIGHT_RATIO) & (brightness >= GATE_BRIGHTNESS) & ~sfx
-    reason = F.when(ok, "approved").when(sfx, "low_texture_lettering").otherwise("visual_gate_rejected")
+    reason = (F.when(ok, GATE_APPROVED).when(sfx, F.format_string(GATE_LETTERING, brightness, texture))
+              .otherwise(F.format_string(GATE_REJECTED, brightness, bright_ratio)))
     return F.struct(ok.alias("gate_ok"), reason.alias("reason"))
 
 

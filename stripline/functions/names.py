@@ -23,11 +23,13 @@ def page_range_name(first: Column, last: Column) -> Column:
     return F.concat(F.lit("page-"), zero_pad(first), tail, F.lit(".png"))
 
 
-def natural_key(name: str | Column, digits: int = 18) -> Column:
-    """Sort key where digit runs compare as numbers: every run is zero-padded to ``digits`` places."""
-    s = F.lower(name)
-    padded = F.regexp_replace(s, r"(\d+)", "0" * digits + "$1")
-    return F.regexp_replace(padded, r"0*(\d{%d})(?!\d)" % digits, "$1")
+def natural_key(name: str | Column) -> Column:
+    """Sort key where digit runs of any length compare as numbers: each is written without leading zeros, after its length."""
+    def run(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), run), "")
 
 
 def is_active_page(name: str | Column) -> Column:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from stripline.functions.geometry import CONTAINMENT, OCR_CONF, containment, detector_gate
 from stripline.operators.blocks import best, overlap_join, overlap_semi, point_join, range_blocks, running
+from stripline.operators.graph import components
 from stripline.session import cut
 
 PAGE = ["page"]
 GAP = 18
-COARSE, CROWD = 128, 128  # pixels of a coarse grid cell; boxes in one that are still compared in pairs
+CELL = 512  # pixels of a grid cell
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -82,42 +83,52 @@ def candidate_boxes(boxes: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     return running(range_blocks(small, keys, order), keys, order, number="number").drop("_b")
 
 
-def merge_boxes(boxes: DataFrame, gap: int = GAP, keys: Sequence[str] = PAGE) -> DataFrame:
+def _linked(t, gap: int):
+    """Spanning forest of the boxes of one cell that are within ``gap`` of each other: compared in tiles, no pair leaves the task."""
+    import numpy as np
+    import pyarrow as pa
+
+    node = t.column("node")
+    x1, y1, x2, y2 = (t.column(c).to_numpy() for c in BOX)
+    n, tile = len(x1), 512
+    root = np.arange(n)
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    pairs = []
+    for i in range(0, n, tile):
+        for j in range(0, i + 1, tile):
+            a, b = slice(i, i + tile), slice(j, j + tile)
+            near = ((x2[a][:, None] + gap >= x1[b]) & (x2[b] + gap >= x1[a][:, None]) & (y2[a][:, None] + gap >= y1[b]) & (y2[b] + gap >= y1[a][:, None]))
+            for p, q in np.argwhere(near).tolist():
+                p, q = find(i + p), find(j + q)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    pairs.append((p, q))
+    take = lambda k: node.take(pa.array([p[k] for p in pairs], pa.int64()))
+    return pa.table([take(0), take(1)], names=["a", "b"])
+
+
+def merge_boxes(boxes: DataFrame, gap: int = GAP, keys: Sequence[str] = PAGE, cell: int = CELL) -> DataFrame:
     """Boxes merged until no two are within ``gap`` pixels of each other.
 
-    Boxes meet in coarse grid cells.  Where a cell is crowded, fine cells of ``gap`` pixels link all boxes that touch
-    them to their lowest id, which needs no pairs; a stable fine grid leaves fewer than ``CROWD`` boxes per coarse cell,
-    and only those are compared in pairs.  Merging is monotone: the result does not depend on the order.
+    Boxes meet in cells of ``cell`` pixels, each of which returns a spanning forest of its neighbours; whole components are merged at once, and the bounds
+    that grew meet again.  Merging is monotone: the result does not depend on the order.  A merged box has the smallest id.
     """
     keys = list(keys)
     half = (gap + 1) // 2
     cur = cut(boxes.select(*keys, F.col("id").cast("string").alias("id"), *BOX, F.lit(1).cast("long").alias("n")))
-
-    def grid(df, size, reach):
-        span = lambda a, b: F.sequence(F.floor((F.col(a) - reach) / size), F.floor((F.col(b) + reach) / size))
-        return df.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2")))
-
-    def regroup(df, label):
-        hop = label.select(*keys, F.col("id").alias("_l"), F.col("_l").alias("_m"))
-        far = label.join(hop, [*keys, "_l"], "left").select(*keys, "id", F.coalesce("_m", "_l").alias("_l"))
-        j = df.join(far, [*keys, "id"], "left").withColumn("_l", F.coalesce("_l", "id"))
-        return j.groupBy(*keys, F.col("_l").alias("id")).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("n").alias("n"))
-
-    cell = [*keys, "_gx", "_gy"]
     while True:
-        coarse = cut(grid(cur.select(*keys, "id", *BOX), COARSE, half))
-        count = coarse.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-        crowded = cut(coarse.join(count.filter(F.col("_c") > CROWD), cell, "left_semi").select(*keys, "id").distinct())
-        if not crowded.isEmpty():
-            fine = grid(cur.select(*keys, "id", *BOX).join(crowded, [*keys, "id"], "left_semi"), gap, 0)
-            low = fine.groupBy(*cell).agg(F.min("id").alias("_l"))
-            label = fine.join(low, cell).groupBy(*keys, "id").agg(F.min("_l").alias("_l")).filter("_l <> id")
-        else:
-            few = coarse.join(count, cell, "left_semi")
-            other = few.select(*cell, F.col("id").alias("_l"), *[F.col(c).alias(f"o{c}") for c in BOX])
-            apart = ((F.col("x2") + gap < F.col("ox1")) | (F.col("ox2") + gap < F.col("x1")) | (F.col("y2") + gap < F.col("oy1")) | (F.col("oy2") + gap < F.col("y1")))
-            label = few.join(other, cell).filter((F.col("_l") < F.col("id")) & ~apart).groupBy(*keys, "id").agg(F.min("_l").alias("_l"))
-        label = cut(label)
-        if label.isEmpty():
+        span = lambda a, b: F.sequence(F.floor((F.col(a) - half) / cell), F.floor((F.col(b) + half) / cell))
+        named = cur.withColumn("node", F.to_json(F.struct(*keys, "id")))
+        cells = named.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2"))).select(*keys, "_gx", "_gy", "node", *BOX)
+        edges = cut(cells.groupBy(*keys, "_gx", "_gy").applyInArrow(lambda t: _linked(t, gap), "a string, b string"))
+        if edges.isEmpty():
             return cur
-        cur = cut(regroup(cur, label))
+        j = named.join(components(edges), "node", "left").withColumn("_g", F.coalesce("component", "node"))
+        cur = cut(j.groupBy(*keys, "_g").agg(F.min("id").alias("id"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
+                                             F.sum("n").alias("n")).drop("_g"))

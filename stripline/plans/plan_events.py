@@ -76,9 +76,14 @@ def latest_batch(spark, sf):
 
 
 @query("nested_search", """
-select event_id, '$.job.props.k' path, props ->> '$.k' as value from t_log where props ->> '$.k' = '42' union all select event_id, '$.tags[1]', '42' from t_log where event_id%100=42""")
+select event_id, '$.job.deep.a.b.c.Finish_note' path, 'Finish_note' as value from t_log union all select event_id, '$.job.deep.a.b.c.Finish_note', concat('was ', upper(event)) from t_log where event like '%finish%'
+union all select event_id, concat('$.tags[', n, ']'), event from t_log, (values (0), (2)) t(n) where event like '%finish%'""")
 def nested_search(spark, sf):
+    """Six levels deep, in a key and in values of another case."""
     e = S.log(spark, sf)
     k = F.get_json_object("props", "$.k").cast("long")
-    body = F.to_json(F.struct(F.col("chapter"), F.struct(F.col("state"), F.struct(k.alias("k")).alias("props")).alias("job"), F.array(F.col("event"), (F.col("event_id") % 100).cast("string")).alias("tags")))
-    return out(V.nested_search(e.withColumn("body", body), "body", "42", ["event_id"]), "event_id", "path", "value")
+    deep = F.concat(F.lit("was "), F.upper("event")).alias("Finish_note")
+    for name in ("c", "b", "a", "deep"):
+        deep = F.struct(deep).alias(name)
+    body = F.to_json(F.struct(F.col("chapter"), F.struct(F.col("state"), k.alias("k"), deep).alias("job"), F.array("event", (F.col("event_id") % 100).cast("string"), "event").alias("tags")))
+    return out(V.nested_search(e.withColumn("body", body), "body", "fINISh", ["event_id"]), "event_id", "path", "value")

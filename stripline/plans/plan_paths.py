@@ -98,15 +98,16 @@ def dedupe_close_candidates(spark, sf):
 
 @query("level2_decision_reason", BALANCED + """, k as (select ch, center, max(case when kind='uniform_color_band' then 1 else 0 end) u from t_band where height>=150 group by all),
  g as (select b.ch, strategy, max(u) u from bal b left join k on k.ch=b.ch and k.center=b."end" where part='chunk' group by all)
-select ch, strategy, case when strategy like '%edge_chunk' then 'safe_edge_chunk_last_fallback' when u=1 then 'uniform_color_safe_path' else 'white_band_safe_path' end reason from g""")
+select ch, strategy, case when strategy like '%edge_chunk' then 'level2_safe_edge_chunk_last_fallback' when u=1 then 'level2_safe_uniform_color_balanced_path' else 'level2_safe_white_balanced_path' end reason from g""")
 def level2_decision_reason(spark, sf):
     """Why a region was resolved: an edge chunk, a path with uniform bands, or one of white bands only."""
     c = cut(balanced(spark, sf))
     kinds = S.band(spark, sf).filter("height >= 150").groupBy("ch", F.col("center").alias("end")).agg(
         F.max(F.when(F.col("kind") == "uniform_color_band", 1).otherwise(0)).alias("uniform"))
     j = c.filter("part = 'chunk'").join(kinds, ["ch", "end"], "left").groupBy("ch", "strategy").agg(F.max("uniform").alias("uniform"))
-    why = (F.when(F.col("strategy").endswith("edge_chunk"), "safe_edge_chunk_last_fallback")
-           .when(F.col("uniform") == 1, "uniform_color_safe_path").otherwise("white_band_safe_path"))
+    # The decisions' names.
+    why = (F.when(F.col("strategy").endswith("edge_chunk"), "level2_safe_edge_chunk_last_fallback")
+           .when(F.col("uniform") == 1, "level2_safe_uniform_color_balanced_path").otherwise("level2_safe_white_balanced_path"))
     return out(j, "ch", "strategy", reason=why)
 
 

@@ -8,9 +8,10 @@ from stripline.plans import standins as S
 from stripline.plans.registry import out, query, view
 
 c = F.col
-view("t_gate", """
+view("t_gate", f"""
 select *, conf>=0.55 and bright_ratio>=0.55 and brightness>=205 and not (brightness>=225 and texture<50) gate_ok,
- case when conf>=0.55 and bright_ratio>=0.55 and brightness>=205 and not (brightness>=225 and texture<50) then 'approved' when brightness>=225 and texture<50 then 'low_texture_lettering' else 'visual_gate_rejected' end reason
+ case when conf>=0.55 and bright_ratio>=0.55 and brightness>=205 and not (brightness>=225 and texture<50) then '{G.GATE_APPROVED}' when brightness>=225 and texture<50 then printf('{G.GATE_LETTERING}', brightness::double, texture::double)
+ else printf('{G.GATE_REJECTED}', brightness::double, bright_ratio::double) end reason
 from t_box where role_='detection'
 """)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stripline.operators.blocks import neighbours, range_blocks, running
+from stripline.session import cut
 
 EVENT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("chapter", T.StringType()),
@@ -75,9 +76,12 @@ def job_durations(log: DataFrame) -> DataFrame:
 
 
 def job_durations_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The same over a stream.  Requests stay within a day, so the day bounds the state together with the watermark."""
+    """The same over a stream.  A request is a session: its events follow within ``delay``, also across midnight, and the watermark frees its state.
+
+    An event later than the watermark is left out; one more than ``delay`` after the others would begin another session.
+    """
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return _duration(e.groupBy(F.window("ts", "1 day"), "request_id")).drop("window")
+    return _duration(e.groupBy(F.session_window("ts", delay), "request_id")).drop("session_window")
 
 
 def latest_batch(files: DataFrame, seconds: int = 12, at: str = "mtime") -> DataFrame:
@@ -86,17 +90,23 @@ def latest_batch(files: DataFrame, seconds: int = 12, at: str = "mtime") -> Data
     return files.filter(F.col(at) >= newest - F.expr(f"interval {seconds} seconds"))
 
 
-def nested_search(reports: DataFrame, body: str, term: str, keys: list[str], depth: int = 4) -> DataFrame:
-    """Paths of a nested JSON report whose scalar value equals ``term``; ``depth`` levels are opened, one explode each."""
+def nested_search(reports: DataFrame, body: str, term: str, keys: list[str]) -> DataFrame:
+    """Paths of nested JSON reports where a key or a string value holds ``term``, whatever its case, at any depth.
+
+    ``value`` is the key or the string.  Each level is written once and opened from there; there are as many rounds as the deepest report has levels.
+    """
     spark = reports.sparkSession
-    level = reports.select(*keys, F.lit("$").alias("path"), F.try_parse_json(body).alias("v"))
-    hits = None
-    for _ in range(depth):
+    holds = lambda c: F.contains(F.lower(c), F.lit(term.lower()))
+    level = cut(reports.select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.col(body).alias("json")))
+    hits = level.limit(0).select(*keys, "path", F.col("name").alias("value"))
+    while not level.isEmpty():
+        v = level.withColumn("v", F.try_parse_json("json"))
         kind = F.schema_of_variant("v")
-        leaf = level.filter(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        hits = leaf if hits is None else hits.unionByName(leaf)
-        open_ = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        child = open_.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        named = v.filter(holds("name")).select(*keys, "path", F.col("name").alias("value"))
+        text = v.filter(kind == "STRING").select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value")).filter(holds("value"))
+        hits = hits.unionByName(named).unionByName(text)
+        inner = v.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        child = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         step = F.coalesce(F.concat(F.lit("."), F.col("key")), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = child.select(*keys, F.concat("path", step).alias("path"), F.col("value").alias("v"))
-    return hits.filter(F.col("value") == term).select(*keys, "path", "value")
+        level = cut(child.select(*keys, F.concat("path", step).alias("path"), F.col("key").alias("name"), F.to_json("value").alias("json")))
+    return hits
