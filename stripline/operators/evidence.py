@@ -54,7 +54,7 @@ def local_search(decided: DataFrame, nominal: DataFrame, radius: int = 200, keys
                                                       F.col("crossing_components").alias("alt_components"))
     look = nominal.filter("decision = 'UNSAFE'").select(*keys, "y", (F.col("y") - radius).alias("_lo"), (F.col("y") + radius + 1).alias("_hi"))
     look = look.withColumn("_lo", F.greatest("_lo", F.lit(0)))
-    found = point_join(safe, look, keys, "alt_y", ("_lo", "_hi")).filter("alt_y <> y")
+    found = point_join(safe, look, keys, "alt_y", ("_lo", "_hi"), max(64, 4 * radius)).filter("alt_y <> y")  # a bucket holds few windows
     ranked = best(found.withColumn("_up", F.when(F.col("alt_y") < F.col("y"), 0).otherwise(1)), [*keys, "y"],
                   [F.col("alt_edge"), F.col("alt_components"), F.abs(F.col("alt_y") - F.col("y")), F.col("_up")])
     return nominal.join(ranked.select(*keys, "y", "alt_y", "alt_edge"), [*keys, "y"], "left").withColumn(
@@ -110,7 +110,7 @@ def safe_zones(safe: DataFrame, gap: int = 2, keys: Sequence[str] = CH) -> DataF
     """Groups of neighbouring SAFE positions, each with the representative nearest its centre."""
     keys = list(keys)
     z = sessions(safe, keys, "y", gap).withColumns({"zone_start": F.col("start"), "zone_end": F.col("last") + 1}).drop("start", "last", "n")
-    p = point_join(safe.select(*keys, "y", "edge_density", "crossing_components"), z, keys, "y", ("zone_start", "zone_end"))
+    p = point_join(safe.select(*keys, "y", "edge_density", "crossing_components"), z, keys, "y", ("zone_start", "zone_end"), 1 << 9)
     mid = (F.col("zone_start") + F.col("zone_end") - 1) / 2.0
     n = p.groupBy(*keys, "zone_start", "zone_end").agg(
         F.count(F.lit(1)).alias("n"), F.min_by(F.struct("y", "edge_density", "crossing_components"), F.struct(F.abs(F.col("y") - mid), "edge_density", "crossing_components", "y")).alias("_r"))

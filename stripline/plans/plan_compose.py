@@ -192,14 +192,14 @@ union all select t.ch, 'incomplete', coalesce(l, 0), total from {tot} t left joi
 
 
 @query("effect_precheck", f"""with c as ({COVER_SQL.format(src='t_spliced', tot='t_chapter')})
-select * from c union all select ch, 'not_contiguous', min(seg), max(seg) from t_sel where grp=0 group by ch having max(seg)-min(seg)+1<>count(*)""")
+select * from c union all select ch, 'not_contiguous', min(seg), max(seg) from t_sel group by ch, grp having max(seg)-min(seg)+1<>count(*)""")
 def effect_precheck(spark, sf):
     """A proposal takes effect only if its selection has no hole and the spliced composition covers the chapter."""
     cover = K.coverage_errors(spliced(spark, sf), chapters(spark, sf))
-    sel = selection(spark, sf).filter("grp = 0")
-    c = K.contiguous(sel.select("ch", "grp", "seg"), S.piece(spark, sf), ["ch"], ["ch"]).filter("not ok").select("ch")
-    lo = sel.groupBy("ch").agg(F.min("seg").alias("at"), F.max("seg").alias("next"))
-    bad = lo.join(c, "ch", "left_semi").select("ch", F.lit("not_contiguous").alias("kind"), "at", "next")
+    sel = selection(spark, sf)
+    c = K.contiguous(sel.select("ch", "grp", "seg"), S.piece(spark, sf), ["ch", "grp"], ["ch"]).filter("not ok").select("ch", "grp")
+    lo = sel.groupBy("ch", "grp").agg(F.min("seg").alias("at"), F.max("seg").alias("next"))
+    bad = lo.join(c, ["ch", "grp"], "left_semi").select("ch", F.lit("not_contiguous").alias("kind"), "at", "next")
     return out(cover.unionByName(bad), "ch", "kind", "at", "next")
 
 
