@@ -22,7 +22,7 @@ from stripline.llm.common import (BLOCK_BYTES, CODES, Docs, bits, blobs, blocked
                                   slices, unbits, unpack48, unpacked, windows)
 
 WINDOW, ANCHOR = 50, 24
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20  # a sort takes about twenty times the bytes that a shard gathers
 QUEUE_BYTES = 192 << 20  # what the queues of a sort hold in memory
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,bytes:long>>, kept binary"
 
@@ -112,7 +112,7 @@ def induce(t: np.ndarray, small: np.ndarray, first: np.ndarray, budget: int = QU
         up = large.all(c)[::-1]
         push(lesser, up, True)
         out += [lesser.all(c), up]
-    return np.concatenate([*out, [len(t) - 1]])[::-1]  # the last suffix, one 0, has none to be induced from
+    return np.concatenate([*out, np.array([len(t) - 1], np.int32)])[::-1]  # the last suffix, one 0, has none to be induced from
 
 
 def suffix_order(t: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> np.ndarray:
@@ -271,7 +271,7 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         candidate = hit[place]
         use = np.flatnonzero(candidate)
         b = t.column("_b")[0].as_py()
-        rows = [(b % shards, b, -1, bits(candidate), b"", b"", b"")]  # for this block itself
+        rows = [(b % shards, b, -1, bits(candidate), b"", b"", b"", b"")]  # for this block itself
         if len(use):
             order, new, _ = distinct_segments(d, g, use)
             e = use[order[new]]
@@ -281,9 +281,9 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
                 x = e[c[s]:c[s + 1]]
                 text = b"".join([data[a:a + n] for a, n in zip(g.start[x].tolist(), (g.n[x] + window - 1).tolist())])
                 used, row = np.unique(g.row[x], return_inverse=True)
-                rows.append((s, b, s, g.n[x].astype(np.uint32).tobytes(), text, d.doc[used].tobytes(), row.astype(np.uint32).tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["_s", "_b", "part", "n", "texts", "docs", "row"])
+                rows.append((s, b, s, g.n[x].astype(np.uint32).tobytes(), text, d.doc[used].tobytes(), row.astype(np.uint32).tobytes(), pack48(g.key[x], n=shards)))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["_s", "_b", "part", "n", "texts", "docs", "row", "key"])
 
     def compare(t: pa.Table) -> Iterable[pa.Table]:
         part = t.column("part").to_numpy()
@@ -294,45 +294,56 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             doc = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(y, np.uint32)] for x, y in zip(blobs(ask.column("docs")), blobs(ask.column("row")))])
             buf = np.frombuffer(b"".join(blobs(ask.column("texts"))), np.uint8)
             count = np.concatenate(n)
-            smallest = self_sorted(buf, count, doc)
-            first = np.cumsum(count) - count
+            smallest = smallest_docs(buf, count, doc, np.concatenate([unpack48(x) for x in blobs(ask.column("key"))]))
             late = smallest < np.repeat(doc, count)
             ends = np.cumsum([x.sum() for x in n])
             out += [(b, k, bits(x)) for b, k, x in zip(ask.column("_b").to_pylist(), ask.column("part").to_pylist(), np.split(late, ends[:-1]))]
-            assert len(late) == (first[-1] + count[-1])
         yield pa.table([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["_b", "part", "late"])
 
-    def self_sorted(buf: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Smallest doc_id that holds each window of the segments, which lie one after another with ``count`` windows each."""
+    def smallest_docs(buf: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Smallest doc_id that holds each window of the segments, which lie one after another with ``count`` windows each.
+
+        Equal segments collapse to one, with their smallest document.  Where all segments of a key are equal that decides; the rest is sorted.
+        """
         size = count + window - 1
         z = np.cumsum(size)
         one, two = (ranges(buf, z - size, z, k) for k in (0, 1))
-        order = np.lexsort((doc, two, one))
+        order = np.lexsort((doc, two, one, key))
         new = np.ones(len(order), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        keep = order[new]  # each distinct content once, from the smallest document
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (key[order][1:] != key[order][:-1])
+        keep = order[new]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        n, m = count[keep], size[keep]
+        del one, two, order
+        at = groups(key[keep])
+        contents = np.diff(np.append(at, len(keep)))
+        several = np.repeat(contents > 1, contents)
+        n = count[keep]
+        smallest = np.repeat(doc[keep], n)  # of each window of the distinct segments
+        if several.any():
+            smallest[np.repeat(several, n)] = sorted_docs(buf, (z - size)[keep[several]], n[several], doc[keep[several]])
+        a = (np.cumsum(n) - n)[which]
+        return smallest[np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+    def sorted_docs(buf: np.ndarray, first: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Smallest doc_id of each window of some distinct segments: those that are neighbours in the order of suffixes with a common prefix of a window."""
+        m = n + window - 1
         t = np.zeros(int(m.sum()) + len(m), np.uint8)  # UTF-8 has no byte 255: each is raised by one, and 0 ends a segment
         at = np.cumsum(m + 1) - m - 1
-        inner = np.repeat(at - np.cumsum(m) + m, m) + np.arange(m.sum())
-        t[inner] = buf[np.repeat((z - size)[keep] - np.cumsum(m) + m, m) + np.arange(m.sum())] + 1
-        suffix = suffix_order(t, window, queue_bytes).astype(np.int64)
+        t[np.repeat(at - np.cumsum(m) + m, m) + np.arange(m.sum())] = buf[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())] + 1
         starts = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
-        is_window = np.zeros(len(t), bool)
-        is_window[starts] = True
-        suffix = suffix[is_window[suffix]]
+        number = np.full(len(t), -1, np.int32)
+        number[starts] = np.arange(len(starts))
+        suffix = suffix_order(t, window, queue_bytes)
+        suffix = suffix[number[suffix] >= 0]
         begin = np.ones(len(suffix), bool)
         begin[1:] = ~same_prefix(t, suffix[1:], suffix[:-1], window)
+        place = number[suffix]
         f = np.flatnonzero(begin)
-        owner = np.zeros(len(t), np.int64)
-        owner[starts] = np.repeat(doc[keep], n)
-        best = np.minimum.reduceat(owner[suffix], f)
-        smallest = np.empty(len(t), np.int64)
-        smallest[suffix] = np.repeat(best, np.diff(np.append(f, len(suffix))))
-        a = at[which]
-        return smallest[np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        best = np.minimum.reduceat(np.repeat(doc, n)[place], f)
+        out = np.empty(len(starts), np.int64)
+        out[place] = np.repeat(best, np.diff(np.append(f, len(suffix))))
+        return out
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         d = unpacked(t)
@@ -380,5 +391,5 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
                         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     hit = serve(per_block(blocks, ask_anchors, "_s int, _b long, key binary, several binary"), shards, shared, "_s int, _b long, hit binary")
-    asked = meet(blocks, hit, ask_segments, "_s int, _b long, part int, n binary, texts binary, docs binary, row binary")
+    asked = meet(blocks, hit, ask_segments, "_s int, _b long, part int, n binary, texts binary, docs binary, row binary, key binary")
     return meet(blocks, serve(asked, shards, compare, "_b long, part int, late binary"), finish, SCHEMA)
