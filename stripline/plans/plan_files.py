@@ -51,9 +51,15 @@ def export_summary(spark, sf):
 @query("export_copy", """
 with bad as (select distinct ch from t_plan where status='conflict') select rel, size, hash from t_plan where status='new' and ch not in (select ch from bad)""")
 def export_copy(spark, sf):
-    """Rows an export appends: the new files of chapters without a conflict."""
+    """The new files of chapters without a conflict, copied to a fresh table and read back from there."""
+    import uuid
+
+    from stripline.session import cut, shared_dir
     p = plan(spark, sf)
-    return out(p.filter("status = 'new'").join(p.filter("status = 'conflict'").select("ch").distinct(), "ch", "left_anti"), "rel", "size", "hash")
+    p = cut(p.join(p.filter("status = 'conflict'").select("ch").distinct(), "ch", "left_anti"))
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    X.export_copy(p, p.select("rel", F.col("hash").alias("content")), path)
+    return out(spark.read.parquet(path), "rel", "size", "hash")
 
 
 @query("plan_signature_diff", f"""

@@ -48,13 +48,15 @@ def dark_components(spark, sf):
 
 
 @query("component_context", """
-with z as (select doc_id, lum, case when x between 4 and 11 and y between 1 and 3 then 'in' when x between 4 and 11 and y = 0 then 't' when x between 4 and 11 and y between 4 and 15 then 'b'
-  when y between 1 and 3 and x < 4 then 'l' when y between 1 and 3 and x > 11 then 'r' end s from t_lum),
+with q as (select *, doc_id%8 x0, doc_id%3 y0, doc_id%8+3+doc_id%6 x1, doc_id%3+1+doc_id%4 y1 from t_lum),
+ z as (select doc_id, lum, case when x>=x0 and x<x1 and y>=y0 and y<y1 then 'in' when x>=x0 and x<x1 and y<y0 and y>=y0-12 then 't' when x>=x0 and x<x1 and y>=y1 and y<y1+12 then 'b'
+  when y>=y0 and y<y1 and x<x0 and x>=x0-12 then 'l' when y>=y0 and y<y1 and x>=x1 and x<x1+12 then 'r' end s from q),
  m as (select doc_id, avg(lum) filter (s='in') im, stddev_pop(lum) filter (s='in') sd, avg(lum) filter (s='t') t, avg(lum) filter (s='b') b, avg(lum) filter (s='l') l, avg(lum) filter (s='r') r from z group by doc_id)
 select doc_id, round(im,4) inside_mean, round(sd,4) inside_std, round(greatest(t,b,l,r)-least(t,b,l,r),4) context_range, (case when t is null then 0 else 1 end + case when b is null then 0 else 1 end + case when l is null then 0 else 1 end + case when r is null then 0 else 1 end)::bigint sides from m where im is not null""")
 def component_context(spark, sf):
-    box = {k: F.lit(v) for k, v in {"x": 4, "y": 1, "w": 8, "h": 3}.items()}
-    f = I.component_context(S.images(spark, sf).withColumns(box), ["doc_id"])
+    """One box in each image, of another place and size from document to document; it may reach over the edge."""
+    d = F.col("doc_id")
+    f = I.component_context(S.images(spark, sf).withColumns({"x": d % 8, "y": d % 3, "w": 3 + d % 6, "h": 1 + d % 4}), ["doc_id"])
     return out(f, "doc_id", "sides", inside_mean=F.round("inside_mean", 4), inside_std=F.round("inside_std", 4), context_range=F.round("context_range", 4))
 
 
