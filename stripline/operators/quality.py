@@ -116,6 +116,12 @@ def total_check(pages: DataFrame, keys: Sequence[str], expected: str) -> DataFra
         "mismatch", F.coalesce(F.col("found") != F.col("expected"), F.lit(False)))
 
 
+# The messages of the image checks.
+NO_IMAGES = "Nenhuma imagem compatível encontrada no capítulo."
+UNREADABLE = "Imagem ilegível: %s (%s)."
+OUTSIDE = "Imagem incompatível com os limites do PDF/img2pdf: %s (%dx%d, %s, %s) gera %.2fx%.2f unidades PDF."
+
+
 def chapter_errors(pages: DataFrame, keys: Sequence[str], expected: str) -> DataFrame:
     """Every sequence and total error as a row, in report order."""
     keys = list(keys)
@@ -129,6 +135,27 @@ def chapter_errors(pages: DataFrame, keys: Sequence[str], expected: str) -> Data
     return total.unionByName(gaps)
 
 
+def image_errors(chapters: DataFrame, images: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
+    """Errors of chapters without images, of unreadable images and of images outside the PDF limits: keys, ``ord``, ``file``, ``error``.
+
+    ``images``: keys, ``file``, ``width`` (null: unreadable, with the ``problem``), ``height``, ``dpi``, ``format``, ``mode``.
+    """
+    keys = list(keys)
+    none = chapters.select(*keys).distinct().join(images.select(*keys).distinct(), keys, "left_anti").select(
+        *keys, F.lit(0).alias("ord"), F.lit("").alias("file"), F.lit(NO_IMAGES).alias("error"))
+    bad = images.filter("width is null").select(*keys, F.lit(3).alias("ord"), "file", F.format_string(UNREADABLE, "file", "problem").alias("error"))
+    out = pdf_limits(images).filter("not pdf_ok").select(
+        *keys, F.lit(3).alias("ord"), "file", F.format_string(OUTSIDE, "file", "width", "height", "format", "mode", "pdf_width", "pdf_height").alias("error"))
+    return none.unionByName(bad).unionByName(out)
+
+
+def validation_result(chapters: DataFrame, errors: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
+    """Number of errors of every chapter and whether it is ``ok``."""
+    keys = list(keys)
+    n = errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_errors"))
+    return chapters.select(*keys).distinct().join(n, keys, "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0))).withColumn("ok", F.col("n_errors") == 0)
+
+
 def batch_route(chapters: DataFrame, regenerate: bool = False) -> DataFrame:
     """Where a batch sends every chapter: skip, block, report or generate, first matching rule wins.
 

@@ -122,6 +122,33 @@ def chapter_validation(spark, sf):
     return out(Q.chapter_errors(limited(spark, sf), ["chapter"], "expected"), "chapter", "ord", "item", "error")
 
 
+def imaged(spark, sf):
+    """Chapters, some of them without images, and images with a problem where they can't be read."""
+    d = S.dim(spark, sf).withColumns({"problem": F.lit("cannot identify image file"), "format": F.lit("PNG"), "mode": F.lit("RGB")})
+    empty = S.table(spark, sf, "nation").select(F.col("n_name").alias("ch"))
+    return d.select("ch").distinct().unionByName(empty), d
+
+
+view("t_imgerr", f"""
+select n_name ch, 0 ord, '' file, '{Q.NO_IMAGES}' error from nation
+union all select ch, 3, file, printf('{Q.UNREADABLE}', file, 'cannot identify image file') from t_dim where width is null
+union all select ch, 3, file, printf('{Q.OUTSIDE}', file, width, height, 'PNG', 'RGB', w, h) from (
+ select *, width*72.0/coalesce(nullif(dpi,0.0),96.0) w, height*72.0/coalesce(nullif(dpi,0.0),96.0) h from t_dim where width is not null) x where not (w between 3 and 14400 and h between 3 and 14400)
+""")
+
+
+@query("chapter_image_errors", "select ch, ord::bigint ord, file, error from t_imgerr")
+def chapter_image_errors(spark, sf):
+    return out(Q.image_errors(*imaged(spark, sf)), "ch", "ord", "file", "error")
+
+
+@query("chapter_validation_result", """
+select c.ch, count(e.ch) n_errors, count(e.ch)=0 ok from (select distinct ch from t_dim union all select n_name from nation) c left join t_imgerr e on e.ch=c.ch group by c.ch""")
+def chapter_validation_result(spark, sf):
+    chapters, images = imaged(spark, sf)
+    return out(Q.validation_result(chapters, Q.image_errors(chapters, images)), "ch", "n_errors", "ok")
+
+
 def routed(spark, sf):
     p = limited(spark, sf)
     n = Q.chapter_errors(p, ["chapter"], "expected").groupBy("chapter").agg(F.count(F.lit(1)).alias("n_errors"))
