@@ -44,12 +44,12 @@ def id_blocks(df: DataFrame, pos: str, width: int | None = None) -> DataFrame:
 
 
 def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """Block column ``_b`` for any order columns: contiguous ranges of (keys, order) of about equal row counts.
+    """Block column ``_b`` for any order columns: contiguous ranges of (keys, order) of about equal row counts, at most about a block's rows each.
 
     The range bounds are sampled, so the result is written once; every later reader sees the same blocks.
     """
     spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // size_of(df, "block")))
     cols = [*keys, *order]
     return cut(df.repartitionByRange(n, *cols).withColumn("_b", F.spark_partition_id().cast("long")))
 

@@ -91,3 +91,16 @@ def test_hot_key_is_spread(spark):
     assert r.groupBy("k", "_b").count().agg(F.max("count")).first()[0] == 500
     ranged = B.range_blocks(df, ["k"], ["p"], 8)
     assert ranged.groupBy("_b").count().agg(F.max("count")).first()[0] < 20000 / 3
+
+
+def test_range_blocks_are_bounded_when_one_key_holds_most_rows(spark):
+    from pyspark.sql import functions as F
+    from stripline.operators.blocks import range_blocks
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("k"), F.xxhash64("id").alias("o"))
+    spark.conf.set("spark.stripline.block", "1000")
+    try:
+        sizes = [r["count"] for r in range_blocks(df, ["k"], ["o"]).groupBy("_b").count().collect()]
+    finally:
+        spark.conf.unset("spark.stripline.block")
+    assert sum(sizes) == 30_000 and len(sizes) >= 25 and max(sizes) < 2500
