@@ -46,16 +46,24 @@ def last_states(log: DataFrame) -> DataFrame:
 def transition_stream(events: DataFrame, root: str, checkpoint: str):
     """Streaming transitions: every micro-batch starts from the last state per chapter that the batch before left.
 
-    The state is a table per batch (``state/<batch>``), so a repeated batch reads and writes the same versions.
+    An event that is not after its chapter's last state is late: it changes nothing and goes to ``late/<batch>``.  The state is a table per batch
+    (``state/<batch>``), so a repeated batch reads and writes the same versions; older ones are deleted.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = ["chapter", "ts", "event_id", "state"]
         new = batch.select(*cols).dropDuplicates(["chapter", "ts", "event_id"])
         if batch_id > 0:
-            new = new.unionByName(spark.read.parquet(f"{root}/state/{batch_id - 1}").select(*cols))
+            old = spark.read.parquet(f"{root}/state/{batch_id - 1}").select(*cols)
+            seen = old.select("chapter", F.struct("ts", "event_id").alias("_last"))
+            new = cut(new.join(seen, "chapter", "left").withColumn("_late", F.coalesce(F.struct("ts", "event_id") <= F.col("_last"), F.lit(False))).drop("_last"))
+            new.filter("_late").select(*cols).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+            new = new.filter("not _late").select(*cols).unionByName(old)
         transitions(new).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
         last_states(new).write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
+        if batch_id > 1:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state/{batch_id - 2}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
