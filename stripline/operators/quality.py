@@ -167,11 +167,13 @@ def batch_route(chapters: DataFrame, regenerate: bool = False) -> DataFrame:
                                .when(F.col("n_errors") > 0, "image_validation_failed").otherwise("generated"))
 
 
-def batch_summary(routed: DataFrame) -> DataFrame:
+def batch_summary(routed: DataFrame, failed: str | None = None) -> DataFrame:
+    """Chapters by what became of them; ``failed`` names the flag of those sent to generation that produced no valid document."""
     r = F.col("route")
+    broke = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
     return routed.agg(
-        F.count(F.lit(1)).alias("selected"), F.count_if(r == "generated").alias("generated"), F.count_if(r == "skipped").alias("skipped"),
-        F.count_if(~r.isin("generated", "skipped")).alias("validation_failed"))
+        F.count(F.lit(1)).alias("selected"), F.count_if((r == "generated") & ~broke).alias("generated"), F.count_if(r == "skipped").alias("skipped"),
+        F.count_if(~r.isin("generated", "skipped")).alias("validation_failed"), F.count_if((r == "generated") & broke).alias("generation_failed"))
 
 
 def neighbor_balance(pieces: DataFrame, keys: Sequence[str] = CH, number: str = "seg", ratio: float = 0.50) -> DataFrame:

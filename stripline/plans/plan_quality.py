@@ -169,10 +169,10 @@ def pdf_batch_route(spark, sf):
     return out(routed(spark, sf), "chapter", "route")
 
 
-@query("batch_summary", """select count(*) selected, count(*) filter (route='generated') generated, count(*) filter (route='skipped') skipped,
- count(*) filter (route not in ('generated','skipped')) validation_failed from t_route""")
+@query("batch_summary", """select count(*) selected, count(*) filter (route='generated' and chapter%7<>0) generated, count(*) filter (route='skipped') skipped,
+ count(*) filter (route not in ('generated','skipped')) validation_failed, count(*) filter (route='generated' and chapter%7=0) generation_failed from t_route""")
 def batch_summary(spark, sf):
-    return Q.batch_summary(routed(spark, sf))
+    return Q.batch_summary(routed(spark, sf).withColumn("broke", F.col("chapter") % 7 == 0), "broke")
 
 
 view("t_bal", """
