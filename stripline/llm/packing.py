@@ -12,6 +12,7 @@ import heapq
 import os
 import zlib
 from collections.abc import Iterator, Sequence
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,12 @@ KIND = np.zeros(256, np.uint8)
 KIND[[*range(65, 91), *range(97, 123)]] = 1
 KIND[48:58] = 2
 KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<|>"]] = 3
+KINDS = KIND.tobytes()
 SEPARATOR, SEPARATOR_ID = "<|startoftext|>", 49406
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others by number from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(SHOWN))}
+PROBES = "the tokens größe élève мир 日本語 7 *** ... ,- x".split()
 
 
 def parted(data: bytes) -> bytes:
@@ -123,6 +129,8 @@ class WordIds:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.separated = self.tokenizer.token_to_id(SEPARATOR) == SEPARATOR_ID
+        # whether plain words may go to the model itself, past normalisation and splitting, which leave them as they are
+        self.direct = all([t.id for t in self.tokenizer.model.tokenize(self.plain(w.encode()))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
         self.clear()
 
     @classmethod
@@ -139,6 +147,31 @@ class WordIds:
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.index[self.STOP], self.table[0], self.count[0] = 0, self.end, 1
 
+    @staticmethod
+    def plain(word: bytes) -> str | None:
+        """The word in byte-level characters if it is only lower-case letters, only marks or one digit, else None."""
+        if word.isascii():
+            kinds = set(word.translate(KINDS))
+            ok = len(kinds) == 1 and 0 not in kinds and (2 not in kinds or len(word) == 1) and word == word.lower()
+            return word.decode() if ok else None
+        text = word.decode()
+        if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+            return "".join([BYTES[b] for b in word])
+        return None
+
+    def all_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has."""
+        if not self.direct:
+            return self.ids_of(words)
+        tokenize = self.tokenizer.model.tokenize
+        shown = [self.plain(w) for w in words]
+        got = [None if x is None else [t.id for t in tokenize(x)] for x in shown]
+        rest = [i for i, x in enumerate(got) if x is None]
+        ids, n = self.ids_of([words[i] for i in rest])
+        for i, x in zip(rest, np.split(ids, np.cumsum(n)[:-1]) if rest else []):
+            got[i] = x.tolist()
+        return np.fromiter((i for x in got for i in x), np.uint32), np.array([len(x) for x in got], np.int64)
+
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each has; many words go in one call, a special token between them."""
         mark = SEPARATOR.encode()
@@ -153,7 +186,7 @@ class WordIds:
         return ids[ids != SEPARATOR_ID], np.diff(ends, prepend=-1) - 1
 
     def learn(self) -> None:
-        ids, n = self.ids_of(self.fresh)
+        ids, n = self.all_ids(self.fresh)
         at, total = len(self.index) - len(n), len(ids)
         while self.used + total > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
