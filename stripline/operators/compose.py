@@ -216,3 +216,21 @@ def absorption(pieces: DataFrame, totals: DataFrame, keys: Sequence[str] = CH) -
 
 def joined_pages(intervals: DataFrame, pages: DataFrame, keys: Sequence[str] = CH, span: tuple[str, str] = ("g_start", "g_end")) -> DataFrame:
     return overlap_join(intervals, pages.select(*keys, "file", "page_no", "gs", "ge"), keys, span, ("gs", "ge"))
+
+
+def approval_problems(proposals: DataFrame, outputs: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What forbids the approval of each proposal: keys and ``problem``, the first that holds, or null.
+
+    ``proposals``: keys, ``scope`` (null, or ``pending_segments``); ``outputs``: keys, ``i`` from 0, ``width``, ``height``; ``bounds``: keys, ``i``, ``y``.
+    All outputs have one width, there is one bound more than outputs, and each output is as high as its bounds are apart.
+    """
+    keys = list(keys)
+    b = bounds.select(*keys, "i", "y")
+    pair = b.join(b.select(*keys, (F.col("i") - 1).alias("i"), F.col("y").alias("y2")), [*keys, "i"], "left")
+    o = outputs.select(*keys, "i", "width", "height").join(pair, [*keys, "i"], "left").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), (F.min("width") != F.max("width")).alias("_wide"), F.count_if(F.coalesce(F.col("y2") - F.col("y") != F.col("height"), F.lit(True))).alias("_high"))
+    n = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    j = proposals.select(*keys, "scope").join(o, keys, "left").join(n, keys, "left")
+    problem = (F.when(F.col("scope").isNotNull() & (F.col("scope") != "pending_segments"), "scope_not_supported").when(F.col("_n").isNull(), "no_images")
+               .when(F.coalesce("_m", F.lit(0)) != F.col("_n") + 1, "bounds_do_not_fit_outputs").when(F.col("_wide"), "widths_differ").when(F.col("_high") > 0, "height_differs_from_bounds"))
+    return j.select(*keys, problem.alias("problem"))

@@ -6,6 +6,7 @@ from stripline.operators import compose as K
 from stripline.operators.blocks import point_join
 from stripline.plans import standins as S
 from stripline.plans.registry import out, query, view
+from stripline.session import cut
 
 SPAN = ("g_start", "g_end")
 
@@ -297,3 +298,25 @@ def review_approve_check(spark, sf):
         "bounds": F.coalesce("b", F.lit(1)) + 1, "outputs": F.coalesce("o", F.lit(0)) + 1})
     fit = F.col("bounds") == F.col("outputs") + 1
     return out(j, "ch", "seg", "bounds", "outputs", ok=fit, problem=F.when(F.col("g_end") <= F.col("g_start"), "empty_region").when(~fit, "bounds_do_not_fit_outputs"))
+
+
+view("t_appr", """
+select source ch, 700 + case when source in ('src1','src7') and doc_id%5=0 then 1 else 0 end width, n_chars height, row_number() over (partition by source order by doc_id) - 1 i from documents
+""")
+
+
+@query("review_approve_images", """
+with s as (select ch, count(*) n, min(width) <> max(width) wide from t_appr where ch <> 'src3' group by ch), m as (select ch, count(*) + case when ch='src9' then 0 else 1 end m from t_appr group by ch)
+select m.ch, case when m.ch='src2' then 'scope_not_supported' when n is null then 'no_images' when m <> n + 1 then 'bounds_do_not_fit_outputs' when wide then 'widths_differ' when m.ch='src5' then 'height_differs_from_bounds' end problem
+from m left join s on s.ch=m.ch""")
+def review_approve_images(spark, sf):
+    """Proposals of one image per document of a source; scopes, widths, heights and bounds are wrong in some."""
+    from stripline.operators.blocks import range_blocks, running
+
+    ch = F.col("ch")
+    d = S.table(spark, sf, "documents").select(F.col("source").alias("ch"), "doc_id", F.col("n_chars").alias("height"))
+    d = d.withColumns({"width": F.lit(700) + F.when(ch.isin("src1", "src7") & (F.col("doc_id") % 5 == 0), 1).otherwise(0), "step": F.col("height") + F.when(ch == "src5", 3).otherwise(0)})
+    a = cut(running(range_blocks(d, ["ch"], ["doc_id"]), ["ch"], ["doc_id"], sums={"y": "step"}, number="k", totals={"all": "step"}).withColumn("i", F.col("k") - 1))
+    last = a.filter("ch <> 'src9'").groupBy("ch").agg(F.max("k").alias("i"), F.max("all").alias("y"))
+    p = a.select("ch").distinct().withColumn("scope", F.when(ch == "src2", "regions").when(ch == "src4", "pending_segments"))
+    return out(K.approval_problems(p, a.filter("ch <> 'src3'"), a.select("ch", "i", "y").unionByName(last), ["ch"]), "ch", "problem")
