@@ -73,6 +73,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 FAMILIES = tuple(TEMPLATES)
 BITS, ORDERS = 16, 3
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 6000   # bound of the sample that the unknown class is learned from
+LINES_EACH, LINE_CHARS = 40, 2000        # of each of these documents
 COPIES = 40                              # altered copies of each template
 FALSE_ACCEPTS, CONFIRMED = 0.001, 0.6
 
@@ -121,6 +122,14 @@ def pairs(text: str) -> frozenset[int]:
     return frozenset(mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]).tolist())
 
 
+def confirmed(text: str, proofs: Sequence[frozenset[int]]) -> tuple[float, int]:
+    """Best overlap of a paragraph with some templates (shared word pairs over those of the shorter one), and the number of that template."""
+    p = pairs(text)
+    score = [len(p & q) / max(1, min(len(p), len(q))) if p and len(p & q) >= min(2, len(q)) else 0.0 for q in proofs]
+    best = max(range(len(score)), key=lambda i: (score[i], -i))
+    return score[best], best
+
+
 class Model:
     """Weights by hashed n-gram (column 0: unknown), temperature and threshold."""
 
@@ -156,11 +165,11 @@ def altered(text: str, rng: np.random.Generator, words: Sequence[str]) -> str:
     return " ".join(w)
 
 
-def train(unknown: Sequence[str], seed: int = 5, rounds: int = 150) -> Model:
+def train(unknown: Sequence[str], seed: int = 5, rounds: int = 80) -> Model:
     """Fit on altered templates and unknown lines; one line in four is held out for temperature and threshold."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    known = {p for v in TEMPLATES.values() for p in v}
-    unknown = [x for x in unknown if x not in known]
+    every = [pairs(t) for v in TEMPLATES.values() for t in v]
+    unknown = [x for x in unknown if confirmed(x, every)[0] < CONFIRMED]  # notices among the documents' lines aren't unknown
     words = sorted({w for x in unknown[:500] for w in x.split()})[:2000]
     lines = [(altered(t, rng, words) if k else t, i + 1) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f] for k in range(COPIES)]
     lines += [(x, 0) for x in unknown] + [(" ".join(rng.choice(words, 6)), 0) for _ in range(200 if words else 0)]
@@ -211,21 +220,17 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     docs: ``doc_id, text`` (null or empty: one empty paragraph).  Returns a row for each row: ``n_paragraphs``, ``n_licence`` (confirmed notices),
     ``n_unconfirmed`` (accepted by the classifier, not by a template), ``families`` (confirmed, sorted, by comma), the largest ``probability`` of a
     confirmed one (null: none) and the confirmed notices ``found``: byte ``start``, ``family``, ``probability`` and the ``template`` that is nearest.
-    The unknown class is learned from at most ``sample_lines`` lines of ``sample_docs`` documents, those with the smallest hashed doc_ids; all else covers all.
+    The unknown class is learned from at most ``sample_lines`` lines of ``sample_docs`` documents, picked by a hash; all else covers all.
     """
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(17))
-    sample = docs.select(order.alias("o"), "text").filter("text is not null").orderBy("o", "text").limit(sample_docs).collect()
-    lines = [x for r in sample for x in r.text.split("\n")[:40] if x.strip()][:sample_lines]
-    model = train([x[:2000] for x in lines])
+    # an even sample by hash, of about the size asked for at any number of documents, so that few rows reach the driver
+    share = min(1.0, 1.5 * sample_docs / max(1, docs.count()))
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text"), F.lit(1 << 40))
+    first = F.transform(F.slice(F.split("text", "\n"), 1, LINES_EACH), lambda x: F.substring(x, 1, LINE_CHARS))
+    sample = docs.filter(F.col("text").isNotNull()).select(place.alias("o"), first.alias("lines")).filter(F.col("o") < int(share * (1 << 40))).limit(2 * sample_docs).collect()
+    lines = [x for r in sorted(sample)[:sample_docs] for x in r.lines if x.strip()][:sample_lines]
+    model = train(lines)
     proofs = {f: [pairs(t) for t in v] for f, v in templates.items()}
 
-    def confirmed(family: str, text: str) -> tuple[float, int]:
-        """Best overlap of the paragraph with a template of the family, and that template's number."""
-        p = pairs(text)
-        score = [len(p & q) / max(1, min(len(p), len(q))) if p and len(p & q) >= min(2, len(q)) else 0.0 for q in proofs[family]]
-        best = max(range(len(score)), key=lambda i: (score[i], -i))
-        return score[best], best
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = flat(batch.column(1))
@@ -244,7 +249,7 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                     for k in np.flatnonzero(sure).tolist():
                         end = starts[k + 1] if k + 1 < len(starts) and row[k + 1] == row[k] else local[row[k] + 1]
                         family = FAMILIES[best[k] - 1]
-                        score, template = confirmed(family, data[starts[k]:end].decode(errors="replace"))
+                        score, template = confirmed(data[starts[k]:end].decode(errors="replace"), proofs[family])
                         if score >= CONFIRMED:
                             got[row[k]].append({"start": int(starts[k] - local[row[k]]), "family": family, "probability": float(p[k, best[k]]), "template": template})
                         else:
