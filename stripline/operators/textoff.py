@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stripline.functions.geometry import CONTAINMENT, OCR_CONF, containment, detector_gate
-from stripline.operators.blocks import best, overlap_join, overlap_semi, point_join, range_blocks, running
+from stripline.operators.blocks import best, overlap_join, overlap_semi, point_join, range_blocks, running, spread
 from stripline.operators.graph import components
 from stripline.session import cut
 
 PAGE = ["page"]
 GAP = 18
 CELL = 512  # pixels of a grid cell
+PER_TASK = 50_000  # boxes whose cells are compared together
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -84,14 +85,17 @@ def candidate_boxes(boxes: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 
 
 def _linked(t, gap: int):
-    """Spanning forest of the boxes of one cell that are within ``gap`` of each other: compared in tiles, no pair leaves the task."""
+    """Spanning forest of the boxes of each cell that are within ``gap`` of each other: compared in tiles, no pair leaves the task."""
     import numpy as np
     import pyarrow as pa
 
-    node = t.column("node")
-    x1, y1, x2, y2 = (t.column(c).to_numpy() for c in BOX)
-    n, tile = len(x1), 512
-    root = np.arange(n)
+    cell = t.column("_cell").to_numpy()
+    order = np.argsort(cell, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0, [True]]))
+    crowd = np.flatnonzero(np.diff(at) > 1)
+    node, tile = t.column("node"), 512
+    x1, y1, x2, y2 = (t.column(c).to_numpy()[order] for c in BOX)
+    root = np.arange(len(x1))
 
     def find(i):
         while root[i] != i:
@@ -100,16 +104,16 @@ def _linked(t, gap: int):
         return i
 
     pairs = []
-    for i in range(0, n, tile):
-        for j in range(0, i + 1, tile):
-            a, b = slice(i, i + tile), slice(j, j + tile)
-            near = ((x2[a][:, None] + gap >= x1[b]) & (x2[b] + gap >= x1[a][:, None]) & (y2[a][:, None] + gap >= y1[b]) & (y2[b] + gap >= y1[a][:, None]))
-            for p, q in np.argwhere(near).tolist():
-                p, q = find(i + p), find(j + q)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    pairs.append((p, q))
-    take = lambda k: node.take(pa.array([p[k] for p in pairs], pa.int64()))
+    spans = [(int(at[k]), int(at[k + 1])) for k in crowd]
+    for i, j, end in ((i, j, end) for first, end in spans for i in range(first, end, tile) for j in range(first, i + 1, tile)):
+        a, b = slice(i, min(end, i + tile)), slice(j, min(end, j + tile))
+        near = ((x2[a][:, None] + gap >= x1[b]) & (x2[b] + gap >= x1[a][:, None]) & (y2[a][:, None] + gap >= y1[b]) & (y2[b] + gap >= y1[a][:, None]))
+        for p, q in np.argwhere(near).tolist():
+            p, q = find(i + p), find(j + q)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                pairs.append((p, q))
+    take = lambda k: node.take(pa.array(order[[p[k] for p in pairs]] if pairs else [], pa.int64()))
     return pa.table([take(0), take(1)], names=["a", "b"])
 
 
@@ -126,7 +130,10 @@ def merge_boxes(boxes: DataFrame, gap: int = GAP, keys: Sequence[str] = PAGE, ce
         span = lambda a, b: F.sequence(F.floor((F.col(a) - half) / cell), F.floor((F.col(b) + half) / cell))
         named = cur.withColumn("node", F.to_json(F.struct(*keys, "id")))
         cells = named.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2"))).select(*keys, "_gx", "_gy", "node", *BOX)
-        edges = cut(cells.groupBy(*keys, "_gx", "_gy").applyInArrow(lambda t: _linked(t, gap), "a string, b string"))
+        cells = cells.withColumn("_cell", F.xxhash64(*keys, "_gx", "_gy"))  # equal 64-bit hashes count as one cell
+        many = max(int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cur.count() // PER_TASK))
+        dealt = spread(cells.withColumn("_t", F.pmod("_cell", F.lit(many))), "_t")
+        edges = cut(dealt.groupBy("_t").applyInArrow(lambda t: _linked(t, gap), "a string, b string"))
         if edges.isEmpty():
             return cur
         j = named.join(components(edges), "node", "left").withColumn("_g", F.coalesce("component", "node"))
