@@ -1,7 +1,9 @@
 """Removal of repeated byte strings by external induced sorting of suffixes.
 
 Equal 50-byte strings have the same smallest 24-byte hash, so windows are brought together by it: neighbouring windows that share it form a *segment*, and
-segments whose hash occurs in two documents go, each distinct one once per block, to the shard of the hash.  The shard sorts the suffixes of all its
+segments whose hash occurs in two documents go, each distinct one once per block, to the shard of the hash.  A hash with many distinct segments (the ends
+of a passage that many documents share, each with its own text beside it) is *hot*: its windows go one by one, by the hash of their own 50 bytes, so
+that they spread over all shards.  The shard sorts the suffixes of all its
 segments.  Suffixes are divided by whether they are larger (L) or smaller (S) than the next; the first S of each run is sorted by
 induction, named, and, where names repeat, sorted as a string of names; from their order that of all L and then all S suffixes is induced through
 queues by first byte, which live on disk beyond a memory budget.  Neighbours in the order with a common prefix of 50 bytes are the same
@@ -24,6 +26,7 @@ from stripline.llm.common import (BLOCK_BYTES, CODES, Docs, bits, blobs, blocked
 WINDOW, ANCHOR = 50, 24
 SHARD_BYTES = 8 << 20  # a sort takes about twenty times the bytes that a shard gathers
 QUEUE_BYTES = 192 << 20  # what the queues of a sort hold in memory
+PIECE, HOT = 128, 4096  # an anchor is hot if the distinct segments that blocks would send for it have more than so many pieces of 128 bytes
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,bytes:long>>, kept binary"
 
 
@@ -197,13 +200,14 @@ class Segments:
 
 
 def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, per_block_bytes: int = BLOCK_BYTES, with_bytes: bool = True,
-                      queue_bytes: int = QUEUE_BYTES) -> DataFrame:
+                      queue_bytes: int = QUEUE_BYTES, hot: int = HOT) -> DataFrame:
     """Texts without the bytes covered by a ``window``-byte string that also starts in a document with a smaller doc_id.
 
     docs: ``doc_id, text`` as UTF-8 (null: empty); matches don't cross documents; overlaps count; strings are judged on the input.  Returns a row for each
     row: ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs), ``kept_sha256`` of the remaining bytes, the ``spans`` and, with
     ``with_bytes``, the remaining bytes, which needn't be UTF-8.  A missing doc_id is the largest; rows that share a doc_id are not smaller
-    than each other, so they don't remove each other's bytes; a text shorter than the window loses nothing.
+    than each other, so they don't remove each other's bytes; a text shorter than the window loses nothing.  Windows of anchors with more than ``hot``
+    pieces are compared by 128-bit hashes, all others byte by byte.
     """
     blocks = blocked(docs, per_block_bytes)
     shards = parts(docs, SHARD_BYTES)
@@ -215,12 +219,27 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         low, high = np.full(len(distinct), len(d)), np.full(len(distinct), -1)
         np.minimum.at(low, place, g.row)
         np.maximum.at(high, place, g.row)
+        size = pieces(d, g, place, len(distinct))
         c = cuts(distinct, shards)
         some = np.flatnonzero(np.diff(c)).tolist()
         b = t.column("_b")[0].as_py()
-        return pa.table([pa.array(some, pa.int32()), pa.array([b] * len(some), pa.int64()),
-                         pa.array([pack48(distinct[c[s]:c[s + 1]], n=shards) for s in some], pa.binary()),
-                         pa.array([bits((high > low)[c[s]:c[s + 1]]) for s in some], pa.binary())], names=["_s", "_b", "key", "several"])
+        each = lambda f: pa.array([f(slice(c[s], c[s + 1])) for s in some], pa.binary())
+        return pa.table([pa.array(some, pa.int32()), pa.array([b] * len(some), pa.int64()), each(lambda x: pack48(distinct[x], n=shards)),
+                         each(lambda x: bits((high > low)[x])), each(lambda x: pa.compress(size[x].tobytes(), "zstd", asbytes=True))],
+                        names=["_s", "_b", "key", "several", "size"])
+
+    def pieces(d: Docs, g: Segments, place: np.ndarray, n: int) -> np.ndarray:
+        """Pieces that the block would send for each of its ``n`` keys: those of the distinct contents."""
+        size = (g.n + window - 2) // PIECE + 1
+        more = np.flatnonzero((np.bincount(place, minlength=n) > 1)[place])
+        out = np.bincount(place, size, n)
+        if len(more):
+            one, _ = contents(d, g, more, 1)
+            order = np.lexsort((one, place[more]))
+            again = (one[order][1:] == one[order][:-1]) & (place[more][order][1:] == place[more][order][:-1])
+            x = more[order[1:][again]]
+            out -= np.bincount(place[x], size[x], n)
+        return np.minimum(out, hot + 1).astype(np.uint32)
 
     def shared(t: pa.Table) -> Iterable[pa.Table]:
         keys = [unpack48(x) for x in blobs(t.column("key"))]
@@ -231,11 +250,15 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         n = np.diff(np.append(at, len(order)))
         hit = np.empty(len(order), bool)
         hit[order] = np.repeat((n > 1) | np.maximum.reduceat(several[order], at), n)
+        size = np.concatenate([np.frombuffer(pa.decompress(x, 4 * len(k), "zstd", asbytes=True), np.uint32) for x, k in zip(blobs(t.column("size")), keys)])
+        many = np.empty(len(order), bool)
+        many[order] = np.repeat(np.add.reduceat(size[order].astype(np.int64), at) > hot, n)
         ends = np.cumsum([len(k) for k in keys])
-        yield pa.table([t.column("_s"), t.column("_b"), pa.array([bits(x) for x in np.split(hit, ends[:-1])], pa.binary())], names=["_s", "_b", "hit"])
+        yield pa.table([t.column("_s"), t.column("_b"), *[pa.array([bits(x) for x in np.split(m, ends[:-1])], pa.binary()) for m in (hit, hit & many)]],
+                       names=["_s", "_b", "hit", "hot"])
 
-    def contents(d: Docs, g: Segments, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit hashes of the bytes of the segments ``use``."""
+    def contents(d: Docs, g: Segments, use: np.ndarray, hashes: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit hashes of the bytes of the segments ``use``, in two halves."""
         a = g.start[use]
         z = a + g.n[use] + window - 1
         one, two = np.zeros(len(use), np.uint64), np.zeros(len(use), np.uint64)
@@ -243,7 +266,8 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             x = slice(*np.searchsorted(a, [d.off[i], d.off[j]]))
             if x.stop > x.start:
                 part = d.buf[d.off[i]:d.off[j]]
-                one[x], two[x] = (ranges(part, a[x] - d.off[i], z[x] - d.off[i], k) for k in (0, 1))
+                for k, h in enumerate((one, two)[:hashes]):
+                    h[x] = ranges(part, a[x] - d.off[i], z[x] - d.off[i], k)
         return one, two
 
     def distinct_segments(d: Docs, g: Segments, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,21 +284,53 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             new[1:] = ~new[1:]
         return order, np.flatnonzero(new), np.cumsum(new) - 1
 
+    def distinct_windows(d: Docs, g: Segments, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct windows of the segments ``e``, ascending, the smallest row of each, and which of them each window of ``e`` is."""
+        at = np.argsort(g.start[e], kind="stable")
+        n = g.n[e][at]
+        places = np.repeat(g.start[e][at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        row = np.repeat(g.row[e][at], n)
+        one, two = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
+        for i, j in slices(d.off):
+            x = slice(*np.searchsorted(places, [d.off[i], d.off[j]]))
+            if x.stop > x.start:
+                part = d.buf[d.off[i]:d.off[j]]
+                one[x], two[x] = (ranges(part, places[x] - d.off[i], places[x] - d.off[i] + window, k) for k in (0, 1))
+        order = np.lexsort((row, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        f = order[new]
+        back = np.empty(len(at), np.int64)
+        back[at] = np.cumsum(n) - n
+        m = g.n[e]
+        return one[f], two[f], row[f], which[np.repeat(back - np.cumsum(m) + m, m) + np.arange(m.sum())]
+
     def ask_segments(t: pa.Table, got: pa.Table) -> pa.Table:
         d = unpacked(t)
         g = Segments(d, window, anchor)
         distinct, place = np.unique(g.key, return_inverse=True)
-        hit = np.zeros(len(distinct), bool)
+        hit, many = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
         c = cuts(distinct, shards)
-        for s, x in zip(got.column("_s").to_pylist(), blobs(got.column("hit"))):
-            hit[c[s]:c[s + 1]] = unbits(x, c[s + 1] - c[s])
+        for s, x, y in zip(got.column("_s").to_pylist(), blobs(got.column("hit")), blobs(got.column("hot"))):
+            hit[c[s]:c[s + 1]], many[c[s]:c[s + 1]] = unbits(x, c[s + 1] - c[s]), unbits(y, c[s + 1] - c[s])
         candidate = hit[place]
         use = np.flatnonzero(candidate)
         b = t.column("_b")[0].as_py()
-        rows = [(b % shards, b, -1, bits(candidate), b"", b"", b"", b"")]  # for this block itself
+        rows = [(b % shards, b, k, bits(x), b"", b"", b"", b"") for k, x in ((-1, candidate), (-2, many[place]))]  # for this block itself
         if len(use):
             order, new, _ = distinct_segments(d, g, use)
             e = use[order[new]]
+            alone = many[place[e]]
+            if alone.any():
+                one, two, least, _ = distinct_windows(d, g, e[alone])
+                c = cuts(one, shards)
+                for s in np.flatnonzero(np.diff(c)).tolist():
+                    x = slice(c[s], c[s + 1])
+                    used, row = np.unique(least[x], return_inverse=True)
+                    rows.append((s, b, shards + s, b"", one[x].tobytes(), d.doc[used].tobytes(), row.astype(np.uint32).tobytes(), two[x].tobytes()))
+            e = e[~alone]
             c = cuts(g.key[e], shards)
             data = d.buf.tobytes()
             for s in np.flatnonzero(np.diff(c)).tolist():
@@ -287,11 +343,14 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
     def compare(t: pa.Table) -> Iterable[pa.Table]:
         part = t.column("part").to_numpy()
-        out = [(b, -1, x) for b, k, x in zip(t.column("_b").to_pylist(), part.tolist(), blobs(t.column("n"))) if k < 0]
-        ask = t.filter(pa.array(part >= 0))
+        out = [(b, k, x) for b, k, x in zip(t.column("_b").to_pylist(), part.tolist(), blobs(t.column("n"))) if k < 0]
+        ask = t.filter(pa.array(part >= shards))
+        if ask.num_rows:
+            out += zip(ask.column("_b").to_pylist(), ask.column("part").to_pylist(), late_windows(ask))
+        ask = t.filter(pa.array((part >= 0) & (part < shards)))
         if ask.num_rows:
             n = [np.frombuffer(x, np.uint32).astype(np.int64) for x in blobs(ask.column("n"))]
-            doc = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(y, np.uint32)] for x, y in zip(blobs(ask.column("docs")), blobs(ask.column("row")))])
+            doc = row_docs(ask)
             buf = np.frombuffer(b"".join(blobs(ask.column("texts"))), np.uint8)
             count = np.concatenate(n)
             smallest = smallest_docs(buf, count, doc, np.concatenate([unpack48(x) for x in blobs(ask.column("key"))]))
@@ -300,6 +359,21 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             out += [(b, k, bits(x)) for b, k, x in zip(ask.column("_b").to_pylist(), ask.column("part").to_pylist(), np.split(late, ends[:-1]))]
         yield pa.table([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["_b", "part", "late"])
 
+    def row_docs(ask: pa.Table) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(y, np.uint32)] for x, y in zip(blobs(ask.column("docs")), blobs(ask.column("row")))])
+
+    def late_windows(ask: pa.Table) -> list[bytes]:
+        """Which of the blocks' windows of hot anchors also start in a document with a smaller doc_id."""
+        one = [np.frombuffer(x, np.uint64) for x in blobs(ask.column("texts"))]
+        a, z, doc = np.concatenate(one), np.frombuffer(b"".join(blobs(ask.column("key"))), np.uint64), row_docs(ask)
+        order = np.lexsort((doc, z, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (z[order][1:] != z[order][:-1])
+        f = np.flatnonzero(new)
+        late = np.empty(len(order), bool)
+        late[order] = np.repeat(doc[order[f]], np.diff(np.append(f, len(order)))) < doc[order]
+        return [bits(x) for x in np.split(late, np.cumsum([len(x) for x in one])[:-1])]
+
     def smallest_docs(buf: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Smallest doc_id that holds each window of the segments, which lie one after another with ``count`` windows each.
 
@@ -349,19 +423,29 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         d = unpacked(t)
         answers = dict(zip(got.column("part").to_pylist(), blobs(got.column("late"))))
         covered = np.zeros(len(d.buf) + 1, np.int64)
-        mask = answers.pop(-1, b"")
+        mask, many = answers.pop(-1, b""), answers.pop(-2, b"")
         if any(mask):
             g = Segments(d, window, anchor)
             use = np.flatnonzero(unbits(mask, len(g.n)))
             order, new, which = distinct_segments(d, g, use)
             e = use[order[new]]
-            c = cuts(g.key[e], shards)
             n = g.n[e]
             ends = np.cumsum(n)
+            alone = unbits(many, len(g.n))[e]
+            sent = np.concatenate([[0], np.cumsum(n[~alone])])[cuts(g.key[e[~alone]], shards)]  # windows before each shard's
+            own = np.zeros(int(sent[-1]), bool)
             late = np.zeros(int(ends[-1]), bool)
+            if alone.any():
+                one, _, least, of = distinct_windows(d, g, e[alone])
+                c = cuts(one, shards)
+                before = np.zeros(len(one), bool)
+                for s in range(shards):
+                    if c[s + 1] > c[s]:
+                        before[c[s]:c[s + 1]] = unbits(answers.pop(shards + s), c[s + 1] - c[s])
+                late[np.repeat(alone, n)] = before[of] | (d.doc[least][of] < np.repeat(d.doc[g.row[e[alone]]], n[alone]))
             for s, x in answers.items():
-                a, z = (ends[c[s] - 1] if c[s] else 0), ends[c[s + 1] - 1]
-                late[a:z] = unbits(x, z - a)
+                own[sent[s]:sent[s + 1]] = unbits(x, sent[s + 1] - sent[s])
+            late[np.repeat(~alone, n)] = own
             # each occurrence of a content: all its windows are repeats, unless it is in the block's smallest document with that content
             x = use[order]
             m = g.n[x]
@@ -390,6 +474,6 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
                          pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))), pa.array(kept, pa.binary())],
                         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    hit = serve(per_block(blocks, ask_anchors, "_s int, _b long, key binary, several binary"), shards, shared, "_s int, _b long, hit binary")
+    hit = serve(per_block(blocks, ask_anchors, "_s int, _b long, key binary, several binary, size binary"), shards, shared, "_s int, _b long, hit binary, hot binary")
     asked = meet(blocks, hit, ask_segments, "_s int, _b long, part int, n binary, texts binary, docs binary, row binary, key binary")
     return meet(blocks, serve(asked, shards, compare, "_b long, part int, late binary"), finish, SCHEMA)

@@ -103,6 +103,33 @@ def test_suffix_dedup_with_queues_on_disk(docs, rows):
     compare(suffixes.remove_substrings(docs, queue_bytes=4096), brute.bytes50(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def around_a_passage(n, seed=5):
+    """Documents that share one passage, each with text of its own on both sides; some have the same text after it."""
+    r = random.Random(seed)
+    letters = lambda k: "".join(r.choice("abcdefghijklmnop ") for _ in range(k))
+    passage, tails = letters(120), [letters(60) for _ in range(20)]
+    return [(i, f"{letters(70)}{passage}{r.choice(tails) if i % 3 == 0 else letters(70)}") for i in range(n)]
+
+
+def test_suffix_dedup_spreads_the_ends_of_a_shared_passage(spark, monkeypatch):
+    rows, asked = around_a_passage(9000), []
+    serve = suffixes.serve
+    monkeypatch.setattr(suffixes, "serve", lambda requests, *a, **b: (asked.append(requests), serve(requests, *a, **b))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    compare(suffixes.remove_substrings(docs), brute.bytes50(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    load = [r[1] for r in asked[1].groupBy("_s").agg(F.sum(F.octet_length("texts") + F.octet_length("key"))).collect()]
+    assert max(load) < 1.5 * sum(load) / 8
+
+
+@pytest.mark.parametrize("hot", [0, 3, 40])
+def test_suffix_dedup_with_hot_anchors(docs, rows, hot):
+    compare(suffixes.remove_substrings(docs, hot=hot), brute.bytes50(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    more = docs.select("doc_id", "text").unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("\u00fc"), "text").alias("text")))
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    lists = lambda d: sorted(d.select(*cols).collect(), key=str)
+    assert lists(suffixes.remove_substrings(more, hot=hot)) == lists(suffixes.remove_substrings(more))
+
+
 @pytest.mark.parametrize("letters", [2, 3, 5, 200])
 def test_suffix_order(letters):
     rng = np.random.default_rng(letters)
