@@ -136,6 +136,11 @@ def serve(requests: DataFrame, n: int, answer: Callable[[pa.Table], Iterable[pa.
         if got and sum(b.num_rows for b in got):
             for t in answer(pa.Table.from_batches(got)):
                 yield from t.to_batches()
+    return stream(requests, n, run, schema, key)
+
+
+def stream(requests: DataFrame, n: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, key: str = "_s") -> DataFrame:
+    """The same for a shard that takes its requests batch by batch."""
     return requests.repartitionById(n, F.col(key).cast("int")).mapInArrow(run, schema)
 
 

@@ -6,13 +6,15 @@ of a passage that many documents share, each with its own text beside it) is *ho
 that they spread over all shards.  The shard sorts the suffixes of all its
 segments.  Suffixes are divided by whether they are larger (L) or smaller (S) than the next; the first S of each run is sorted by
 induction, named, and, where names repeat, sorted as a string of names; from their order that of all L and then all S suffixes is induced through
-queues by first byte, which live on disk beyond a memory budget.  Neighbours in the order with a common prefix of 50 bytes are the same
+queues by first byte, which live on disk beyond a memory budget.  A shard reads its requests as a stream; beyond a budget it deals them by their hash
+into buckets on disk and sorts these one after another, so what a task holds doesn't grow with its shard.  Neighbours in the order with a common prefix of 50 bytes are the same
 string; the smallest doc_id of such a group decides which windows are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stripline.llm.common import (BLOCK_BYTES, CODES, Docs, bits, blobs, blocked, cuts, groups, meet, mix, null_ids, pack48, parts, per_block, powers, serve,
-                                  slices, unbits, unpack48, unpacked, windows)
+                                  slices, stream, unbits, unpack48, unpacked, windows)
 
 WINDOW, ANCHOR = 50, 24
 SHARD_BYTES = 8 << 20  # a sort takes about twenty times the bytes that a shard gathers
 QUEUE_BYTES = 192 << 20  # what the queues of a sort hold in memory
+SORT_BYTES = 16 << 20  # requests that a shard compares at once; those beyond go to disk by bucket
+BUCKETS = 256  # by the lowest byte of a hash
 PIECE, HOT = 128, 4096  # an anchor is hot if the distinct segments that blocks would send for it have more than so many pieces of 128 bytes
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,bytes:long>>, kept binary"
 
@@ -74,6 +78,74 @@ class Queues:
         return np.concatenate(got) if got else np.zeros(0, np.int32)
 
 
+class Requests:
+    """What blocks ask of a shard: block, part, windows and bytes of segments (or first halves of window hashes), doc_ids, keys (or second halves).
+
+    Beyond the budget all is dealt into buckets in an unnamed temporary file.  A key lies in one bucket.
+    """
+
+    def __init__(self, budget: int, shards: int, window: int):
+        self.budget, self.shards, self.more = budget, shards, window - 1
+        self.held, self.size, self.file, self.end = [], 0, None, 0
+        self.places: list[list] = [[] for _ in range(BUCKETS)]
+        self.sizes = [0] * BUCKETS
+
+    def put(self, b: int, part: int, n: np.ndarray, text: bytes, doc: np.ndarray, key: bytes) -> None:
+        self.held.append((b, part, 0, BUCKETS, n, text, doc, key))
+        self.size += n.nbytes + len(text) + doc.nbytes + len(key)
+        if self.size > self.budget:
+            self.spill()
+
+    def split(self, b: int, part: int, n: np.ndarray, text: bytes, doc: np.ndarray, key: bytes) -> Iterator[tuple]:
+        alone = part >= self.shards
+        bucket = np.frombuffer(text, np.uint8)[::8] if alone else np.frombuffer(key, np.uint8)[::6]
+        order = np.argsort(bucket, kind="stable")
+        keys = np.frombuffer(key, np.uint8).reshape(len(bucket), -1)
+        z = np.cumsum(n.astype(np.int64) + self.more) if not alone else np.arange(8, len(text) + 8, 8)
+        a = np.concatenate([[0], z[:-1]]).tolist()
+        z = z.tolist()
+        for x in np.split(order, groups(bucket[order])[1:]):
+            k = int(bucket[x[0]])
+            yield b, part, k, k + 1, n if alone else n[x], b"".join([text[a[i]:z[i]] for i in x.tolist()]), doc[x], keys[x].tobytes()
+
+    def spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        dealt: list[list] = [[] for _ in range(BUCKETS)]
+        while self.held:
+            b, part, _, _, *rest = self.held.pop()
+            for x in self.split(b, part, *rest):
+                dealt[x[2]].append(x)
+        for k, items in enumerate(dealt):
+            if items:
+                data = pickle.dumps(items, pickle.HIGHEST_PROTOCOL)
+                self.file.seek(self.end)
+                self.file.write(data)
+                self.places[k].append((self.end, len(data)))
+                self.sizes[k] += len(data)
+                self.end += len(data)
+        self.size = 0
+
+    def together(self) -> Iterator[list[tuple]]:
+        """All requests, those of as many buckets at once as the budget holds (one at least)."""
+        if self.file is None:
+            if self.held:
+                yield self.held
+            return
+        self.spill()
+        k = 0
+        while k < BUCKETS:
+            size, got = 0, []
+            while k < BUCKETS and (not size or size + self.sizes[k] <= self.budget):
+                for at, length in self.places[k]:
+                    self.file.seek(at)
+                    got += pickle.loads(self.file.read(length))
+                size += self.sizes[k]
+                k += 1
+            if got:
+                yield got
+
+
 def types(t: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one (the last counts as smaller)."""
     n = len(t)
@@ -200,7 +272,7 @@ class Segments:
 
 
 def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, per_block_bytes: int = BLOCK_BYTES, with_bytes: bool = True,
-                      queue_bytes: int = QUEUE_BYTES, hot: int = HOT) -> DataFrame:
+                      queue_bytes: int = QUEUE_BYTES, hot: int = HOT, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """Texts without the bytes covered by a ``window``-byte string that also starts in a document with a smaller doc_id.
 
     docs: ``doc_id, text`` as UTF-8 (null: empty); matches don't cross documents; overlaps count; strings are judged on the input.  Returns a row for each
@@ -341,38 +413,45 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["_s", "_b", "part", "n", "texts", "docs", "row", "key"])
 
-    def compare(t: pa.Table) -> Iterable[pa.Table]:
-        part = t.column("part").to_numpy()
-        out = [(b, k, x) for b, k, x in zip(t.column("_b").to_pylist(), part.tolist(), blobs(t.column("n"))) if k < 0]
-        ask = t.filter(pa.array(part >= shards))
-        if ask.num_rows:
-            out += zip(ask.column("_b").to_pylist(), ask.column("part").to_pylist(), late_windows(ask))
-        ask = t.filter(pa.array((part >= 0) & (part < shards)))
-        if ask.num_rows:
-            n = [np.frombuffer(x, np.uint32).astype(np.int64) for x in blobs(ask.column("n"))]
-            doc = row_docs(ask)
-            buf = np.frombuffer(b"".join(blobs(ask.column("texts"))), np.uint8)
-            count = np.concatenate(n)
-            smallest = smallest_docs(buf, count, doc, np.concatenate([unpack48(x) for x in blobs(ask.column("key"))]))
-            late = smallest < np.repeat(doc, count)
-            ends = np.cumsum([x.sum() for x in n])
-            out += [(b, k, bits(x)) for b, k, x in zip(ask.column("_b").to_pylist(), ask.column("part").to_pylist(), np.split(late, ends[:-1]))]
-        yield pa.table([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["_b", "part", "late"])
-
-    def row_docs(ask: pa.Table) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(y, np.uint32)] for x, y in zip(blobs(ask.column("docs")), blobs(ask.column("row")))])
-
-    def late_windows(ask: pa.Table) -> list[bytes]:
-        """Which of the blocks' windows of hot anchors also start in a document with a smaller doc_id."""
-        one = [np.frombuffer(x, np.uint64) for x in blobs(ask.column("texts"))]
-        a, z, doc = np.concatenate(one), np.frombuffer(b"".join(blobs(ask.column("key"))), np.uint64), row_docs(ask)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["_b", "part", "low", "high", "late"])
+
+        requests = Requests(sort_bytes, shards, window)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, part, n, text, docs, row, key = (batch.column(k)[i].as_py() for k in ("_b", "part", "n", "texts", "docs", "row", "key"))
+                if part < 0:
+                    yield answer([(b, part, 0, BUCKETS, n)])
+                else:
+                    requests.put(b, part, np.frombuffer(n, np.uint32), text, np.frombuffer(docs, np.int64)[np.frombuffer(row, np.uint32)], key)
+            del batch
+        for asks in requests.together():
+            for some, fn in (([x for x in asks if x[1] < shards], late_segments), ([x for x in asks if x[1] >= shards], late_windows)):
+                if some:
+                    yield answer([(*x[:4], late) for x, late in zip(some, fn(some))])
+
+    def late_segments(asks: list[tuple]) -> list[bytes]:
+        """Which of the blocks' windows also start in a document with a smaller doc_id."""
+        n = [x[4].astype(np.int64) for x in asks]
+        doc = np.concatenate([x[6] for x in asks])
+        count = np.concatenate(n)
+        smallest = smallest_docs(np.frombuffer(b"".join([x[5] for x in asks]), np.uint8), count, doc, np.concatenate([unpack48(x[7]) for x in asks]))
+        late = smallest < np.repeat(doc, count)
+        return [bits(x) for x in np.split(late, np.cumsum([x.sum() for x in n])[:-1])]
+
+    def late_windows(asks: list[tuple]) -> list[bytes]:
+        """The same for windows of hot anchors."""
+        a, z = (np.frombuffer(b"".join([x[k] for x in asks]), np.uint64) for k in (5, 7))
+        doc = np.concatenate([x[6] for x in asks])
         order = np.lexsort((doc, z, a))
         new = np.ones(len(order), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (z[order][1:] != z[order][:-1])
         f = np.flatnonzero(new)
         late = np.empty(len(order), bool)
         late[order] = np.repeat(doc[order[f]], np.diff(np.append(f, len(order)))) < doc[order]
-        return [bits(x) for x in np.split(late, np.cumsum([len(x) for x in one])[:-1])]
+        return [bits(x) for x in np.split(late, np.cumsum([len(x[6]) for x in asks])[:-1])]
 
     def smallest_docs(buf: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Smallest doc_id that holds each window of the segments, which lie one after another with ``count`` windows each.
@@ -419,11 +498,23 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         out[place] = np.repeat(best, np.diff(np.append(f, len(suffix))))
         return out
 
+    def answered(answers: dict[tuple[int, int, int], bytes], first: int, c: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The answers of all shards to requests of ``n`` windows each, as sent: shard s, part ``first + s``, got those from ``c[s]`` on."""
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = np.zeros(int(ends[-1]), bool)
+        for (part, low, high), x in answers.items():
+            s = part - first
+            if 0 <= s < shards:
+                a, z = c[s], c[s + 1]
+                its = np.flatnonzero(np.repeat((bucket[a:z] >= low) & (bucket[a:z] < high), n[a:z])) + ends[a]
+                out[its] = unbits(x, len(its))
+        return out
+
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         d = unpacked(t)
-        answers = dict(zip(got.column("part").to_pylist(), blobs(got.column("late"))))
+        answers = {x[:3]: x[3] for x in zip(*[got.column(k).to_pylist() for k in ("part", "low", "high")], blobs(got.column("late")))}
         covered = np.zeros(len(d.buf) + 1, np.int64)
-        mask, many = answers.pop(-1, b""), answers.pop(-2, b"")
+        mask, many = (answers.pop((k, 0, BUCKETS), b"") for k in (-1, -2))
         if any(mask):
             g = Segments(d, window, anchor)
             use = np.flatnonzero(unbits(mask, len(g.n)))
@@ -432,20 +523,13 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             n = g.n[e]
             ends = np.cumsum(n)
             alone = unbits(many, len(g.n))[e]
-            sent = np.concatenate([[0], np.cumsum(n[~alone])])[cuts(g.key[e[~alone]], shards)]  # windows before each shard's
-            own = np.zeros(int(sent[-1]), bool)
             late = np.zeros(int(ends[-1]), bool)
             if alone.any():
                 one, _, least, of = distinct_windows(d, g, e[alone])
-                c = cuts(one, shards)
-                before = np.zeros(len(one), bool)
-                for s in range(shards):
-                    if c[s + 1] > c[s]:
-                        before[c[s]:c[s + 1]] = unbits(answers.pop(shards + s), c[s + 1] - c[s])
+                before = answered(answers, shards, cuts(one, shards), one.astype(np.uint8), np.ones(len(one), np.int64))
                 late[np.repeat(alone, n)] = before[of] | (d.doc[least][of] < np.repeat(d.doc[g.row[e[alone]]], n[alone]))
-            for s, x in answers.items():
-                own[sent[s]:sent[s + 1]] = unbits(x, sent[s + 1] - sent[s])
-            late[np.repeat(~alone, n)] = own
+            key = g.key[e[~alone]]
+            late[np.repeat(~alone, n)] = answered(answers, 0, cuts(key, shards), np.frombuffer(pack48(key, n=shards), np.uint8)[::6], n[~alone])
             # each occurrence of a content: all its windows are repeats, unless it is in the block's smallest document with that content
             x = use[order]
             m = g.n[x]
@@ -476,4 +560,4 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
     hit = serve(per_block(blocks, ask_anchors, "_s int, _b long, key binary, several binary, size binary"), shards, shared, "_s int, _b long, hit binary, hot binary")
     asked = meet(blocks, hit, ask_segments, "_s int, _b long, part int, n binary, texts binary, docs binary, row binary, key binary")
-    return meet(blocks, serve(asked, shards, compare, "_b long, part int, late binary"), finish, SCHEMA)
+    return meet(blocks, stream(asked, shards, compare, "_b long, part int, low int, high int, late binary"), finish, SCHEMA)

@@ -113,8 +113,8 @@ def around_a_passage(n, seed=5):
 
 def test_suffix_dedup_spreads_the_ends_of_a_shared_passage(spark, monkeypatch):
     rows, asked = around_a_passage(9000), []
-    serve = suffixes.serve
-    monkeypatch.setattr(suffixes, "serve", lambda requests, *a, **b: (asked.append(requests), serve(requests, *a, **b))[1])
+    for name in {"serve", "stream"} & set(vars(suffixes)):
+        monkeypatch.setattr(suffixes, name, lambda requests, *a, f=getattr(suffixes, name), **b: (asked.append(requests), f(requests, *a, **b))[1])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     compare(suffixes.remove_substrings(docs), brute.bytes50(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
     load = [r[1] for r in asked[1].groupBy("_s").agg(F.sum(F.octet_length("texts") + F.octet_length("key"))).collect()]
@@ -130,6 +130,20 @@ def test_suffix_dedup_with_hot_anchors(docs, rows, hot):
     assert lists(suffixes.remove_substrings(more, hot=hot)) == lists(suffixes.remove_substrings(more))
 
 
+@pytest.mark.parametrize("hot", [3, suffixes.HOT])
+def test_suffix_dedup_of_shards_beyond_memory(spark, hot, monkeypatch):
+    rows = [(i * 40 + k, text) for k in range(40) for i, text in around_a_passage(30, k)]
+    order = suffixes.suffix_order
+
+    def small(t, *a):
+        assert len(t) < 12_000  # a whole shard has more
+        return order(t, *a)
+
+    monkeypatch.setattr(suffixes, "suffix_order", small)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    compare(suffixes.remove_substrings(docs, hot=hot, sort_bytes=1000), brute.bytes50(rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
 @pytest.mark.parametrize("letters", [2, 3, 5, 200])
 def test_suffix_order(letters):
     rng = np.random.default_rng(letters)
