@@ -5,7 +5,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns what is left of ``docs``;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripline.session import cut
@@ -32,13 +32,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents that links join, once; documents without an id stay, as nothing names them."""
+    """One row of each group of rows that links join: that of the smallest doc_id (a missing one is the largest).
+
+    Each row is a document of its own, whatever its doc_id; rows without words are linked with nothing, but those of one doc_id stay once.
+    """
     from stripline.llm.jaccard import similar_groups
 
-    kept = similar_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = W.partitionBy("doc_id").orderBy("text")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(once)).filter("_place = 1").drop("_place")
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    keyed = cut(docs.withColumn("_key", F.monotonically_increasing_id()))
+    found = similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
+    named = keyed.select("_key", "doc_id", F.sha2("text", 256).alias("_sha")).join(found, "_key")
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).when(F.col("doc_id").isNull(), F.col("_key"))
+    kept = named.groupBy(group.alias("_group"), F.when(group.isNull(), F.col("doc_id")).alias("_id")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sha", "_key"))["_key"].alias("_key"))
+    return keyed.join(kept.select("_key"), "_key", "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,16 @@ def test_stages(spark, tmp_path):
         rows = {r.doc_id: r for r in got}
 
 
+def test_near_duplicates_without_unique_ids(spark):
+    text = lambda k: " ".join(f"{'abcdefgh'[k]}word{i}" for i in range(200))
+    near = lambda k: text(k) + " end"
+    rows = [(1, text(0)), (2, text(1)), (None, near(0)), (None, near(1)), (None, text(2)), (None, near(2)), (None, text(3)), (7, text(4)), (7, text(5)),
+            (7, text(5)), (8, ""), (8, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, (r.text or "")[:1]) for r in pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == {(1, "a"): 1, (2, "b"): 1, (None, "c"): 1, (None, "d"): 1, (7, "e"): 1, (7, "f"): 1, (8, ""): 1, (None, ""): 2}
+
+
 def test_run_returns_pieces(spark):
     df = pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(df.columns) and df.count() > 0
