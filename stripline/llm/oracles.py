@@ -27,4 +27,18 @@ with recursive d as (select doc_id, {WORDS.format(LOWER.format("coalesce(text, '
  e as (select x, y from o join z a on a.doc_id = x join z b on b.doc_id = y where 100 * m >= 80 * (a.n + b.n - m)),
  reach as (select doc_id x, doc_id y from d union select reach.x, e.y from reach join e on e.x = reach.y)
 select d.doc_id, coalesce(n, 0) n_shingles, c.component_id from d left join z on z.doc_id = d.doc_id join (select x, min(y) component_id from reach group by x) c on c.x = d.doc_id""",
+    "op12_source_divergence": r"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') txt from documents),
+ w as (select r, lang, source, unnest(regexp_extract_all(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) t from d),
+ k as (select lang, t, count(*) tot from w group by all having count(distinct r) >= 3),
+ c as (select w.lang, w.source, t, count(*) n from w join k using (lang, t) group by all),
+ v as (select lang, count(*) vv, sum(tot) ln from k group by all),
+ g as (select x.lang, x.source, coalesce(vv, 0) vv, coalesce(ln, 0) ln, coalesce((select sum(n) from c where c.lang = x.lang and c.source = x.source), 0) nn from (select distinct lang, source from d) x left join v on v.lang = x.lang),
+ p as (select g.lang, g.source, k.t, coalesce(c.n, 0) n, (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.nn + vv))::hugeint p, (1 + (1000000000::hugeint * (tot + 1)) // (g.ln + vv))::hugeint q
+   from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.t = k.t),
+ s as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) s from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all),
+ o as (select a.lang, a.source, 'pair' part, b.source item, coalesce(s, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+   union all select lang, source, 'term', t, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q),
+ z as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) i from o)
+select lang, source, part, item, value, i::integer as rank from z where part = 'pair' or i <= 200""",
 }

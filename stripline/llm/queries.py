@@ -72,5 +72,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from stripline.llm.divergence import audit_sources
+
+    pairs, terms = (d.withColumn("part", F.lit(part)) for d, part in zip(audit_sources(docs(spark, sf_dir)), ("pair", "term")))
+    return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join,
-                                   op8_lm_scoring, op9_fingerprints, op10_quality_rules)}
+                                   op8_lm_scoring, op9_fingerprints, op10_quality_rules, op12_source_divergence)}
