@@ -81,5 +81,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join,
-                                   op8_lm_scoring, op9_fingerprints, op10_quality_rules, op12_source_divergence)}
+                                   op8_lm_scoring, op9_fingerprints, op10_quality_rules, op12_source_divergence, op13_embedding_whitening)}
