@@ -72,6 +72,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripline.llm.secrets import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(docs(spark, sf_dir)))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -88,4 +94,4 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_packing, op4_substring_dedup, op5_suffix_dedup, op6_line_dedup, op7_jaccard_join,
-                                   op8_lm_scoring, op9_fingerprints, op10_quality_rules, op12_source_divergence, op13_embedding_whitening)}
+                                   op8_lm_scoring, op9_fingerprints, op10_quality_rules, op11_secret_scan, op12_source_divergence, op13_embedding_whitening)}
