@@ -301,9 +301,23 @@ def lag_sparse(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: M
 
 def overlap_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], anti: bool = False,
                  width: int | None = None) -> DataFrame:
-    """Left rows that meet (or, with ``anti``, do not meet) any interval of the right."""
+    """Left rows that meet (or, with ``anti``, do not meet) any interval of the right; both half-open.
+
+    No pair is built.  A left interval meets one if, of those that start before its end, the furthest end is beyond its start.  That running maximum is
+    taken inside blocks of the axis, in which each start and each end is one row whatever the number of intervals; a row per block carries it on.
+    """
+    width = size_of(left, "bucket", width)
     keys = list(keys)
-    ident = [*keys, *l]
-    met = overlap_join(left.select(*ident).distinct(), right.select(*keys, F.col(r[0]).alias("_rs"), F.col(r[1]).alias("_re")).distinct(),
-                       keys, l, ("_rs", "_re"), width).select(*ident).distinct()
-    return left.join(met, ident, "left_anti" if anti else "left_semi")
+    ends = left.select(*keys, F.col(l[1]).alias("_at")).distinct()
+    starts = right.filter(F.col(r[0]) < F.col(r[1])).groupBy(*keys, F.col(r[0]).alias("_at")).agg(F.max(r[1]).alias("_to"))
+    both = ends.withColumn("_to", F.lit(None).cast(starts.schema["_to"].dataType)).withColumn("_q", F.lit(0)).unionByName(starts.withColumn("_q", F.lit(1)))
+    both = both.withColumn("_b", F.floor(F.col("_at") / width))
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carry = both.groupBy(*keys, "_b").agg(F.max("_to").alias("_m")).withColumn("_c", F.max("_m").over(before)).drop("_m")
+    here = W.partitionBy(*keys, "_b").orderBy("_at", "_q").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = both.withColumn("_n", F.max("_to").over(here)).filter("_q = 0")
+    same = [near[k].eqNullSafe(carry[k]) for k in (*keys, "_b")]
+    far = near.join(carry.select(*keys, "_b", "_c"), same).select(*[near[k] for k in keys], near["_at"].alias(l[1]), F.greatest("_n", "_c").alias("_far"))
+    out = left.join(far, [*keys, l[1]], "left")
+    meets = F.coalesce((F.col("_far") > F.col(l[0])) & (F.col(l[0]) < F.col(l[1])), F.lit(False))
+    return out.filter(~meets if anti else meets).select(*left.columns)

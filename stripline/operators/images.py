@@ -8,6 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stripline.operators.blocks import overlap_join
+from stripline.operators.graph import components, joined
+from stripline.session import cut
 
 
 def image_job(images: DataFrame, keys: Sequence[str], ddl: str, fn: Callable, extra: Sequence[str] = ()) -> DataFrame:
@@ -133,48 +138,105 @@ def strip_scan(images: DataFrame, keys: Sequence[str], std_max: float = 7.0, edg
     return image_job(images, keys, "y long, center long, uniform_std double, edge_mean double, full_std double, full_edge double", fn)
 
 
-def dark_components(images: DataFrame, keys: Sequence[str], threshold: int = 175) -> DataFrame:
+STRIP_PIXELS = 1 << 20  # pixels of a strip that one task labels
+
+
+def dark_components(images: DataFrame, keys: Sequence[str], threshold: int = 175, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
     """4-connected components of dark pixels: box and pixel count.
 
-    Pixel runs of neighbouring rows that overlap are joined by the lowest run number.
+    An image of more than ``strip_pixels`` is cut into strips of whole rows, which spread over tasks and are labelled apart, by their runs of dark pixels.
+    Components that touch the seam of two strips are joined where their runs overlap; all others are done.
     """
-    def fn(px, _):
+    keys = list(keys)
+    kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in images.schema.fields if f.name in keys)
+    more = "strip long, strips long, label long, x long, y long, x2 long, y2 long, pixels long, top array<struct<a: bigint, z: bigint>>, bottom array<struct<a: bigint, z: bigint>>"
+
+    def strips(batches):
         import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                w, h = cols["width"][i].as_py(), cols["height"][i].as_py()
+                if not w or not h or w < 0:
+                    continue
+                data = np.frombuffer(cols["data"][i].as_buffer(), dtype=np.uint8)
+                step = max(1, strip_pixels // w)
+                of, row = -(-h // step), len(data) // h
+                for s in range(of):
+                    y, z = s * step, min(h, (s + 1) * step)
+                    values = [cols[k].slice(i, 1) for k in keys] + [pa.array([v], pa.int64()) for v in (s, of, y, w, z - y)]
+                    yield pa.RecordBatch.from_arrays([*values, pa.array([data[y * row:z * row].tobytes()])], names=[*keys, "strip", "strips", "y", "width", "height", "data"])
+
+    def label(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                w, h, top = (cols[k][i].as_py() for k in ("width", "height", "y"))
+                px = three_channels(np.frombuffer(cols["data"][i].as_buffer(), dtype=np.uint8), h, w)
+                ys, x0, x1 = _dark_runs(px, threshold)
+                if not len(ys):
+                    continue
+                ids, inv = np.unique(_linked_runs(ys, x0, x1, w), return_inverse=True)
+                order = np.argsort(inv, kind="stable")
+                at = np.searchsorted(inv[order], np.arange(len(ids)))
+                a, z, y = x0[order], x1[order], ys[order]
+                stats = [ids, np.minimum.reduceat(a, at), top + np.minimum.reduceat(y, at), np.maximum.reduceat(z, at), top + np.maximum.reduceat(y, at) + 1, np.add.reduceat(z - a, at)]
+                seam = []
+                for row, there in ((0, top > 0), (h - 1, cols["strip"][i].as_py() + 1 < cols["strips"][i].as_py())):
+                    found = [[] for _ in ids]
+                    for k in np.flatnonzero(ys == row).tolist() if there else ():
+                        found[inv[k]].append({"a": int(x0[k]), "z": int(x1[k])})
+                    seam.append(pa.array(found, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))))
+                head = [pa.repeat(cols[k][i], len(ids)) for k in (*keys, "strip", "strips")]
+                yield pa.RecordBatch.from_arrays([*head, *[pa.array(v) for v in stats], *seam], names=[*keys, *[c.split()[0] for c in more.split(", ") if ":" not in c], "top", "bottom"])
+
+    one = F.col("width").cast("long") * F.col("height") <= strip_pixels
+    whole = images.filter(one & (F.col("width") > 0) & (F.col("height") > 0)).select(
+        *keys, *[F.lit(v).cast("long").alias(c) for c, v in (("strip", 0), ("strips", 1), ("y", 0))], "width", "height", "data")
+    size = [F.col("x"), F.col("y"), (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"), "pixels"]
+    done = whole.mapInArrow(label, f"{kt}, {more}").select(*keys, *size)
+    large = images.filter(~one)
+    if large.isEmpty():
+        return done
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cutup = large.select(*keys, "width", "height", "data").mapInArrow(strips, f"{kt}, strip long, strips long, y long, width long, height long, data binary")
+    parts = cut(cutup.repartition(n, *keys, "strip").mapInArrow(label, f"{kt}, {more}"))
+    touches = (F.size("top") > 0) | (F.size("bottom") > 0)
+    done = done.unionByName(parts.filter(~touches).select(*keys, *size))
+    open_ = parts.filter(touches).withColumn("node", F.to_json(F.struct(*keys, "strip", "label")))
+    run = lambda c, shift: open_.select(*keys, (F.col("strip") + shift).alias("_s"), F.col("node").alias(c), F.explode("bottom" if shift else "top").alias("r")).select(
+        *keys, "_s", c, F.col("r.a").alias(f"{c}0"), F.col("r.z").alias(f"{c}1"))
+    edges = overlap_join(run("a", 1), run("b", 0), [*keys, "_s"], ("a0", "a1"), ("b0", "b1"), 1 << 14).select("a", "b").distinct()
+    seamed = open_.join(components(edges), "node", "left").withColumn("_g", F.coalesce("component", "node"))
+    low, high = [[f(c).alias(c) for c in cs] for f, cs in ((F.min, ("x", "y")), (F.max, ("x2", "y2")))]
+    return done.unionByName(seamed.groupBy(*keys, "_g").agg(*low, *high, F.sum("pixels").alias("pixels")).select(*keys, *size))
+
+
+def _dark_runs(px, threshold: int):
+    """Row, start and end of all runs of dark pixels, in reading order."""
+    import numpy as np
+
+    dark = np.round(px.mean(axis=2)) <= threshold
+    edge = np.diff(np.pad(dark.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    ys, x0 = np.nonzero(edge == 1)
+    return ys, x0, np.nonzero(edge == -1)[1]
+
+
+def _linked_runs(ys, x0, x1, width: int):
+    """Component of each run; the runs of the row above that one overlaps are neighbours, so two searches find them."""
+    import numpy as np
 
-        dark = np.round(px.mean(axis=2)) <= threshold
-        edge = np.diff(np.pad(dark.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        ys, x0 = np.nonzero(edge == 1)
-        x1 = np.nonzero(edge == -1)[1]
-        root = list(range(len(ys)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        first = np.searchsorted(ys, np.arange(len(dark) + 1))
-        for y in range(1, len(dark)):
-            i, j = first[y - 1], first[y]
-            while i < first[y] and j < first[y + 1]:
-                if x0[i] < x1[j] and x0[j] < x1[i]:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-                if x1[i] <= x1[j]:
-                    i += 1
-                else:
-                    j += 1
-        label = np.array([find(i) for i in range(len(ys))], dtype=np.int64)
-        ids, inv = np.unique(label, return_inverse=True)
-        big = np.iinfo(np.int64).max
-        low_x, low_y = np.full(len(ids), big), np.full(len(ids), big)
-        top_x, top_y, n = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        np.minimum.at(low_x, inv, x0), np.minimum.at(low_y, inv, ys)
-        np.maximum.at(top_x, inv, x1), np.maximum.at(top_y, inv, ys + 1)
-        np.add.at(n, inv, x1 - x0)
-        return {"x": low_x, "y": low_y, "w": top_x - low_x, "h": top_y - low_y, "pixels": n}
-
-    return image_job(images, keys, "x long, y long, w long, h long, pixels long", fn)
+    above = (ys - 1) * (width + 1)
+    first = np.searchsorted(ys * (width + 1) + x1, above + x0, "right")
+    n = np.maximum(0, np.searchsorted(ys * (width + 1) + x0, above + x1, "left") - first)
+    a = np.repeat(np.arange(len(ys)), n)
+    b = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(a))
+    return joined(len(ys), a, b)
 
 
 def component_context(images: DataFrame, keys: Sequence[str], band: int = 12) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from stripline.functions.geometry import CONTAINMENT, OCR_CONF, containment, detector_gate
 from stripline.operators.blocks import best, overlap_join, overlap_semi, point_join, range_blocks, running, spread
-from stripline.operators.graph import components
+from stripline.operators.graph import components, joined
 from stripline.session import cut
 
 PAGE = ["page"]
 GAP = 18
 CELL = 512  # pixels of a grid cell
-PER_TASK = 50_000  # boxes whose cells are compared together
+PER_TASK = 50_000  # boxes compared by one task
+PAGE_BOXES = 20_000  # boxes of a page that one task merges alone
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -84,58 +85,133 @@ def candidate_boxes(boxes: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     return running(range_blocks(small, keys, order), keys, order, number="number").drop("_b")
 
 
+def _near(page, box, gap: int):
+    """Pairs of boxes of one page that are within ``gap``, a group of them at a time: a sweep along x, each box against the next, then the second next, ...
+
+    ``page`` and ``box[0]`` (x1) are ascending.
+    """
+    import numpy as np
+
+    x1, y1, x2, y2 = box
+    at, shift = np.arange(len(page)), 1
+    while True:
+        at = at[at < len(page) - shift]
+        at = at[(page[at] == page[at + shift]) & (x2[at] + gap >= x1[at + shift])]  # x1 ascends: beyond, no later one can reach
+        if not len(at):
+            return
+        to = at + shift
+        hit = (y2[at] + gap >= y1[to]) & (y2[to] + gap >= y1[at])
+        yield at[hit], to[hit]
+        shift += 1
+
+
+def _closed(page, box, gap: int):
+    """Group of each box after merging until no two boxes of a page are within ``gap``, and the bounds of the groups."""
+    import numpy as np
+
+    group, held = np.arange(len(page)), PER_TASK * 20
+    while True:
+        order = np.lexsort((box[0], page))
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        page, box, group = page[order], box[:, order], back[group]
+        label, some, size = np.arange(len(page)), [], 0
+        for a, b in _near(page, box, gap):
+            some.append((a, b))
+            size += len(a)
+            if size > held:  # pairs of a crowd are joined as they come
+                some = [(np.arange(len(page)), joined(len(page), *(np.concatenate(x) for x in zip(*some))))]
+                size = 0
+        if some:
+            label = joined(len(page), *(np.concatenate(x) for x in zip(*some)))
+        first, number = np.unique(label, return_inverse=True)
+        if len(first) == len(page):
+            return group, box
+        by = np.argsort(number, kind="stable")
+        at = np.searchsorted(number[by], np.arange(len(first)))
+        low, high = (f.reduceat(box[r][:, by], at, axis=1) for f, r in ((np.minimum, slice(0, 2)), (np.maximum, slice(2, 4))))
+        page, box, group = page[first], np.concatenate([low, high]), number[group]
+
+
+def _merged_pages(t, gap: int, keys: list[str]):
+    """All pages of a task, each merged to the end."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    page = t.column("_page").combine_chunks().dictionary_encode().indices.to_numpy()
+    group, box = _closed(page, np.stack([t.column(c).to_numpy() for c in BOX]), gap)
+    rank = np.empty(len(page), np.int64)
+    rank[pc.sort_indices(t.column("id")).to_numpy()] = np.arange(len(page))
+    order = np.lexsort((rank, group))
+    at = np.searchsorted(group[order], np.arange(box.shape[1]))
+    head = t.take(pa.array(order[at]))
+    n = np.add.reduceat(t.column("n").to_numpy()[order], at)
+    return pa.table([*[head.column(k) for k in keys], head.column("id"), *[pa.array(b) for b in box], pa.array(n)], names=[*keys, "id", *BOX, "n"])
+
+
 def _linked(t, gap: int):
-    """Spanning forest of the boxes of each cell that are within ``gap`` of each other: compared in tiles, no pair leaves the task."""
+    """Boxes of each cell with the one they merge into inside the cell."""
     import numpy as np
     import pyarrow as pa
 
-    cell = t.column("_cell").to_numpy()
-    order = np.argsort(cell, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0, [True]]))
-    crowd = np.flatnonzero(np.diff(at) > 1)
-    node, tile = t.column("node"), 512
-    x1, y1, x2, y2 = (t.column(c).to_numpy()[order] for c in BOX)
-    root = np.arange(len(x1))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    pairs = []
-    spans = [(int(at[k]), int(at[k + 1])) for k in crowd]
-    for i, j, end in ((i, j, end) for first, end in spans for i in range(first, end, tile) for j in range(first, i + 1, tile)):
-        a, b = slice(i, min(end, i + tile)), slice(j, min(end, j + tile))
-        near = ((x2[a][:, None] + gap >= x1[b]) & (x2[b] + gap >= x1[a][:, None]) & (y2[a][:, None] + gap >= y1[b]) & (y2[b] + gap >= y1[a][:, None]))
-        for p, q in np.argwhere(near).tolist():
-            p, q = find(i + p), find(j + q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                pairs.append((p, q))
-    take = lambda k: node.take(pa.array(order[[p[k] for p in pairs]] if pairs else [], pa.int64()))
-    return pa.table([take(0), take(1)], names=["a", "b"])
-
-
-def merge_boxes(boxes: DataFrame, gap: int = GAP, keys: Sequence[str] = PAGE, cell: int = CELL) -> DataFrame:
+    cell = t.column("_cell").combine_chunks().dictionary_encode().indices.to_numpy()
+    group, _ = _closed(cell, np.stack([t.column(c).to_numpy() for c in BOX]), gap)
+    order = np.argsort(group, kind="stable")
+    new = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    pick = head != order
+    node = t.column("node")
+    return pa.table([node.take(pa.array(order[pick])), node.take(pa.array(head[pick]))], names=["a", "b"])
+
+
+def _collapsed(boxes: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    """One box for all whose upper left corners share a square of ``gap`` + 1 pixels: these are within ``gap``, and so no square is crowded any more."""
+    corner = boxes.withColumns({"_cx": F.floor(F.col("x1") / (gap + 1)), "_cy": F.floor(F.col("y1") / (gap + 1))})
+    low, high = [[f(c).alias(c) for c in cs] for f, cs in ((F.min, ("x1", "y1")), (F.max, ("x2", "y2")))]
+    return corner.groupBy(*keys, "_cx", "_cy").agg(F.min("id").alias("id"), *low, *high, F.sum("n").alias("n")).drop("_cx", "_cy")
+
+
+def merge_boxes(boxes: DataFrame, gap: int = GAP, keys: Sequence[str] = PAGE, cell: int = CELL, page_boxes: int = PAGE_BOXES) -> DataFrame:
     """Boxes merged until no two are within ``gap`` pixels of each other.
 
-    Boxes meet in cells of ``cell`` pixels, each of which returns a spanning forest of its neighbours; whole components are merged at once, and the bounds
-    that grew meet again.  Merging is monotone: the result does not depend on the order.  A merged box has the smallest id.
+    Boxes with neighbouring corners become one first, before any shuffle, so a crowd costs no more than the squares it covers.  A page that then has at
+    most ``page_boxes`` is merged to the end in one task; the boxes of larger pages meet in cells of ``cell`` pixels, whose groups are joined across cells,
+    and of the merged boxes only those that grew meet their cells again.  Merging is monotone: the result does not depend on the order.  A merged
+    box has the smallest id.
     """
     keys = list(keys)
-    half = (gap + 1) // 2
-    cur = cut(boxes.select(*keys, F.col("id").cast("string").alias("id"), *BOX, F.lit(1).cast("long").alias("n")))
+    spark = boxes.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = _collapsed(boxes.select(*keys, F.col("id").cast("string").alias("id"), *[F.col(c).cast("long").alias(c) for c in BOX], F.lit(1).cast("long").alias("n")), gap, keys)
+    first = cut(first.withColumn("_page", F.to_json(F.struct(*keys))))
+    many = max(width, -(-first.count() // PER_TASK))
+    total = first.groupBy("_page").count()
+    small, large = first.join(total.filter(F.col("count") <= page_boxes), "_page"), total.filter(F.col("count") > page_boxes)
+    kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema.fields if f.name in (*keys, "id", *BOX, "n"))
+    dealt = spread(small.drop("count").withColumn("_t", F.pmod(F.xxhash64("_page"), F.lit(many))), "_t")
+    done = dealt.groupBy("_t").applyInArrow(lambda t: _merged_pages(t, gap, keys), kt)
+    if large.isEmpty():
+        return done
+    names = [f.name for f in first.schema.fields if f.name != "_page"]
+    return done.unionByName(_merged_in_cells(cut(first.join(large, "_page", "left_semi").select(*names)), gap, keys, cell).select(*done.columns))
+
+
+def _merged_in_cells(cur: DataFrame, gap: int, keys: list[str], cell: int) -> DataFrame:
+    half, width = (gap + 1) // 2, int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cur = cur.withColumn("_grew", F.lit(True))
+    span = lambda a, b: F.sequence(F.floor((F.col(a) - half) / cell), F.floor((F.col(b) + half) / cell))
     while True:
-        span = lambda a, b: F.sequence(F.floor((F.col(a) - half) / cell), F.floor((F.col(b) + half) / cell))
         named = cur.withColumn("node", F.to_json(F.struct(*keys, "id")))
-        cells = named.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2"))).select(*keys, "_gx", "_gy", "node", *BOX)
-        cells = cells.withColumn("_cell", F.xxhash64(*keys, "_gx", "_gy"))  # equal 64-bit hashes count as one cell
-        many = max(int(cur.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cur.count() // PER_TASK))
-        dealt = spread(cells.withColumn("_t", F.pmod("_cell", F.lit(many))), "_t")
+        cells = named.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2")))
+        cells = cells.select(F.to_json(F.struct(*keys, "_gx", "_gy")).alias("_cell"), "node", *BOX, "_grew")
+        touched = cells.filter("_grew").select("_cell").distinct()
+        cells = cells.join(touched, "_cell", "left_semi")
+        many = max(width, -(-cur.count() // PER_TASK))
+        dealt = spread(cells.withColumn("_t", F.pmod(F.xxhash64("_cell"), F.lit(many))), "_t")
         edges = cut(dealt.groupBy("_t").applyInArrow(lambda t: _linked(t, gap), "a string, b string"))
         if edges.isEmpty():
-            return cur
+            return cur.drop("_grew")
         j = named.join(components(edges), "node", "left").withColumn("_g", F.coalesce("component", "node"))
-        cur = cut(j.groupBy(*keys, "_g").agg(F.min("id").alias("id"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-                                             F.sum("n").alias("n")).drop("_g"))
+        low, high = [[f(c).alias(c) for c in cs] for f, cs in ((F.min, ("x1", "y1")), (F.max, ("x2", "y2")))]
+        cur = cut(j.groupBy(*keys, "_g").agg(F.min("id").alias("id"), *low, *high, F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("_grew")).drop("_g"))

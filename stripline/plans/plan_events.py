@@ -8,6 +8,7 @@ from stripline.plans import standins as S
 from stripline.plans.registry import out, query, view
 from stripline.session import shared_dir
 from stripline.streaming import events as V
+from stripline.streaming.tail import append_lines
 
 view("t_trans", """select chapter, ts, event_id, b state_before, state state_after from (select *, lag(state) over (partition by chapter order by ts, event_id) b from t_log) x where b<>state""")
 
@@ -24,8 +25,8 @@ def chapter_transitions(spark, sf):
 @query("chapter_transitions_stream", "select * from t_trans")
 def chapter_transitions_stream(spark, sf):
     root = fresh(spark)
-    V.transition_stream(S.log_of(V.table_stream(spark, sf, "events")), root, f"{root}/checkpoint").awaitTermination()
-    return out(spark.read.parquet(f"{root}/out"), "chapter", "ts", "event_id", "state_before", "state_after")
+    V.transition_stream(S.log_of(V.table_stream(spark, sf, "events")), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return out(V.read_transitions(spark, f"{root}/out").filter("not late"), "chapter", "ts", "event_id", "state_before", "state_after")
 
 
 view("t_jobs", """
@@ -39,18 +40,33 @@ def job_durations(spark, sf):
     return out(V.job_durations(S.log(spark, sf)), "request_id", "requested_at", "started_at", "ended_at", "failed", "duration_ms")
 
 
+FILES = 4  # log files that grow side by side
+
+
+def lines_of(log):
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return log.select(F.to_json(F.struct(*[f.name for f in V.EVENT]), {"timestampFormat": micros, "timestampNTZFormat": micros}).alias("value"))
+
+
 @query("job_durations_stream", "select request_id, failed, duration_ms from t_jobs")
 def job_durations_stream(spark, sf):
-    root = fresh(spark)
-    d = V.job_durations_stream(S.log_of(V.table_stream(spark, sf, "events")))
+    """The log grows by heartbeats days after its last event, which close all requests."""
+    root, e = fresh(spark), S.log(spark, sf)
+    folder = f"{root}/log"
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+    def run():
+        d = V.job_durations_stream(V.log_stream(spark, folder))
+        d.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
-    d.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    r = spark.read.parquet(f"{root}/out")
-    last = r.filter(F.col("batch") == r.agg(F.max("batch")).scalar())
-    return out(last, "request_id", "failed", "duration_ms")
+    sizes = append_lines(lines_of(e), folder, FILES)
+    run()
+    for days in (4, 8):  # the first moves the watermark, the second is the trigger after that
+        beat = e.agg((F.max("ts") + F.expr(f"interval {days} days")).alias("ts")).select(
+            F.lit(-days).cast("long").alias("event_id"), "ts", *[F.lit(None).cast("string").alias(c) for c in ("chapter", "request_id")], F.lit("heartbeat").alias("event"),
+            *[F.lit(None).cast("string").alias(c) for c in ("state", "props")])
+        sizes = append_lines(lines_of(beat), folder, FILES, sizes)
+        run()
+    return out(spark.read.parquet(f"{root}/out").filter("request_id is not null"), "request_id", "failed", "duration_ms")
 
 
 @query("event_append", "select event_id, chapter, request_id, event, state from t_log")
@@ -63,10 +79,13 @@ def event_append(spark, sf):
 
 @query("event_stream", "select event, state, count(*) n from t_log group by all")
 def event_stream(spark, sf):
-    root = fresh(spark)
-    V.event_append(S.log_of(V.table_stream(spark, sf, "events")), f"{root}/log", f"{root}/c1").awaitTermination()
-    s = V.event_stream(spark, f"{root}/log")
-    s.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/c2").trigger(availableNow=True).start().awaitTermination()
+    """Log files that grow between two runs of one stream."""
+    root, e = fresh(spark), S.log(spark, sf)
+    folder, sizes = f"{root}/log", None
+    for half in (0, 1):
+        sizes = append_lines(lines_of(e.filter(F.col("event_id") % 2 == half)), folder, FILES, sizes)
+        s = V.log_stream(spark, folder)
+        s.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/c2").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/table").groupBy("event", "state").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -42,7 +42,12 @@ def slice_features(spark, sf):
     return out(f, "doc_id", mean=F.round("mean", 4), std=F.round("std", 4), row_std=F.round("row_std", 6), **{c: F.col(c) for c in ("content", "bright", "dark")})
 
 
-@query("dark_components")
+@query("dark_components", """
+with recursive t_run as (select row_number() over (order by doc_id, y, min(x)) i, doc_id, y, min(x) a, max(x)+1 z from (select doc_id, y, x, x-row_number() over (partition by doc_id, y order by x) k from t_pix where round_even((b+g+r)/3.0, 0)<=100) p group by doc_id, y, k),
+ t_touch as (select u.i a, l.i b from t_run u join t_run l on u.doc_id=l.doc_id and l.y=u.y+1 and u.a<l.z and l.a<u.z),
+ t_link as (select a, b from t_touch union all select b, a from t_touch),
+ cc(i, lab) using key (i) as (select i, i from t_run union select e.b, min(c.lab) from cc c join t_link e on e.a=c.i join recurring.cc o on o.i=e.b where c.lab<o.lab group by e.b)
+select doc_id, min(a) x, min(y) y, max(z)-min(a) w, max(y)+1-min(y) h, sum(z-a)::bigint pixels from t_run join cc using (i) group by doc_id, lab""")
 def dark_components(spark, sf):
     return out(I.dark_components(S.images(spark, sf), ["doc_id"], DARK), "doc_id", "x", "y", "w", "h", "pixels")
 

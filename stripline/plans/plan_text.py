@@ -189,6 +189,12 @@ def mask_report(spark, sf):
     return X.mask_report(page_masks(spark, sf))
 
 
-@query("merge_boxes")
+@query("merge_boxes", """
+with recursive m(it, page, id, lab, x1, y1, x2, y2) as (
+ select 0, page, id, id, x1, y1, x2, y2 from t_box where role_='ocr' union all
+ select it+1, page, id, lab, min(x1) over g, min(y1) over g, max(x2) over g, max(y2) over g from (
+  select a.it, a.page, a.id, min(b.lab) lab, min(b.x1) x1, min(b.y1) y1, max(b.x2) x2, max(b.y2) y2 from m a join m b
+   on a.page=b.page and a.x2+18>=b.x1 and b.x2+18>=a.x1 and a.y2+18>=b.y1 and b.y2+18>=a.y1 where a.it<24 group by a.it, a.page, a.id) x window g as (partition by page, lab))
+select page, lab id, x1, y1, x2, y2, count(*) n from m where it=24 group by all""")
 def merge_boxes(spark, sf):
     return out(X.merge_boxes(boxes(spark, sf, "ocr")), "page", "id", "x1", "y1", "x2", "y2", "n")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from stripline.operators.blocks import neighbours, range_blocks, running
 from stripline.session import cut
+from stripline.streaming.tail import RANGE_BYTES, tail
 
 EVENT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("chapter", T.StringType()),
@@ -15,8 +17,13 @@ EVENT = T.StructType([
 ])
 
 
+def log_stream(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A JSON-lines log that grows, one file or the files of a folder, as a stream with a declared schema."""
+    return tail(spark, path, range_bytes).select(F.from_json("value", EVENT).alias("e")).select("e.*")
+
+
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """JSON-lines log as a stream with a declared schema."""
+    """JSON-lines log of files that never change, as a stream with a declared schema; see :func:`log_stream` for files that grow."""
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
@@ -39,33 +46,59 @@ def transitions(log: DataFrame) -> DataFrame:
     return d.filter(F.col("state_before") != F.col("state")).select("chapter", "ts", "event_id", "state_before", F.col("state").alias("state_after"))
 
 
-def last_states(log: DataFrame) -> DataFrame:
-    return log.groupBy("chapter").agg(F.max_by(F.struct("ts", "event_id", "state"), F.struct("ts", "event_id")).alias("l")).select("chapter", "l.*")
+class _Transitions(StatefulProcessor):
+    """The last event of a chapter; rows of a trigger are put in event order and compared with it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts long, event_id long, state string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        had = self.last.get() if self.last.exists() else None
+        last, before = ((had[0], had[1]), had[2]) if had else (None, None)
+        found = [(r.us, r.event_id, r.state) for r in rows]
+        found.sort(key=lambda e: (e[0] is not None, e[0] or 0, e[1] is not None, e[1] or 0))
+        repeated = None
+        for ts, event_id, state in found:
+            at = (ts, event_id)
+            if at == repeated:
+                continue
+            if None in at or (had and at <= (had[0], had[1])):
+                yield Row(chapter=key[0], us=ts, event_id=event_id, state_before=None, state_after=state, late=True)
+            else:
+                if last is not None and before is not None and state is not None and before != state:
+                    yield Row(chapter=key[0], us=ts, event_id=event_id, state_before=before, state_after=state, late=False)
+                last, before = at, state
+            repeated = at
+        if last is not None and (not had or last != (had[0], had[1])):
+            self.last.update((last[0], last[1], before))
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Streams that start from here on keep their state in RocksDB, which state by key needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def transition_stream(events: DataFrame, root: str, checkpoint: str):
-    """Streaming transitions: every micro-batch starts from the last state per chapter that the batch before left.
+    """Streaming transitions, written to ``root`` by ``late``: the state by chapter is its last event, so a trigger's work follows its own rows.
 
-    An event that is not after its chapter's last state is late: it changes nothing and goes to ``late/<batch>``.  The state is a table per batch
-    (``state/<batch>``), so a repeated batch reads and writes the same versions; older ones are deleted.
+    An event that is not after its chapter's last state of the triggers before, or that has no time or number, is late: it changes nothing and goes to
+    ``late=true`` with its state as ``state_after``.  Events repeated within a trigger count once.  The rows of a chapter in one trigger are sorted in
+    one task, so the trigger bounds them.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = ["chapter", "ts", "event_id", "state"]
-        new = batch.select(*cols).dropDuplicates(["chapter", "ts", "event_id"])
-        if batch_id > 0:
-            old = spark.read.parquet(f"{root}/state/{batch_id - 1}").select(*cols)
-            seen = old.select("chapter", F.struct("ts", "event_id").alias("_last"))
-            new = cut(new.join(seen, "chapter", "left").withColumn("_late", F.coalesce(F.struct("ts", "event_id") <= F.col("_last"), F.lit(False))).drop("_last"))
-            new.filter("_late").select(*cols).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
-            new = new.filter("not _late").select(*cols).unionByName(old)
-        transitions(new).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        last_states(new).write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
-        if batch_id > 1:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state/{batch_id - 2}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    keyed_state(events.sparkSession)
+    e = events.select("chapter", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "state")
+    out = e.groupBy("chapter").transformWithState(
+        _Transitions(), "chapter string, us long, event_id long, state_before string, state_after string, late boolean", "Append", "None")
+    rows = out.select("chapter", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "event_id", "state_before", "state_after", "late")
+    return rows.writeStream.partitionBy("late").format("parquet").option("path", root).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_transitions(spark: SparkSession, root: str) -> DataFrame:
+    """What :func:`transition_stream` has written, late events (``late``) included."""
+    return spark.read.parquet(root).withColumn("late", F.col("late").cast("boolean"))
 
 
 def _duration(grouped) -> DataFrame:
@@ -83,13 +116,60 @@ def job_durations(log: DataFrame) -> DataFrame:
     return _duration(log.groupBy("request_id"))
 
 
+class _Jobs(StatefulProcessor):
+    """Times of a request, until the watermark is ``gap`` microseconds past its last event."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "requested long, started long, ended long, failed boolean, last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        had = self.job.get() if self.job.exists() else (None, None, None, False, None)
+        requested, started, ended, failed, last = had
+        for r in rows:
+            us, event = r.us, r.event
+            if event == "job_requested":
+                requested = us if requested is None else min(requested, us)
+            elif event == "job_started":
+                started = us if started is None else min(started, us)
+            elif event in ("job_finished", "job_failed"):
+                ended = us if ended is None else max(ended, us)
+                failed = failed or event == "job_failed"
+            last = us if last is None else max(last, us)
+        if had[4] is not None and had[4] != last:
+            self.handle.deleteTimer((had[4] + self.gap) // 1000)
+        if had[4] != last:
+            self.handle.registerTimer((last + self.gap) // 1000)
+        self.job.update((requested, started, ended, failed, last))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        requested, started, ended, failed, _ = self.job.get()
+        self.job.clear()
+        yield Row(request_id=key[0], requested=requested, started=started, ended=ended, failed=failed)
+
+    def close(self) -> None:
+        pass
+
+
 def job_durations_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The same over a stream.  A request is a session: its events follow within ``delay``, also across midnight, and the watermark frees its state.
+    """The same over a stream, in append mode: a request's row comes, and its state goes, once the watermark is ``delay`` past its last event.
 
-    An event later than the watermark is left out; one more than ``delay`` after the others would begin another session.
+    The watermark is ``delay`` behind the latest event; what is later than it is left out.  An event that comes again within that time counts once.
+    A request whose events are more than ``delay`` apart may give more than one row.  Events without a time are left out.
     """
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return _duration(e.groupBy(F.session_window("ts", delay), "request_id")).drop("session_window")
+    spark = events.sparkSession
+    keyed_state(spark)
+    e = events.filter("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    e = e.dropDuplicatesWithinWatermark(["event_id"]).select("request_id", "event", "ts", F.unix_micros("ts").alias("us"))
+    gap = spark.range(1).select(F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00' + interval {delay}) - unix_micros(timestamp'1970-01-01 00:00:00')")).first()[0]
+    out = e.groupBy("request_id").transformWithState(_Jobs(gap), "request_id string, requested long, started long, ended long, failed boolean", "Append", "EventTime")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return out.select("request_id", at("requested").alias("requested_at"), at("started").alias("started_at"), at("ended").alias("ended_at"), "failed",
+                      ((F.col("ended") - F.col("started")) / 1000.0).alias("duration_ms"))
 
 
 def latest_batch(files: DataFrame, seconds: int = 12, at: str = "mtime") -> DataFrame:

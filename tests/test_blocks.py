@@ -104,3 +104,25 @@ def test_range_blocks_are_bounded_when_one_key_holds_most_rows(spark):
     finally:
         spark.conf.unset("spark.stripline.block")
     assert sum(sizes) == 30_000 and len(sizes) >= 25 and max(sizes) < 2500
+
+
+def test_overlap_semi_equals_all_pairs(spark):
+    rnd = random.Random(9)
+    span = lambda: (rnd.choice(["a", "a", "b", None]), (x := rnd.randrange(0, 300)), x + rnd.choice([-3, 0, 1, 5, 40, 250]))
+    left, right = [(i, *span()) for i in range(300)], [span() for _ in range(25)]
+    le, ri = spark.createDataFrame(left, "i long, k string, s long, e long"), spark.createDataFrame(right, "k string, s long, e long")
+    want = {i for i, k, s, e in left if any(k is not None and k == k2 and max(s, s2) < min(e, e2) for k2, s2, e2 in right)}
+    for width in (7, 1 << 14):
+        got = B.overlap_semi(le, ri, ["k"], ("s", "e"), ("s", "e"), width=width)
+        assert got.columns == le.columns and sorted(r.i for r in got.collect()) == sorted(want)
+        rest = B.overlap_semi(le, ri, ["k"], ("s", "e"), ("s", "e"), anti=True, width=width)
+        assert sorted(r.i for r in rest.collect()) == sorted(set(range(300)) - want)
+    assert B.overlap_semi(le, ri.limit(0), ["k"], ("s", "e"), ("s", "e")).count() == 0
+
+
+def test_overlap_semi_of_a_million_nested_intervals(spark):
+    n = 1_000_000
+    nest = spark.range(n).select(F.lit("a").alias("k"), (F.lit(n) - F.col("id")).alias("s"), (F.lit(n) + F.col("id") + 1).alias("e"))
+    points = spark.createDataFrame([("a", n, n + 1), ("a", 2 * n + 5, 2 * n + 6), ("a", 1, 2)], "k string, s long, e long")
+    assert sorted(r.s for r in B.overlap_semi(points, nest, ["k"], ("s", "e"), ("s", "e")).collect()) == [1, n]
+    assert B.overlap_semi(nest, points.limit(1), ["k"], ("s", "e"), ("s", "e")).count() == n
