@@ -116,60 +116,18 @@ def job_durations(log: DataFrame) -> DataFrame:
     return _duration(log.groupBy("request_id"))
 
 
-class _Jobs(StatefulProcessor):
-    """Times of a request, until the watermark is ``gap`` microseconds past its last event."""
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", "requested long, started long, ended long, failed boolean, last long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        had = self.job.get() if self.job.exists() else (None, None, None, False, None)
-        requested, started, ended, failed, last = had
-        for r in rows:
-            us, event = r.us, r.event
-            if event == "job_requested":
-                requested = us if requested is None else min(requested, us)
-            elif event == "job_started":
-                started = us if started is None else min(started, us)
-            elif event in ("job_finished", "job_failed"):
-                ended = us if ended is None else max(ended, us)
-                failed = failed or event == "job_failed"
-            last = us if last is None else max(last, us)
-        if had[4] is not None and had[4] != last:
-            self.handle.deleteTimer((had[4] + self.gap) // 1000)
-        if had[4] != last:
-            self.handle.registerTimer((last + self.gap) // 1000)
-        self.job.update((requested, started, ended, failed, last))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        requested, started, ended, failed, _ = self.job.get()
-        self.job.clear()
-        yield Row(request_id=key[0], requested=requested, started=started, ended=ended, failed=failed)
-
-    def close(self) -> None:
-        pass
-
-
 def job_durations_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """The same over a stream, in append mode: a request's row comes, and its state goes, once the watermark is ``delay`` past its last event.
 
-    The watermark is ``delay`` behind the latest event; what is later than it is left out.  An event that comes again within that time counts once.
-    A request whose events are more than ``delay`` apart may give more than one row.  Events without a time are left out.
+    A request is a session: its events follow within ``delay``, also across midnight; one that is further from the others begins another session.  The
+    watermark is ``delay`` behind the latest event; what is later than it is left out, as are events without a time.  An event that comes again within
+    that time counts once.
     """
-    spark = events.sparkSession
-    keyed_state(spark)
-    e = events.filter("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    e = e.dropDuplicatesWithinWatermark(["event_id"]).select("request_id", "event", "ts", F.unix_micros("ts").alias("us"))
-    gap = spark.range(1).select(F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00' + interval {delay}) - unix_micros(timestamp'1970-01-01 00:00:00')")).first()[0]
-    out = e.groupBy("request_id").transformWithState(_Jobs(gap), "request_id string, requested long, started long, ended long, failed boolean", "Append", "EventTime")
-    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    return out.select("request_id", at("requested").alias("requested_at"), at("started").alias("started_at"), at("ended").alias("ended_at"), "failed",
-                      ((F.col("ended") - F.col("started")) / 1000.0).alias("duration_ms"))
+    keyed_state(events.sparkSession)
+    e = events.filter("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    d = _duration(e.groupBy(F.session_window("ts", delay), "request_id"))
+    at = {c: F.col(c).cast("timestamp_ntz") for c in ("requested_at", "started_at", "ended_at")}
+    return d.withColumns(at).select("request_id", *at, "failed", "duration_ms")
 
 
 def latest_batch(files: DataFrame, seconds: int = 12, at: str = "mtime") -> DataFrame:

@@ -27,7 +27,7 @@ def grow(path, *rows, end="\n"):
 
 
 def states(q, k=-1):
-    return [("state" if x["operatorName"].startswith("transformWithState") else x["operatorName"], x["numRowsTotal"], x["numRowsUpdated"]) for x in q.recentProgress[k]["stateOperators"]]
+    return [("state" if x["operatorName"].startswith("sessionWindow") else x["operatorName"], x["numRowsTotal"], x["numRowsUpdated"]) for x in q.recentProgress[k]["stateOperators"]]
 
 
 def test_transitions_over_batches_with_late_events(spark, tmp_path):
