@@ -310,14 +310,13 @@ def overlap_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tupl
     keys = list(keys)
     ends = left.select(*keys, F.col(l[1]).alias("_at")).distinct()
     starts = right.filter(F.col(r[0]) < F.col(r[1])).groupBy(*keys, F.col(r[0]).alias("_at")).agg(F.max(r[1]).alias("_to"))
-    both = ends.withColumn("_to", F.lit(None).cast(starts.schema["_to"].dataType)).withColumn("_q", F.lit(0)).unionByName(starts.withColumn("_q", F.lit(1)))
-    both = both.withColumn("_b", F.floor(F.col("_at") / width))
+    kind = starts.schema["_to"].dataType
+    both = ends.withColumns({"_to": F.lit(None).cast(kind), "_q": F.lit(1)}).unionByName(starts.withColumn("_q", F.lit(2))).withColumn("_b", F.floor(F.col("_at") / width))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = both.groupBy(*keys, "_b").agg(F.max("_to").alias("_m")).withColumn("_c", F.max("_m").over(before)).drop("_m")
-    here = W.partitionBy(*keys, "_b").orderBy("_at", "_q").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = both.withColumn("_n", F.max("_to").over(here)).filter("_q = 0")
-    same = [near[k].eqNullSafe(carry[k]) for k in (*keys, "_b")]
-    far = near.join(carry.select(*keys, "_b", "_c"), same).select(*[near[k] for k in keys], near["_at"].alias(l[1]), F.greatest("_n", "_c").alias("_far"))
+    carry = both.groupBy(*keys, "_b").agg(F.max("_to").alias("_to")).withColumn("_to", F.max("_to").over(before)).filter("_to is not null")
+    carry = carry.select(*keys, F.lit(None).cast(both.schema["_at"].dataType).alias("_at"), "_to", F.lit(0).alias("_q"), "_b")
+    here = W.partitionBy(*keys, "_b").orderBy(F.asc_nulls_first("_at"), "_q").rowsBetween(W.unboundedPreceding, W.currentRow)
+    far = both.unionByName(carry).withColumn("_far", F.max("_to").over(here)).filter("_q = 1").select(*keys, F.col("_at").alias(l[1]), "_far")
     out = left.join(far, [*keys, l[1]], "left")
     meets = F.coalesce((F.col("_far") > F.col(l[0])) & (F.col(l[0]) < F.col(l[1])), F.lit(False))
     return out.filter(~meets if anti else meets).select(*left.columns)
