@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -121,13 +122,30 @@ def mixed_sizes(docs: DataFrame, **params) -> DataFrame:
     return s.join(taken, "_r", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def keyed(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with two columns that tell its rows apart: the file and the row's number in it.  Rows that don't come straight from files are written first."""
+    at = [F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    try:
+        return docs.select("*", *at)
+    except AnalysisException:
+        return cut(docs).select("*", *at)
+
+
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix as documents: the columns of ``docs``, a row for each draw; a document drawn in part keeps its first words, joined by a space."""
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    draws, _ = mix(docs, keep=others, **params)
-    cols = {c: F.col(f"_c{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "source": F.col("source")}
-    words = F.array_remove(F.split(cols["text"], SPACES), "")
-    cols["text"] = F.when(F.col("words") == F.col("size"), cols["text"]).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " "))
+    """The mix as documents: the columns of ``docs``, a row for each draw; a document drawn in part keeps its first words, joined by a space.
+
+    Only keys of rows are drawn; the columns of a document are fetched once, by its key.
+    """
+    names = [next(n for n in (f"{c}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("_file", "_row", "_words", "_size")]
+    file, row, taken, size = names
+    rows = keyed(docs, file, row)
+    draws, _ = mix(rows, keep=(file, row), **params)
+    picked = draws.select(F.col("_c0").alias(file), F.col("_c1").alias(row), F.col("words").alias(taken), F.col("size").alias(size))
+    j = picked.join(rows, [file, row])
+    words = F.array_remove(F.split(F.col("text"), SPACES), "")
+    whole = F.col(taken) == F.col(size)
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(taken).cast("int")), " "))
+    cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("words") == F.col("size"), cols["n_chars"]).otherwise(F.length(cols["text"]).cast("long"))
-    return draws.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+        cols["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return j.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
