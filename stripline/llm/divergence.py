@@ -25,7 +25,7 @@ from stripline.session import cut
 
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 SHARD_BYTES = 16 << 20    # text whose distinct terms one shard counts
-STRETCH_BYTES = 16 << 20  # text whose terms are sorted together
+STRETCH_BYTES = 6 << 20   # text whose terms are sorted together
 PAIRS_AT_ONCE = 1 << 20   # pairs of sources held before they are added up
 
 LETTER = np.zeros(256, bool)
