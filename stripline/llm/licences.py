@@ -73,7 +73,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 FAMILIES = tuple(TEMPLATES)
 BITS, ORDERS = 16, 3
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 6000   # bound of the sample that the unknown class is learned from
-LINES_EACH, LINE_CHARS = 40, 2000        # of each of these documents
+LINE_CHARS = 2000                        # of a longer line, a stretch of so many characters is learned from
 COPIES = 40                              # altered copies of each template
 FALSE_ACCEPTS, CONFIRMED = 0.001, 0.6
 
@@ -214,20 +214,24 @@ SCHEMA = ("doc_id long, n_paragraphs long, n_licence long, n_unconfirmed long, f
           "found array<struct<start:long,family:string,probability:double,template:int>>")
 
 
-def scan_licences(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> DataFrame:
+def scan_licences(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES,
+                  line_chars: int = LINE_CHARS) -> DataFrame:
     """Licence notices of every document.
 
     docs: ``doc_id, text`` (null or empty: one empty paragraph).  Returns a row for each row: ``n_paragraphs``, ``n_licence`` (confirmed notices),
     ``n_unconfirmed`` (accepted by the classifier, not by a template), ``families`` (confirmed, sorted, by comma), the largest ``probability`` of a
     confirmed one (null: none) and the confirmed notices ``found``: byte ``start``, ``family``, ``probability`` and the ``template`` that is nearest.
-    The unknown class is learned from at most ``sample_lines`` lines of ``sample_docs`` documents, picked by a hash; all else covers all.
+    The unknown class is learned from at most ``sample_lines`` lines, picked by a hash from all lines of about ``sample_docs`` documents, which a hash picks too;
+    of a line longer than ``line_chars`` the hash picks a stretch.  All else covers all.
     """
     # an even sample by hash, of about the size asked for at any number of documents, so that few rows reach the driver
     share = min(1.0, 1.5 * sample_docs / max(1, docs.count()))
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text"), F.lit(1 << 40))
-    first = F.transform(F.slice(F.split("text", "\n"), 1, LINES_EACH), lambda x: F.substring(x, 1, LINE_CHARS))
-    sample = docs.filter(F.col("text").isNotNull()).select(place.alias("o"), first.alias("lines")).filter(F.col("o") < int(share * (1 << 40))).limit(2 * sample_docs).collect()
-    lines = [x for r in sorted(sample)[:sample_docs] for x in r.lines if x.strip()][:sample_lines]
+    some = docs.filter(F.col("text").isNotNull()).select(place.alias("o"), "text").filter(F.col("o") < int(share * (1 << 40)))
+    each = some.select("o", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.trim("line") != "").withColumn("h", F.xxhash64("o", "at", "line"))
+    begin = F.pmod("h", F.greatest(F.lit(1), F.length("line") - line_chars + 1)).cast("int")
+    picked = each.select("h", F.substring("line", begin + 1, F.lit(line_chars)).alias("line")).orderBy("h", "line").limit(sample_lines)
+    lines = [r.line for r in picked.collect()]
     model = train(lines)
     proofs = {f: [pairs(t) for t in v] for f, v in templates.items()}
 

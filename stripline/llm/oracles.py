@@ -13,6 +13,15 @@ with d as (select doc_id, {WORDS.format("coalesce(text, '')")} ws from documents
  c as (select w.*, max(r.p) over (partition by w.doc_id order by w.i rows between 19 preceding and current row) is not null gone from w left join r on r.doc_id = w.doc_id and r.p = w.i),
  s as (select doc_id, count(*) n, count(*) filter (gone) m, string_agg(word, ' ' order by i) filter (not gone) kept from c group by doc_id)
 select d.doc_id, coalesce(n, 0)::bigint n_words, coalesce(m, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join s on s.doc_id = d.doc_id""",
+    "op5_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode(coalesce(text, ''))) n from documents),
+ w as (select doc_id, p, substr(x, 2*p+1, 100) t from (select doc_id, x, unnest(range(greatest(0, n-49))) p from d) y),
+ f as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by t) < doc_id r from w) y where r),
+ b as (select doc_id, unnest(regexp_extract_all(x, '..')) h, unnest(range(n)) i from d),
+ c as (select b.*, max(f.p) over (partition by b.doc_id order by b.i rows between 49 preceding and current row) is not null gone from b left join f on f.doc_id = b.doc_id and f.p = b.i),
+ s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) first from c),
+ k as (select doc_id, count(*) filter (gone) n_removed, count(*) filter (first) n_spans, string_agg(h, '' order by i) filter (not gone) kept from s group by doc_id)
+select d.doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join k on k.doc_id = d.doc_id""",
     "op6_line_dedup": f"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
  l as (select doc_id, line, i, {LOWER.format(f"trim(line, {WHITE})")} k from (select doc_id, unnest(ls) line, unnest(range(len(ls))) i from d) x),

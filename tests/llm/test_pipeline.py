@@ -81,3 +81,25 @@ def test_near_duplicates_without_unique_ids(spark):
 def test_run_returns_pieces(spark):
     df = pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(df.columns) and df.count() > 0
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark):
+    """Every stage on rows with missing values, repeated rows, long texts and columns that are named like those the operators use."""
+    import datetime
+
+    at = datetime.datetime(2024, 5, 1, 12, 0, 0, 123456)
+    prose = " ".join(f"word{k} of a plain text" for k in range(30))
+    rows = [(1, prose, "en", "a"), (1, prose, "en", "a"), (2, None, "en", "a"), (3, "", None, None), (None, prose + " more", "en", "b"), (None, None, None, None), (4, "x y z " * 40_000, "de", "b")]
+    names = "_key long, _r long, carry string, words long, size long, _file0 long, at timestamp, _c0 string, o string, _cut_x long, source_size long"
+    wide = [(*r, 777, 1, "c", 2, 3, 4, at, "d", "e", 5, 6) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, " + names
+    docs = spark.createDataFrame(wide, schema)
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        if stage is not pipeline.packing:
+            assert out.columns == docs.columns and len(got) <= 2 * len(rows)
+            assert all((r["_key"], r.carry, r["_file0"], r.at, r["_c0"], r["_cut_x"]) == (777, "c", 4, at, "d", 5) for r in got)
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    kept = [r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert kept.count(1) == 1 and {2, 3, 4} <= set(kept)
