@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from stripline.session import cut
 
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    have = {c.lower() for c in docs.columns}
+    return next(n for n in (f"{name}{i}" for i in range(len(have) + 1)) if n not in have)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the certified cutoffs of their language reject."""
@@ -19,12 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that five or more of them share, but for one place of each."""
+    """All documents, without the lines that five or more of them share, but for one place of each; a null text becomes an empty one."""
     from stripline.llm.lines import drop_repeated_lines
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = docs.select("doc_id", "text", F.to_json(F.struct(*others), {"ignoreNullFields": "false"}).alias("carry"))
-    out = drop_repeated_lines(carried, carry="carry").withColumn("o", F.from_json("carry", docs.select(*others).schema))
+    carried = docs.select("doc_id", "text", F.to_json(F.struct(*others), MICROS).alias("carry"))
+    out = drop_repeated_lines(carried, carry="carry").withColumn("o", F.from_json("carry", docs.select(*others).schema, MICROS))
     cols = {c: F.col(f"o.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("text").cast("long")
@@ -38,13 +46,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     from stripline.llm.jaccard import similar_groups
 
-    keyed = cut(docs.withColumn("_key", F.monotonically_increasing_id()))
-    found = similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
-    named = keyed.select("_key", "doc_id", F.sha2("text", 256).alias("_sha")).join(found, "_key")
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).when(F.col("doc_id").isNull(), F.col("_key"))
+    key = unused(docs, "_key")
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = similar_groups(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("_k"), "n_shingles", "component_id")
+    named = keyed.select(F.col(key).alias("_k"), "doc_id", F.sha2("text", 256).alias("_sha")).join(found, "_k")
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).when(F.col("doc_id").isNull(), F.col("_k"))
     kept = named.groupBy(group.alias("_group"), F.when(group.isNull(), F.col("doc_id")).alias("_id")).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sha", "_key"))["_key"].alias("_key"))
-    return keyed.join(kept.select("_key"), "_key", "left_semi").select(*docs.columns)
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sha", "_k"))["_k"].alias(key))
+    return keyed.join(kept.select(key), key, "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
