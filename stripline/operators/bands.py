@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stripline.operators.blocks import block_window, halo, sessions, spread
@@ -105,15 +106,32 @@ def trimmed_std(profile: DataFrame, half: int = 16, min_core: int = 32, value: s
 
 def median_ring(pixels: DataFrame, keys: Sequence[str], rgb: Sequence[str] = ("r", "g", "b"), bright: float = 210.0,
                 min_bright: int = 50, share: float = 0.35) -> DataFrame:
-    """Median colour and luminance of a group's pixels, of its bright ones where there are enough."""
-    lum = (F.col(rgb[0]) + F.col(rgb[1]) + F.col(rgb[2])) / 3.0
-    p = pixels.withColumn("_l", lum)
-    is_b = F.col("_l") >= bright
-    cols = {**{c: F.col(c) for c in rgb}, "lum": F.col("_l")}
-    g = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(is_b).alias("_nb"),
-        *[F.median(c).alias(f"_a_{k}") for k, c in cols.items()], *[F.median(F.when(is_b, c)).alias(f"_b_{k}") for k, c in cols.items()],
-        F.stddev_pop("_l").alias("_a_std"), F.stddev_pop(F.when(is_b, F.col("_l"))).alias("_b_std"))
+    """Median colour and luminance of a group's pixels, of its bright ones where there are enough.
+
+    Medians are read from counts of equal values, which are added up before and after the shuffle: a group has at most as many as there are values of a
+    colour (or of the sum of three) and a brightness, whatever its number of pixels.
+    """
+    keys = list(keys)
+    total = F.col(rgb[0]) + F.col(rgb[1]) + F.col(rgb[2])
+    p = pixels.select(*keys, *rgb, total.alias("_sum"), (total / 3.0).alias("_l")).withColumn("_bright", F.col("_l") >= bright)
+    is_b = F.col("_bright")
+    g = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_b).alias("_nb"),
+                             F.stddev_pop("_l").alias("_a_std"), F.stddev_pop(F.when(is_b, F.col("_l"))).alias("_b_std"))
+    of = [F.struct(F.lit(k).alias("_c"), F.col(c).cast("double").alias("_v")) for k, c in [*((c, c) for c in rgb), ("lum", "_sum")]]
+    counts = p.select(*keys, "_bright", F.explode(F.array(*of)).alias("x")).select(*keys, "_bright", "x.*").filter("_v is not null")
+    counts = counts.groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_ka"), F.count_if(is_b).alias("_kb"))
+    w = W.partitionBy(*keys, "_c")
+    for k in ("a", "b"):
+        counts = counts.withColumns({f"_t{k}": F.sum(f"_k{k}").over(w), f"_u{k}": F.sum(f"_k{k}").over(w.orderBy("_v"))})
+
+    def median(name: str, k: str):
+        n, upto, own = F.col(f"_t{k}"), F.col(f"_u{k}"), F.col(f"_k{k}")
+        holds = lambda place: F.max(F.when((F.col("_c") == name) & (upto - own < place) & (place <= upto), F.col("_v")))
+        return (holds(F.floor((n + 1) / 2)) + holds(F.floor((n + 2) / 2))) / 2.0
+
+    scale = {**{c: 1.0 for c in rgb}, "lum": 3.0}
+    med = counts.groupBy(*keys).agg(*[(median(c, k) / v).alias(f"_{k}_{c}") for c, v in scale.items() for k in ("a", "b")])
+    g = g.join(med, [g[k].eqNullSafe(med[k]) for k in keys]).drop(*[med[k] for k in keys])
     use = (F.col("_nb") >= min_bright) & (F.col("_nb") >= F.col("_n") * share)
     pick = lambda k: F.when(use, F.col(f"_b_{k}")).otherwise(F.col(f"_a_{k}"))
     out = g.select(*keys, use.alias("from_bright"), *[pick(c).alias(f"med_{c}") for c in rgb], pick("lum").alias("lum_median"), pick("std").alias("lum_std"))

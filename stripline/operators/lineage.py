@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stripline.progress import cut_observed
+from stripline.session import cut
+
 CH = ["ch"]
 LEVELS = (2, 3, 4, 5)
 
@@ -135,3 +140,63 @@ def fingerprint(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequen
         h = h.groupBy(*keys, F.floor(F.col("_p") / fan).alias("_q")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), ""), 256).alias("_h")).withColumnRenamed("_q", "_p")
     return h.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), ""), 256).alias(name))
+
+
+def _parents(h: DataFrame, keys: Sequence[str], fan: int) -> DataFrame:
+    """Hashes of groups of ``fan`` positions, from the hashes ``hash`` at ``pos``."""
+    items = F.array_sort(F.collect_list(F.struct("pos", "hash")))
+    return h.groupBy(*keys, F.floor(F.col("pos") / fan).alias("_q")).agg(
+        F.sha2(F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["pos"], x["hash"])), ","), 256).alias("hash")).withColumnRenamed("_q", "pos")
+
+
+def hash_tree(rows: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], fan: int = 1024, levels: int = 3) -> DataFrame:
+    """Hash tree of a key's rows by a unique integer position: keys, ``level`` (1: leaves of ``fan`` positions), ``pos`` in the level, ``hash``.  Written level by level."""
+    keys = list(keys)
+    text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    h, out = rows.select(*keys, F.col(order).cast("long").alias("pos"), F.sha2(text, 256).alias("hash")), None
+    for level in range(1, levels + 1):
+        h = cut(_parents(h, keys, fan))
+        one = h.select(*keys, F.lit(level).alias("level"), "pos", "hash")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _stretches(numbers: Sequence[int]) -> list[tuple[int, int]]:
+    """First and last of each run of successive numbers."""
+    out: list[tuple[int, int]] = []
+    for n in numbers:
+        out = [*out[:-1], (out[-1][0], n)] if out and n <= out[-1][1] + 1 else [*out, (n, n)]
+    return out
+
+
+def tree_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], trees: tuple[DataFrame, DataFrame] | None = None,
+              fan: int = 1024, levels: int = 3, most_ranges: int = 200) -> DataFrame:
+    """Rows that one side has and the other has not, or has otherwise: keys, ``order``, ``fields``, ``side``.
+
+    The hash trees of the two sides (``trees``, kept from when the sides were written, else built here) are compared from the top, and only nodes whose hashes
+    differ are opened; rows are read for differing leaves alone.  Up to ``most_ranges`` leaves become a filter on the position, which the scan can skip
+    files and row groups by; more are joined.
+    """
+    keys = list(keys)
+    a, b = trees or tuple(hash_tree(x, keys, order, fields, fan, levels) for x in (left, right))
+
+    def differ(x: DataFrame, y: DataFrame) -> DataFrame:
+        j = x.alias("x").join(y.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "pos")], "full")
+        return j.filter(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select(*[F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in (*keys, "pos")])
+
+    def below(nodes: DataFrame, of: DataFrame, at: str) -> DataFrame:
+        o = of.withColumn("_up", F.floor(F.col(at) / fan))
+        return o.join(nodes.withColumnRenamed("pos", "_up"), [*keys, "_up"], "left_semi").drop("_up")
+
+    level = lambda t, n: t.filter(F.col("level") == n).drop("level")
+    open_ = cut(differ(level(a, levels), level(b, levels)))
+    for n in range(levels - 1, 0, -1):
+        open_ = cut(differ(below(open_, level(a, n), "pos"), below(open_, level(b, n), "pos")))
+    few = open_.select("pos").distinct().limit(most_ranges + 1).collect()
+    sides = []
+    for name, rows in (("left", left), ("right", right)):
+        r = rows.select(*keys, order, *fields)
+        if few and len(few) <= most_ranges:
+            r = r.filter(reduce(or_, [F.col(order).between(i * fan, (j + 1) * fan - 1) for i, j in _stretches(sorted(x.pos for x in few))]))
+        sides.append(cut_observed(below(open_, r, order), f"tree_diff_{name}"))
+    return sides[0].exceptAll(sides[1]).withColumn("side", F.lit("left")).unionByName(sides[1].exceptAll(sides[0]).withColumn("side", F.lit("right")))

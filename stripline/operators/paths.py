@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stripline.operators.blocks import best, orbit, overlap_join, point_join, sessions, size_of, spread, top_k
 from stripline.operators.cuts import MAX_CHUNK, MIN_BAND, MIN_CHUNK, TARGET
+from stripline.progress import cut_observed
 from stripline.session import cut
 
 CH = ["ch"]
@@ -33,87 +34,154 @@ def into_zones(points: DataFrame, regions: DataFrame, keys: Sequence[str], at: s
     return point_join(points, z, keys, at, ("_zs", "_ze")).drop("_zs", "_ze")
 
 
-def kernel(nodes: dict, *, target: int, lo: int, hi: int, prefer: int, small_edges: bool, first_wins: bool, keep_from: float):
-    """Best path of every node of one slice.
+class Solver:
+    """Best paths of one slice of one region.
 
-    ``nodes`` holds columns y (ascending), role (0 start, 1 inner, 2 end), q, cs, ce and, for nodes of the slice before,
-    their state.  Smaller is better: (edge, shortfall, deviation, imbalance, chunks, quality, path); with ``first_wins``
-    a tie on the score goes to the lowest predecessor instead.
+    An edge is at least ``lo`` rows long, so the nodes of a band of ``lo`` rows depend on earlier bands only, and a band is solved as one table of nodes and
+    predecessors.  ``nodes`` holds arrays y (ascending), role (0 start, 1 inner, 2 end), q, cs, ce, the state, ``given`` (nodes of the slice before, which
+    bring their state) and ``first`` (those whose ``prev`` is missing).  Smaller is better: (edge, shortfall, deviation, imbalance, chunks, quality, path);
+    with ``first_wins`` only the middle three count and a tie goes to the lowest predecessor.
     """
-    import numpy as np
 
-    y = np.asarray(nodes["y"], dtype=np.int64)
-    n = len(y)
-    role, q = np.asarray(nodes["role"]), np.asarray(nodes["q"], dtype=float)
-    cs, ce = np.asarray(nodes["cs"], dtype=np.int64), np.asarray(nodes["ce"], dtype=np.int64)
-    given = [c is not None for c in nodes["chunks"]]
-    num = lambda k: np.array([0 if v is None else v for v in nodes[k]], dtype=np.int64)
-    edge, short, dev, cmax, cmin, cnt = (num(k) for k in ("edge", "shortfall", "deviation", "cmax", "cmin", "chunks"))
-    qual = np.array([0.0 if v is None else v for v in nodes["quality"]])
-    prev: list = list(nodes["prev"])
-    lex = list(nodes["lex"])
-    at = {int(v): i for i, v in enumerate(y)}
-    link = [-1] * n
-    reach = np.array(given)
-    for i in range(n):
-        if given[i] and prev[i] is not None:
-            link[i] = at.get(int(prev[i]), -1)
-
-    def trail(i: int) -> list:
+    CELLS = 1 << 20  # of a table of nodes and predecessors
+
+    def __init__(self, nodes: dict, *, target: int, lo: int, hi: int, prefer: int, small_edges: bool, first_wins: bool):
+        import numpy as np
+
+        self.np, self.target, self.lo, self.hi, self.prefer, self.small_edges, self.first_wins = np, target, lo, hi, prefer, small_edges, first_wins
+        for k, v in nodes.items():
+            setattr(self, k, v)
+        self.prev = np.where(self.first, -1, self.prev)
+        at = np.searchsorted(self.y, self.prev)
+        found = self.given & ~self.first & (at < len(self.y))
+        found[found] = self.y[at[found]] == self.prev[found]
+        self.link = np.where(found, at, -1)
+        self.reach = self.given | (self.role == 0)
+        self.depth = np.zeros(len(self.y), np.int64)
+        for i in np.flatnonzero(self.link >= 0):
+            self.depth[i] = self.depth[self.link[i]] + 1
+
+    def trail(self, i: int) -> list:
+        """Order of the path to a node: the rank of its root, then its nodes."""
         back = []
-        while link[i] >= 0:
-            back.append(int(y[i]))
-            i = link[i]
-        back.append(int(y[i]))
-        back.append(lex[i] if lex[i] is not None else 0)
-        return back[::-1]
-
-    for i in range(n):
-        if given[i]:
-            continue
-        if role[i] == 0:
-            reach[i] = True
-            continue
-        a, b = np.searchsorted(y, y[i] - hi), np.searchsorted(y, y[i] - lo, side="right")
-        js = np.arange(a, min(b, i))
-        if small_edges:
-            near = np.arange(max(a, min(b, i)), i)
-            js = np.concatenate([js, near if role[i] == 2 else near[role[near] == 0]])
-        js = js[reach[js]]
-        if not len(js):
-            continue
-        d = y[i] - y[js]
-        keys = [edge[js] + (d < lo), short[js] + np.maximum(0, prefer - (cs[i] - ce[js])) if prefer else short[js],
-                dev[js] + np.abs(d - target), np.maximum(cmax[js], d) - np.where(cnt[js] > 0, np.minimum(cmin[js], d), d),
-                cnt[js] + 1, qual[js] - (q[i] if role[i] == 1 else 0.0)]
-        left = np.arange(len(js))
-        for k in keys if not first_wins else keys[2:5]:
-            v = k[left]
-            left = left[v == v.min()]
-            if len(left) == 1:
+        while self.link[i] >= 0:
+            back.append(int(self.y[i]))
+            i = self.link[i]
+        return [int(self.lex[i]), int(self.y[i]), *back[::-1]]
+
+    def less(self, a, b):
+        """Whether the trails of nodes ``a`` come before those of ``b``: both are followed up to where they part."""
+        np = self.np
+        out = np.zeros(len(a), bool)
+        other = self.depth[a] != self.depth[b]
+        for k in np.flatnonzero(other):
+            out[k] = self.trail(a[k]) < self.trail(b[k])
+        at = np.flatnonzero(~other)
+        a, b = a[at], b[at]
+        while len(at):
+            up, over = self.link[a], self.link[b]
+            root = up < 0
+            before = np.where(root & (self.lex[a] != self.lex[b]), self.lex[a] < self.lex[b], self.y[a] < self.y[b])
+            done = root | (up == over)
+            out[at[done]] = before[done]
+            at, a, b = at[~done], up[~done], over[~done]
+        return out
+
+    def solve(self) -> None:
+        np = self.np
+        todo = np.flatnonzero(~self.reach)
+        apart = self.role[todo] == 2 if self.small_edges else np.zeros(len(todo), bool)  # an end may follow nodes of its own band
+        inner, ends = todo[~apart], todo[apart]
+        k = 0
+        while k < len(inner):
+            stop = int(np.searchsorted(self.y[inner], self.y[inner[k]] + max(1, self.lo)))
+            self.band(inner[k:stop])
+            k = stop
+        for i in ends:
+            self.band(np.array([i]))
+
+    def band(self, nodes) -> None:
+        np, y = self.np, self.y
+        low, high = np.searchsorted(y, y[nodes] - self.hi), np.minimum(np.searchsorted(y, y[nodes] - self.lo, side="right"), nodes)
+        last = nodes if self.small_edges else high
+        k = 0
+        while k < len(nodes):
+            width = max(1, int(last[min(len(nodes), k + 64) - 1] - low[k]))
+            stop = min(len(nodes), k + max(1, min(64, self.CELLS // width)))
+            self.table(nodes[k:stop], np.arange(low[k], max(low[k], last[k:stop].max())), low[k:stop], high[k:stop])
+            k = stop
+
+    def table(self, i, j, low, high) -> None:
+        np = self.np
+        ok = (j >= low[:, None]) & (j < high[:, None])
+        if self.small_edges:
+            near = (j >= np.maximum(low, high)[:, None]) & (j < i[:, None])
+            ok |= near & ((self.role[j] == 0) | (self.role[i] == 2)[:, None])
+        ok &= self.reach[j]
+        rows = ok.any(axis=1)
+        i, ok = i[rows], ok[rows]
+        if not len(i):
+            return
+        d = self.y[i][:, None] - self.y[j]
+        short = np.broadcast_to(self.short[j], ok.shape)
+        if self.prefer:
+            short = short + np.maximum(0, self.prefer - (self.cs[i][:, None] - self.ce[j]))
+        edge, deviation = self.edge[j] + (d < self.lo), self.deviation[j] + np.abs(d - self.target)
+        big = np.iinfo(np.int64).max
+        for v in (deviation,) if self.first_wins else (edge, short, deviation):
+            v = np.where(ok, v, big)
+            ok &= v == v.min(axis=1)[:, None]
+        r, c = np.nonzero(ok)  # few are left: one entry each
+        p, step = j[c], d[r, c]
+        some = self.cnt[p] > 0
+        keys = [np.maximum(self.cmax[p], step) - np.where(some, np.minimum(self.cmin[p], step), step), self.cnt[p] + 1]
+        if not self.first_wins:
+            keys.append(self.qual[p] - np.where(self.role[i[r]] == 1, self.q[i[r]], 0.0))
+        while keys:
+            v = keys.pop(0)
+            at = np.flatnonzero(np.diff(r, prepend=-1))
+            left = v == np.repeat(np.minimum.reduceat(v, at), np.diff(np.append(at, len(r))))
+            r, c, p, step = r[left], c[left], p[left], step[left]
+            keys = [k[left] for k in keys]
+            if len(r) == len(i):
                 break
-        if len(left) > 1 and not first_wins:
-            w = min(left, key=lambda t: trail(int(js[t])))
-        else:
-            w = left[0]
-        j = int(js[w])
-        link[i], prev[i], reach[i] = j, int(y[j]), True
-        edge[i], short[i], dev[i], cnt[i], qual[i] = keys[0][w], keys[1][w], keys[2][w], keys[4][w], keys[5][w]
-        step = int(d[w])
-        cmax[i] = max(int(cmax[j]), step)
-        cmin[i] = min(int(cmin[j]), step) if cnt[j] > 0 else step
-    new = [i for i in range(n) if reach[i] and not given[i]]
-    front = sorted((i for i in range(n) if reach[i] and y[i] >= keep_from), key=trail)
-    rank = {i: r for r, i in enumerate(front)}
-    carried = [i for i in front if given[i]]
-    rows = new + carried
-    return {
-        "y": [int(y[i]) for i in rows], "role": [int(role[i]) for i in rows], "q": [float(q[i]) for i in rows],
-        "cs": [int(cs[i]) for i in rows], "ce": [int(ce[i]) for i in rows], "prev": [prev[i] for i in rows],
-        "edge": [int(edge[i]) for i in rows], "shortfall": [int(short[i]) for i in rows], "deviation": [int(dev[i]) for i in rows],
-        "cmax": [int(cmax[i]) for i in rows], "cmin": [int(cmin[i]) for i in rows], "chunks": [int(cnt[i]) for i in rows],
-        "quality": [float(qual[i]) for i in rows], "lex": [rank.get(i) for i in rows], "carried": [given[i] for i in rows],
-    }
+        at = np.flatnonzero(np.diff(r, prepend=-1))
+        pick = at.copy()
+        if not self.first_wins:
+            sizes = np.diff(np.append(at, len(r)))
+            for k in range(1, int(sizes.max())):
+                on = np.flatnonzero(sizes > k)
+                better = self.less(p[at[on] + k], p[pick[on]])
+                pick[on[better]] = at[on[better]] + k
+        c, p, step = c[pick], p[pick], step[pick]
+        n = np.arange(len(i))
+        some = self.cnt[p] > 0
+        self.link[i], self.prev[i], self.reach[i], self.depth[i] = p, self.y[p], True, self.depth[p] + 1
+        self.edge[i], self.short[i], self.deviation[i], self.cnt[i] = edge[n, c], short[n, c], deviation[n, c], self.cnt[p] + 1
+        self.qual[i] = self.qual[p] - np.where(self.role[i] == 1, self.q[i], 0.0)
+        self.cmax[i], self.cmin[i] = np.maximum(self.cmax[p], step), np.where(some, np.minimum(self.cmin[p], step), step)
+
+
+FIELDS = {"edge": "edge", "shortfall": "short", "deviation": "deviation", "cmax": "cmax", "cmin": "cmin", "chunks": "cnt", "quality": "qual"}
+
+
+def kernel(t, keep_from: int | None, **rules) -> dict:
+    """Columns of the solved nodes of a slice (a table sorted by y), and of those from ``keep_from`` on that the next slice needs, ``carried`` if it was given."""
+    import numpy as np
+    import pyarrow as pa
+
+    col = lambda k, of=0: t.column(k).fill_null(of).to_numpy()
+    nodes = {k: col(k) for k in ("y", "role", "q", "cs", "ce", "prev", "lex")} | {v: col(k).copy() for k, v in FIELDS.items()}
+    nodes |= {"given": ~np.asarray(t.column("chunks").is_null()), "first": np.asarray(t.column("prev").is_null())}
+    s = Solver(nodes, **rules)
+    s.solve()
+    front = [] if keep_from is None else sorted(np.flatnonzero(s.reach & (s.y >= keep_from)).tolist(), key=s.trail)
+    rank = np.full(len(s.y), -1)
+    rank[front] = np.arange(len(front))
+    rows = np.concatenate([np.flatnonzero(s.reach & ~s.given), np.array([i for i in front if s.given[i]], np.int64)])
+    null = lambda v: pa.array(v[rows], mask=v[rows] < 0)
+    return {"y": s.y[rows], "role": s.role[rows], "q": s.q[rows], "cs": s.cs[rows], "ce": s.ce[rows], "prev": null(s.prev),
+            **{k: getattr(s, v)[rows] for k, v in FIELDS.items()}, "lex": null(rank), "carried": s.given[rows]}
 
 
 def best_paths(nodes: DataFrame, keys: Sequence[str] = CH, *, target: int = TARGET, lo: int = MIN_CHUNK, hi: int = MAX_CHUNK, prefer: int = 0,
@@ -139,12 +207,11 @@ def best_paths(nodes: DataFrame, keys: Sequence[str] = CH, *, target: int = TARG
 
             t = group.sort_by("y")
             s = t.column("s")[0].as_py()
-            res = kernel(t.select(names).to_pydict(), target=target, lo=lo, hi=hi, prefer=prefer, small_edges=small_edges,
-                         first_wins=first_wins, keep_from=s + (r + 1) * width - hi)
+            res = kernel(t.select(names), s + (r + 1) * width - hi if r < rounds else None, target=target, lo=lo, hi=hi, prefer=prefer, small_edges=small_edges,
+                         first_wins=first_wins)
             n = len(res["y"])
             head = [pa.repeat(t.column(k)[0], n) if n else t.column(k).slice(0, 0).combine_chunks() for k in [*keys, "s"]]
-            kinds = {"q": pa.float64(), "quality": pa.float64(), "carried": pa.bool_()}
-            body = [pa.array(v, kinds.get(k, pa.int64())) for k, v in res.items()]
+            body = [v if isinstance(v, pa.Array) else pa.array(v) for v in res.values()]
             return pa.table([*head, *body], names=[*keys, "s", *res])
         return run
 
@@ -154,7 +221,8 @@ def best_paths(nodes: DataFrame, keys: Sequence[str] = CH, *, target: int = TARG
         cur = base.filter(F.col("_r") == r).drop("_r").withColumns(empty)
         if front is not None:
             cur = cur.unionByName(front)
-        done = cut(spread(cur, *keys).groupBy(*keys).applyInArrow(step(r), ddl))
+        solved = spread(cur, *keys).groupBy(*keys).applyInArrow(step(r), ddl)
+        done = cut_observed(solved, "best_paths", nodes=F.count_if(~F.col("carried")), ends=F.count_if((F.col("role") == 2) & ~F.col("carried")), round=F.max(F.lit(r)))
         parts.append(done.filter("not carried").drop("carried"))
         front = done.filter(F.col("y") >= F.col("s") + (r + 1) * width - hi).drop("carried")
     out = parts[0]
@@ -232,7 +300,7 @@ def balanced_path(regions: DataFrame, bands: DataFrame, pages: DataFrame, prefer
     touched = regions.select(*keys, ZONE, F.col("s").alias("_zs"), (F.col("e") + 1).alias("_ze"))
     pages = overlap_join(pages.filter("ge > gs").withColumn("_stop", F.col("ge") + 1), touched, list(keys), ("gs", "_stop"), ("_zs", "_ze")).drop("_stop", "_zs", "_ze")
     keys = [*keys, ZONE]
-    nodes = cut(balanced_nodes(regions, bands, pages, keys))
+    nodes = cut_observed(balanced_nodes(regions, bands, pages, keys), "balanced_path", positions=F.count_if(F.col("role") == 1))
     end = nodes.filter("role = 2").select(*keys, "y")
     small = regions.filter(F.col("e") - F.col("s") <= MAX_CHUNK).select(
         *keys, F.col("s").alias("start"), F.col("e").alias("end"), (F.col("e") - F.col("s")).alias("height"),
@@ -294,7 +362,7 @@ def exhaustive_composition(regions: DataFrame, safe: DataFrame, step: int = 1, k
     Columns: keys, ``start``, ``end``, ``height``, ``passes``, ``part``.
     """
     regions = zoned(regions)
-    safe = cut(into_zones(safe.select(*keys, "y"), regions, list(keys), "y"))
+    safe = cut_observed(into_zones(safe.select(*keys, "y"), regions, list(keys), "y"), "exhaustive_composition", positions=F.count(F.lit(1)))
     keys = [*keys, ZONE]
     even = cut(_complete_path(regions, safe.filter((F.floor(F.col("y") / step) % 2) == 0), keys, width))
     left = cut(regions.join(even.select(*keys).distinct(), keys, "left_anti"))
@@ -362,7 +430,7 @@ def beam_balance(regions: DataFrame, zones: DataFrame, count: int, beam: int = 4
         spread = paths.join(slices, keys)
         spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])  # own column ids beside ``z``
         ext = spread.groupBy(*keys, "_k").cogroup(z.groupBy(*keys, "_k")).applyInArrow(extend(ordinal), f"{kt}, score double, path array<bigint>")
-        paths = cut(top_k(ext, keys, [F.col("score"), F.col("path")], beam, "_rank").drop("_rank"))
+        paths = cut_observed(top_k(ext, keys, [F.col("score"), F.col("path")], beam, "_rank").drop("_rank"), "beam_balance", cut=F.max(F.lit(ordinal)))
     full = paths.join(r, keys).withColumn("bounds", F.array_append(F.col("path"), F.col("e")))
     full = full.withColumn("heights", F.transform(F.slice("bounds", 2, count), lambda b, i: b - F.element_at(F.col("bounds"), i + 1)))
     full = full.filter(F.array_min("heights") >= F.col("target") * 0.50)

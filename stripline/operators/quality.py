@@ -189,3 +189,85 @@ def balance_summary(pieces: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
     return pieces.select(*keys).distinct().join(bad, list(keys), "left").agg(
         F.count(F.lit(1)).alias("chapters"), F.count("bad").alias("unbalanced"),
         F.count_if(F.col("bad").isNull()).alias("balanced"))
+
+
+# Labels of issue types, and the lines of a narrative.
+ISSUE_LABELS = {
+    "image_validation_failed": "Imagem incompatível",
+    "pdf_page_count_mismatch": "Páginas do PDF divergentes",
+    "pdf_validation_failed": "Validação do PDF",
+    "download_not_completed": "Download em andamento",
+    "download_state_invalid": "Estado de download inválido",
+}
+CONCLUSIONS = {
+    "pdf_page_count_mismatch": ("As imagens do capítulo foram validadas.", "O PDF gerado apresentou quantidade de páginas divergente."),
+    "download_not_completed": ("O capítulo ainda estava em download.", "A geração do PDF foi bloqueada para evitar um arquivo incompleto."),
+    "download_state_invalid": ("O estado persistente do capítulo não pôde ser validado.", "A geração do PDF foi bloqueada por segurança."),
+}
+ACTIONS = {
+    "pdf_page_count_mismatch": "Comparar a quantidade de imagens com as páginas do PDF antes de gerar novamente.",
+    "download_not_completed": "Aguardar a conclusão do download antes de gerar o PDF.",
+    "download_state_invalid": "Revisar o estado do capítulo antes de tentar gerar o PDF.",
+}
+
+
+def divergence_lines(reports: DataFrame, bad: DataFrame, metadata: DataFrame, keys: Sequence[str] = CH) -> DataFrame:
+    """The narrative of every divergence report as ordered lines: keys, ``section``, ``page``, ``k``, ``line``.
+
+    reports: keys, ``name``, ``issue_type``, ``message``, ``pdf_generated``, ``expected``, ``found``, ``pdf_expected``, ``pdf_found``; bad: keys, ``file`` of the images that the
+    report's errors name; metadata: keys, ``file``, ``width``, ``height``, ``pdf_width``, ``pdf_height``.  Sections: 0 the report in the list, 1 title, 2 validation,
+    3 divergence, 4 conclusion, 5 suggested action; ``page`` is that of an incompatible image, else 0.
+    """
+    keys, t = list(keys), F.concat
+    say = lambda c: F.col(c).cast("string")
+    page = lambda c: F.regexp_extract(c, r"(?i)page-(\d+)", 1)
+    bad = bad.select(*keys, "file").distinct()
+    number = F.when(F.col("file").rlike(r"(?i)^page-\d+\.[^.]+$"), page("file").cast("long"))
+    meta = metadata.withColumn("_no", number).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_meta"), F.count("_no").alias("_nos"), F.count_distinct("_no").alias("_different"), F.min("_no").alias("_low"), F.max("_no").alias("_high"))
+    b = bad.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bad"), F.min_by(page("file"), page("file").cast("long")).alias("_page"))
+    r = reports.join(meta, keys, "left").join(b, keys, "left").na.fill(0, ["_meta", "_nos", "_bad"])
+    exp, found = F.col("expected"), F.col("found")
+    seq = F.coalesce((exp > 0) & (F.col("_nos") == exp) & (F.col("_different") == exp) & (F.col("_low") == 1) & (F.col("_high") == exp), F.lit(False))
+    complete = F.coalesce(exp == found, F.lit(False)) & ((F.col("_nos") == 0) | seq)
+    issue, message = F.coalesce("issue_type", F.lit("")), F.coalesce(F.col("message"), F.lit(""))
+    images = (issue == "image_validation_failed") & (F.col("_bad") > 0)
+    label = F.coalesce(F.create_map(*[F.lit(x) for kv in ISSUE_LABELS.items() for x in kv])[issue], F.when(issue != "", issue), F.lit("Divergência"))
+    none = F.lit(None).cast("string")
+    blocked = F.when(F.col("_bad") == 1, "A geração do PDF foi bloqueada por uma única imagem incompatível").otherwise(
+        t(F.lit("A geração do PDF foi bloqueada por "), say("_bad"), F.lit(" imagens incompatíveis")))
+
+    def by_issue(table: dict, k: int | None = None):
+        out = none
+        for name, value in table.items():
+            out = F.when(issue == name, F.lit(value if k is None else value[k])).otherwise(out)
+        return out
+
+    mine = (issue == "image_validation_failed") & complete
+    sections = {
+        0: [F.format_string("%-24s %s", t(F.lit("Capítulo "), F.col("name")), label)],
+        1: [t(F.lit("CAPÍTULO "), F.col("name"), F.when(F.col("pdf_generated"), " — PDF GERADO").otherwise(" — PDF NÃO GERADO"))],
+        2: [F.lit(""), F.lit("Validação do capítulo"),
+            F.when(exp.isNotNull() & found.isNotNull(), t(F.when(exp == found, "✓ ").otherwise("✕ "), say("found"), F.lit(" de "), say("expected"), F.lit(" páginas encontradas")))
+            .when(found.isNotNull(), t(F.lit("✓ "), say("found"), F.lit(" páginas encontradas"))),
+            F.when((F.col("_nos") > 0) & exp.isNotNull(), F.when(seq, "✓ Sequência completa").otherwise("✕ Sequência de páginas divergente")),
+            F.when((found > 0) & (F.col("_meta") == found), "✓ Imagens legíveis")],
+        3: [F.lit(""), F.lit("Divergência"),
+            F.when(images, none).when(issue == "pdf_page_count_mismatch", t(F.lit("✕ Quantidade de páginas do PDF divergente: esperado "), F.coalesce(say("pdf_expected"), F.lit("None")),
+                                                                          F.lit(", encontrado "), F.coalesce(say("pdf_found"), F.lit("None"))))
+            .otherwise(t(F.lit("✕ "), F.when(message != "", message).otherwise("Divergência registrada.")))],
+        4: [F.lit(""), F.lit("Conclusão"), F.when(mine, "O capítulo está completo.").otherwise(F.coalesce(by_issue(CONCLUSIONS, 0), F.when(message != "", message), F.lit("A divergência requer revisão."))),
+            F.when(mine, blocked).otherwise(by_issue(CONCLUSIONS, 1)), F.when(mine, "com a regra de segurança do PDF.")],
+        5: [F.lit(""), F.lit("Ação sugerida"),
+            F.when(images & (F.col("_bad") == 1), t(F.lit("Revisar visualmente a página "), F.col("_page").cast("long").cast("string"), F.lit(" antes de decidir por exceção/correção.")))
+            .when(images, "Revisar visualmente as páginas divergentes antes de decidir por exceção/correção.").otherwise(F.coalesce(by_issue(ACTIONS), F.lit("Revisar os detalhes técnicos do relatório.")))],
+    }
+    line = lambda n, k, v: F.struct(F.lit(n).alias("section"), F.lit(0).cast("long").alias("page"), F.lit(k).alias("k"), v.alias("line"))
+    whole = r.select(*keys, F.explode(F.array(*[line(n, k, v) for n, vs in sections.items() for k, v in enumerate(vs)])).alias("x")).select(*keys, "x.*").filter("line is not null")
+    size = lambda a, z: t(F.format_string("%.2f", F.col(a).cast("double")), F.lit("x"), F.format_string("%.2f", F.col(z).cast("double")))
+    d = bad.join(r.filter(images).select(*keys), keys, "left_semi").join(metadata, [*keys, "file"], "left")
+    each = [t(F.lit("✕ "), F.col("file")), F.when(F.col("width").isNotNull(), t(F.lit("  Dimensão da imagem: "), say("width"), F.lit("x"), say("height"))),
+            F.when(F.col("pdf_width").isNotNull() & F.col("pdf_height").isNotNull(), t(F.lit("  Dimensão no PDF: "), size("pdf_width", "pdf_height"))),
+            F.lit("  Motivo: altura/dimensão abaixo do mínimo permitido")]
+    rows = F.array(*[F.struct(F.lit(3).alias("section"), page("file").cast("long").alias("page"), F.lit(k + 2).alias("k"), v.alias("line")) for k, v in enumerate(each)])
+    return whole.unionByName(d.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*").filter("line is not null"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stripline.operators import compose as K
+from stripline.operators import official as Q
 from stripline.operators.blocks import point_join
 from stripline.plans import standins as S
 from stripline.plans.registry import out, query, view
@@ -192,16 +193,54 @@ from (select *, coalesce(lag(g_end) over (partition by ch order by g_start, g_en
 union all select t.ch, 'incomplete', coalesce(l, 0), total from {tot} t left join (select ch, max(g_end) l from {src} group by ch) y on t.ch=y.ch where coalesce(l, 0) <> total"""
 
 
-@query("effect_precheck", f"""with c as ({COVER_SQL.format(src='t_spliced', tot='t_chapter')})
-select * from c union all select ch, 'not_contiguous', min(seg), max(seg) from t_sel group by ch, grp having max(seg)-min(seg)+1<>count(*)""")
+view("t_esel", "select ch, file, seg from (select ch, seg, case when seg=3 and total%5=0 then 'gone.png' else file end file from t_oout join (select ch, max(total) total from t_piece group by ch) x using (ch)) y where seg between 1 and 3 and not (seg=2 and ch like '%src1/%')")
+view("t_eprop", """
+select ch, concat('p-', ch) proposal_id, case when total%3=0 then 'p-other' else concat('p-', ch) end status_id, case when total%7=0 then 'EFETIVADO' else 'PROPOSTA_GERADA' end status, s + case when total%4=1 then 10 else 0 end region_start, case when total%31=0 then s else e end region_end, total
+from (select ch, max(total) total, min(g_start) filter (seg between 1 and 3) s, max(g_end) filter (seg between 1 and 3) e from t_piece group by ch having count(*) filter (seg between 1 and 3) > 0) x""")
+view("t_eart", """
+select ch, case when i=2 and total%6=0 then 'out-0.png' when i=1 and total%10=0 then 'a/b.png' else concat('bal-', i, '.png') end file, region_start + w*i + case when i=1 and total%9=0 then 2 else 0 end g_start, case when i=2 then region_end else region_start + w*(i+1) end g_end,
+ case when i=2 then region_end else region_start + w*(i+1) end - (region_start + w*i) height, not (i=0 and total%8=0) there from (select *, (region_end-region_start)//3 w, unnest([0,1,2]) i from t_eprop where total%12<>5) x""")
+view("t_ecand", "select ch, file, g_start, g_end from t_oout where ch in (select ch from t_eprop) and (ch, seg) not in (select o.ch, o.seg from t_oout o join t_esel s on o.ch=s.ch and o.file=s.file) union all select ch, file, g_start, g_end from t_eart")
+
+
+def effect_parts(spark, sf):
+    """Proposals that put three pieces in place of the second to fourth output, with a fault of every kind somewhere."""
+    m, o, _, _ = official_parts(spark, sf)
+    t, sg, i, w = (F.col(c) for c in ("total", "seg", "i", "w"))
+    p = S.piece(spark, sf)
+    inside = sg.between(1, 3)
+    r = p.groupBy("ch").agg(F.max("total").alias("total"), F.min(F.when(inside, F.col("g_start"))).alias("s"), F.max(F.when(inside, F.col("g_end"))).alias("e"), F.count_if(inside).alias("k")).filter("k > 0")
+    name = F.concat(F.lit("p-"), "ch")
+    prop = cut(r.select("ch", "total", name.alias("proposal_id"), F.when(t % 3 == 0, "p-other").otherwise(name).alias("status_id"), F.when(t % 7 == 0, "EFETIVADO").otherwise("PROPOSTA_GERADA").alias("status"),
+                        (F.col("s") + F.when(t % 4 == 1, 10).otherwise(0)).alias("region_start"), F.when(t % 31 == 0, F.col("s")).otherwise(F.col("e")).alias("region_end")))
+    tot = p.groupBy("ch").agg(F.max("total").alias("total"))
+    sel = o.join(tot, "ch").filter(inside & ~((sg == 2) & F.col("ch").contains("src1/"))).select(
+        "ch", F.when((sg == 3) & (t % 5 == 0), "gone.png").otherwise(F.col("file")).alias("file"))
+    a = prop.filter(t % 12 != 5).withColumn("w", F.floor((F.col("region_end") - F.col("region_start")) / 3)).withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
+    begin, end = F.col("region_start") + w * i, F.when(i == 2, F.col("region_end")).otherwise(F.col("region_start") + w * (i + 1))
+    art = a.select("ch", F.when((i == 2) & (t % 6 == 0), "out-0.png").when((i == 1) & (t % 10 == 0), "a/b.png").otherwise(F.concat(F.lit("bal-"), i.cast("string"), F.lit(".png"))).alias("file"),
+                   (begin + F.when((i == 1) & (t % 9 == 0), 2).otherwise(0)).alias("g_start"), end.alias("g_end"), (end - begin).alias("height"), (~((i == 0) & (t % 8 == 0))).alias("there"))
+    man = m.select("ch", "source_total_height", F.when(F.col("source_total_height") % 37 == 0, 0).otherwise(700).alias("source_width"), "validation_ok")
+    return prop.drop("total"), sel, cut(art), o, man
+
+
+@query("effect_precheck", f"""
+with k as (select s.ch, count(*) n, count(*) filter (o.seg is null) unknown, min(o.seg) a, max(o.seg) z, arg_min(o.g_start, o.seg) s, arg_max(o.g_end, o.seg) e from t_esel s left join t_oout o on s.ch=o.ch and s.file=o.file where s.ch in (select ch from t_eprop) group by s.ch),
+ h as (select ch, count(*) arts from t_eart group by ch), mm as (select ch, source_total_height th, validation_ok vok from t_omani),
+ p as (select t.*, n, unknown, a, z, s, e, arts, th, vok, unknown=0 and n>=2 sure from t_eprop t left join k using (ch) left join h using (ch) left join mm using (ch)),
+ ac as (select ch, unnest(list_filter([case when g_start > c then 'gap' when g_start < c then 'overlap' end, case when g_end <= g_start then 'empty' end], lambda k: k is not null)) kind, c "at", g_start "next" from (
+   select x.*, coalesce(lag(g_end) over (partition by x.ch order by g_start, g_end), region_start) c from t_eart x join t_eprop q on x.ch=q.ch) y
+  union all select q.ch, 'incomplete', l, region_end from t_eprop q join (select ch, arg_max(g_end, g_start*1000000000000+g_end) l from t_eart group by ch) y on q.ch=y.ch where l<>region_end),
+ cc as ({COVER_SQL.format(src='t_ecand', tot='(select ch, source_total_height total from t_omani where ch in (select ch from t_eprop))')})
+select ch, unnest(list_filter([case when proposal_id<>status_id then 'id_differs' end, case when status<>'PROPOSTA_GERADA' then 'not_generated' end, case when region_end<=region_start then 'empty_region' end, case when coalesce(n,0)<2 then 'selection_too_small' end,
+  case when unknown>0 then 'unknown_file' end, case when sure and z-a+1<>n then 'not_contiguous' end, case when sure and (s<>region_start or e<>region_end) then 'region_moved' end, case when arts is null then 'no_artifacts' end,
+  case when th<=0 or th%37=0 or not vok then 'bad_manifest' end], lambda k: k is not null)) kind, region_start "at", region_end "next" from p
+union all select ch, unnest(list_filter([case when trim(file)='' or contains(file,'/') or not there then 'artifact_missing' end, case when g_end<=g_start or height<>g_end-g_start then 'artifact_height' end], lambda k: k is not null)), g_start, g_end from t_eart
+union all select ch, concat('artifact_', kind), "at", "next" from ac union all select ch, concat('candidate_', kind), "at", "next" from cc
+union all select ch, 'repeated_name', max(g_start), count(*) from t_ecand group by ch, file having count(*) > 1""")
 def effect_precheck(spark, sf):
-    """A proposal takes effect only if its selection has no hole and the spliced composition covers the chapter."""
-    cover = K.coverage_errors(spliced(spark, sf), chapters(spark, sf))
-    sel = selection(spark, sf)
-    c = K.contiguous(sel.select("ch", "grp", "seg"), S.piece(spark, sf), ["ch", "grp"], ["ch"]).filter("not ok").select("ch", "grp")
-    lo = sel.groupBy("ch", "grp").agg(F.min("seg").alias("at"), F.max("seg").alias("next"))
-    bad = lo.join(c, ["ch", "grp"], "left_semi").select("ch", F.lit("not_contiguous").alias("kind"), "at", "next")
-    return out(cover.unionByName(bad), "ch", "kind", "at", "next")
+    """A proposal takes effect only if it is the generated one, still fits the official composition, and the spliced composition covers the chapter."""
+    return out(Q.effect_errors(*effect_parts(spark, sf)), "ch", "kind", "at", "next")
 
 
 view("t_selreg", "select ch, min(seg) seg, arg_min(g_start, seg) r_start, arg_min(g_end, seg) r_end from t_piece where stage='review' and g_end>g_start group by ch")
@@ -275,13 +314,71 @@ def absorption_rate(spark, sf):
     return out(K.absorption(S.piece(spark, sf), chapters(spark, sf)), "ch", "stage", "height", share=F.round("share", 6))
 
 
-@query("official_valid", f"""with e as (select ch, kind from ({COVER_SQL.format(src='t_piece', tot='t_chapter')}) x union all select ch, 'oversized' from t_piece where g_end-g_start > 12000)
-select c.ch, count(kind) errors, count(kind)=0 valid from t_chapter c left join e on c.ch=e.ch group by c.ch""")
-def official_valid(spark, sf):
-    """Deep check of an official composition: coverage and piece heights; valid means no error row."""
+view("t_oout", """
+select ch, seg, case when seg%97=5 then concat('../', seg, '.png') when seg%89=7 then '' when seg%83=9 then 'out-0.png' else concat('out-', seg, '.png') end file, g_start, g_end,
+ case when g_start%101=0 then 699 when g_start%3=0 then null else 700 end width, g_end-g_start + case when g_start%103=0 then 1 else 0 end height from t_piece""")
+view("t_omani", """
+select ch, total%19<>0 readable, total, case when total%23=0 then null else n + case when total%11=0 then 1 else 0 end end merged_images, total + case when total%13=0 then 1 else 0 end source_total_height, total%5<>0 validation_ok,
+ case when total%17=0 then 1 when total%2=0 then 0 end coverage_start, case when total%3=0 then total end coverage_end from (select ch, max(total) total, count(*) n from t_piece group by ch) x""")
+view("t_oart", "select ch, file, case when g_end%109=0 then 701 when g_end%113=0 then null else 700 end width, g_end-g_start height from t_oout where g_end%107<>0")
+view("t_opage", "select ch, page_no, case when page_no%23=0 and total%3=0 then 701 when page_no%19=0 and total%7=0 then null else 700 end width, case when page_no%17=0 and total%4=0 then 0 else h end height from t_strip")
+view("t_ocover", f"""{COVER_SQL.format(src='t_oout', tot='(select ch, source_total_height total from t_omani)')}""")
+HAVE = "from t_oout o left join (select ch c, file f, width aw, height ah, true there from t_oart) a on o.ch=a.c and o.file=a.f"
+DEEP = f"""
+with n as (select ch, count(*) n from t_oout group by ch), p as (select ch, count(*) filter (width is null or height is null) bad, count(*) filter (width<=0 or height<=0) emp, min(width) w, max(width) w2, sum(height) h from t_opage group by ch),
+ m as (select t.*, n, bad, emp, w, w2, h, coalesce(coverage_start, 0) cs, coalesce(coverage_end, source_total_height) ce, case when merged_images > 0 then merged_images else n end d from t_omani t join n using (ch) left join p using (ch)),
+ j as (select o.*, aw, ah, there, w {HAVE} join m on m.ch=o.ch)
+select ch, unnest(list_filter([case when not readable then 'unreadable_manifest' end, case when d<=0 or d<>n then 'count_differs' end, case when source_total_height<=0 then 'no_total' end, case when cs<>0 then 'coverage_start' end,
+  case when ce<>source_total_height then 'coverage_end' end, case when bad is null then 'no_pages' end, case when bad>0 then 'page_unreadable' end, case when emp>0 then 'page_empty' end, case when w<>w2 then 'page_widths_differ' end,
+  case when h<>source_total_height then 'pages_differ_from_total' end], lambda k: k is not null)) kind, n "at", source_total_height "next" from m
+union all select ch, unnest(list_filter([case when trim(file)='' then 'no_name' end, case when there is null then 'missing_file' end, case when coalesce(width, w)<>w then 'width_differs' end, case when height<>g_end-g_start then 'height_differs' end,
+  case when there and coalesce(aw<>w or ah<>g_end-g_start, true) then 'image_differs' end], lambda k: k is not null)), g_start, g_end from j
+union all select * from t_ocover"""
+LIGHT_SQL = f"""
+with n as (select ch, count(*) n from t_oout group by ch), m as (select t.*, n from t_omani t join n using (ch)), j as (select o.*, there {HAVE})
+select ch, unnest(list_filter([case when not readable then 'unreadable_manifest' end, case when coalesce(merged_images, 0)<=0 or merged_images<>n then 'count_differs' end, case when source_total_height<=0 then 'no_total' end,
+  case when coalesce(coverage_start, -1)<>0 then 'coverage_start' end, case when coalesce(coverage_end<>source_total_height, true) then 'coverage_end' end, case when not validation_ok then 'not_validated' end], lambda k: k is not null)) kind, n "at", source_total_height "next" from m
+union all select ch, unnest(list_filter([case when trim(file)='' or contains(file, '/') then 'unsafe_name' end, case when there is null then 'missing_file' end], lambda k: k is not null)), g_start, g_end from j
+union all select ch, 'repeated_name', max(g_start), count(*) from t_oout group by ch, file having count(*) > 1
+union all select * from t_ocover"""
+
+
+def official_parts(spark, sf):
+    """Manifests, outputs, artifacts and pages of the official compositions; every check fails somewhere."""
+    seg, s, e, t = (F.col(c) for c in ("seg", "g_start", "g_end", "total"))
+    name = F.when(seg % 97 == 5, F.concat(F.lit("../"), seg.cast("string"), F.lit(".png"))).when(seg % 89 == 7, "").when(seg % 83 == 9, "out-0.png").otherwise(
+        F.concat(F.lit("out-"), seg.cast("string"), F.lit(".png")))
     p = S.piece(spark, sf)
-    e = K.coverage_errors(p, chapters(spark, sf)).select("ch", "kind").unionByName(p.filter("g_end - g_start > 12000").select("ch", F.lit("oversized").alias("kind")))
-    n = e.groupBy("ch").agg(F.count(F.lit(1)).alias("errors"))
+    o = cut(p.select("ch", "seg", name.alias("file"), "g_start", "g_end", F.when(s % 101 == 0, 699).when(s % 3 == 0, F.lit(None)).otherwise(700).alias("width"),
+                     (e - s + F.when(s % 103 == 0, 1).otherwise(0)).alias("height")))
+    m = p.groupBy("ch").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n")).select(
+        "ch", (t % 19 != 0).alias("readable"), F.when(t % 23 != 0, F.col("n") + F.when(t % 11 == 0, 1).otherwise(0)).alias("merged_images"),
+        (t + F.when(t % 13 == 0, 1).otherwise(0)).alias("source_total_height"), (t % 5 != 0).alias("validation_ok"),
+        F.when(t % 17 == 0, 1).when(t % 2 == 0, 0).alias("coverage_start"), F.when(t % 3 == 0, t).alias("coverage_end"))
+    a = o.filter(e % 107 != 0).select("ch", "file", F.when(e % 109 == 0, 701).when(e % 113 == 0, F.lit(None)).otherwise(700).alias("width"), (e - s).alias("height"))
+    k = F.col("page_no")
+    g = S.strip(spark, sf).select("ch", "page_no", F.when((k % 23 == 0) & (t % 3 == 0), 701).when((k % 19 == 0) & (t % 7 == 0), F.lit(None)).otherwise(700).alias("width"),
+                                  F.when((k % 17 == 0) & (t % 4 == 0), 0).otherwise(F.col("h")).alias("height"))
+    return cut(m), o, a, g
+
+
+@query("official_errors", DEEP)
+def official_errors(spark, sf):
+    m, o, a, g = official_parts(spark, sf)
+    return out(Q.official_errors(m, o, a, g), "ch", "kind", "at", "next")
+
+
+@query("official_errors_light", LIGHT_SQL)
+def official_errors_light(spark, sf):
+    m, o, a, _ = official_parts(spark, sf)
+    return out(Q.official_errors(m, o, a), "ch", "kind", "at", "next")
+
+
+@query("official_valid", f"with e as ({DEEP}) select c.ch, count(kind) errors, count(kind)=0 valid from t_chapter c left join e on c.ch=e.ch group by c.ch")
+def official_valid(spark, sf):
+    """Deep check of official compositions; valid means no error row."""
+    m, o, a, g = official_parts(spark, sf)
+    n = Q.official_errors(m, o, a, g).groupBy("ch").agg(F.count(F.lit(1)).alias("errors"))
     j = chapters(spark, sf).join(n, "ch", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
     return out(j, "ch", "errors", valid=F.col("errors") == 0)
 

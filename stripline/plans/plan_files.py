@@ -73,6 +73,18 @@ def plan_signature_diff(spark, sf):
     return out(d, "rel", "size", "status", "side")
 
 
+@query("plan_tree_diff", """
+with b as (select doc_id, rel, size + case when doc_id%197=0 then 1 else 0 end size, hash from t_file where doc_id%311<>5), a as (select doc_id, rel, size, hash from t_file)
+select *, 'left' side from (select * from a except select * from b) union all select *, 'right' from (select * from b except select * from a)""")
+def plan_tree_diff(spark, sf):
+    """Files of two plans that differ, found by comparing their hash trees from the top."""
+    from stripline.operators.lineage import tree_diff
+
+    f = S.file(spark, sf).select("doc_id", "rel", "size", "hash")
+    now = f.filter("doc_id % 311 <> 5").withColumn("size", c("size") + F.when(c("doc_id") % 197 == 0, 1).otherwise(0))
+    return out(tree_diff(f, now, [], "doc_id", ["rel", "size", "hash"], fan=16), "doc_id", "rel", "size", "hash", "side")
+
+
 @query("source_staleness", "select rel, case when not in_dest then 'missing' else 'changed' end problem from t_file where not in_dest or dest_hash<>hash")
 def source_staleness(spark, sf):
     f = S.file(spark, sf)
@@ -310,22 +322,61 @@ def idempotent_apply(spark, sf):
     return out(j, "chapter", "version", action=F.when(c("done"), "noop").when(c("status").isNull(), "invalid").otherwise("apply"))
 
 
-@query("correction_precheck", """
-select chapter, version, unnest(list_filter([case when algorithm is null then 'invalid_schema' end, case when algorithm='legacy' then 'unsupported_algorithm' end, case when status='EFETIVADO' then 'already_applied' end,
- case when not integrity_ok then 'integrity' end, case when len(sources)<>len(cleans) then 'size_mismatch' end], lambda k: k is not null)) problem from t_parsed""")
-def correction_precheck(spark, sf):
-    checks = F.filter(F.array(
-        F.when(~c("ok"), "invalid_schema"), F.when(c("algorithm") == "legacy", "unsupported_algorithm"), F.when(c("status") == "EFETIVADO", "already_applied"),
-        F.when(~c("integrity_ok"), "integrity"), F.when(F.size("sources") != F.size("cleans"), "size_mismatch")), lambda k: k.isNotNull())
-    return out(parsed(spark, sf).select("chapter", "version", F.explode(checks).alias("problem")), "chapter", "version", "problem")
+view("t_corr", """
+select doc_id id, concat('p-', doc_id) want_proposal_id, source want_chapter, case when doc_id%3=0 then 'MERGE' else 'IMG' end want_source_stage, concat('page-', doc_id, '.png') want_source_file, concat('clean-', doc_id, '.png') want_clean_file,
+ case when doc_id%41=0 then null when doc_id%43=0 then 'clean-x.png' else concat('clean-', doc_id, '.png') end pending_clean, doc_id%47<>0 readable, doc_id%53<>0 schema_ok, case when doc_id%11=0 then 'EFETIVADO' else 'PREVIA' end status,
+ case when doc_id%13=0 then null else concat('p-', doc_id) end proposal_id, case when doc_id%17=0 then 'src99' else source end chapter, case when doc_id%19=0 then 'IMG' when doc_id%3=0 then 'MERGE' else 'IMG' end source_stage,
+ concat('page-', doc_id + case when doc_id%23=0 then 1 else 0 end, '.png') source_file, concat('clean-', doc_id + case when doc_id%29=0 then 1 else 0 end, '.png') clean_file,
+ case when doc_id%31=0 then null when doc_id%7=0 then md5('old') else md5(concat('clean-', doc_id)) end base_sha256, case when doc_id%9=0 then md5('old') else md5(concat('page-', doc_id)) end source_sha256,
+ case when doc_id%37=0 then '../preview.png' else concat('preview-', doc_id, '.png') end preview_file, n_chars from documents""")
+view("t_corrimg", """
+select concat(k, '-', doc_id, '.png') file, md5(concat(k, '-', doc_id)) sha, 700 + case when k='preview' and doc_id%10=0 then 1 else 0 end w, n_chars + case when k='page' and doc_id%15=0 then 2 else 0 end h
+from documents, (values ('page'), ('clean'), ('preview')) t(k) where not (k='preview' and doc_id%21=0) and not (k='clean' and doc_id%26=0)""")
 
 
-@query("scan_pdf_pages", """
-select page_id, starts_with(html, '<!DOCTYPE') header_ok, len(regexp_extract_all(html, '<p[ >]')) pages, length(html)=0 is_empty from pages""")
+@query("correction_precheck", """
+with j as (select t.*, c.file cf, c.sha cs, c.w cw, c.h ch, s.file sf, s.sha ss, s.w sw, s.h sh, p.file pf, p.w pw, p.h ph from t_corr t left join t_corrimg c on want_clean_file=c.file left join t_corrimg s on want_source_file=s.file left join t_corrimg p on preview_file=p.file)
+select id, unnest(list_filter([case when not (readable and schema_ok) then 'invalid_schema' end, case when status<>'PREVIA' then 'not_available' end, case when proposal_id is distinct from want_proposal_id then 'proposal_id_differs' end,
+ case when chapter<>want_chapter then 'chapter_differs' end, case when source_stage<>want_source_stage then 'source_stage_differs' end, case when source_file<>want_source_file then 'source_file_differs' end, case when clean_file<>want_clean_file then 'clean_file_differs' end,
+ case when pending_clean is distinct from want_clean_file then 'not_pending' end, case when coalesce(base_sha256<>cs, true) then 'base_changed' end, case when coalesce(source_sha256<>ss, true) then 'source_changed' end, case when contains(preview_file, '/') or pf is null then 'no_preview' end,
+ case when pf is not null and cf is not null and (pw<>cw or ph<>ch) then 'preview_size' end, case when want_source_stage='MERGE' and pf is not null and sf is not null and (pw<>sw or ph<>sh) then 'merge_size' end], lambda k: k is not null)) kind from j""")
+def correction_precheck(spark, sf):
+    """Corrections of cleaned pages, one per document, against the pending list and the images of today."""
+    from stripline.operators.official import correction_errors
+
+    k, d = c("doc_id"), S.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    name = lambda kind, n=k, end=".png": F.concat(F.lit(f"{kind}-"), n.cast("string"), F.lit(end))
+    stage = F.when(k % 3 == 0, "MERGE").otherwise("IMG")
+    want = d.select(k.alias("id"), name("p", end="").alias("want_proposal_id"), c("source").alias("want_chapter"), stage.alias("want_source_stage"), name("page").alias("want_source_file"), name("clean").alias("want_clean_file"),
+                    F.when(k % 41 == 0, F.lit(None)).when(k % 43 == 0, "clean-x.png").otherwise(name("clean")).alias("pending_clean"))
+    one = lambda n: k + F.when(k % n == 0, 1).otherwise(0)
+    old = F.md5(F.lit("old").cast("binary"))
+    sha = lambda kind: F.md5(name(kind, end="").cast("binary"))
+    prop = d.select(
+        k.alias("id"), (k % 47 != 0).alias("readable"), (k % 53 != 0).alias("schema_ok"), F.when(k % 11 == 0, "EFETIVADO").otherwise("PREVIA").alias("status"), F.when(k % 13 != 0, name("p", end="")).alias("proposal_id"),
+        F.when(k % 17 == 0, "src99").otherwise(c("source")).alias("chapter"), F.when(k % 19 == 0, "IMG").otherwise(stage).alias("source_stage"), name("page", one(23)).alias("source_file"), name("clean", one(29)).alias("clean_file"),
+        F.when(k % 31 == 0, F.lit(None)).when(k % 7 == 0, old).otherwise(sha("clean")).alias("base_sha256"), F.when(k % 9 == 0, old).otherwise(sha("page")).alias("source_sha256"),
+        F.when(k % 37 == 0, "../preview.png").otherwise(name("preview")).alias("preview_file"))
+    kinds = d.withColumn("k", F.explode(F.array(*map(F.lit, ("page", "clean", "preview"))))).filter(~((c("k") == "preview") & (k % 21 == 0)) & ~((c("k") == "clean") & (k % 26 == 0)))
+    stem = F.concat(c("k"), F.lit("-"), k.cast("string"))
+    images = kinds.select(F.concat(stem, F.lit(".png")).alias("file"), F.md5(stem.cast("binary")).alias("sha256"), (700 + F.when((c("k") == "preview") & (k % 10 == 0), 1).otherwise(0)).alias("width"),
+                          (c("n_chars") + F.when((c("k") == "page") & (k % 15 == 0), 2).otherwise(0)).alias("height"))
+    return out(correction_errors(prop, want, images, ["id"]), "id", "kind")
+
+
+PDF = "case when page_id%17=0 then '' else concat(case when page_id%13=0 then 'PDF' else '%PDF-1.4 ' end, '<< /Type /Pages >> ', replace(replace(html, '<p>', '<< /Type /Page >>'), '<p ', '<< /Type/Page ')) end"
+
+
+@query("scan_pdf_pages", f"""
+select page_id, starts_with(b, '%PDF') header_ok, len(regexp_extract_all(b, '/Type\\s*/Page')) - len(regexp_extract_all(b, '/Type\\s*/Pages')) pages, length(b)=0 is_empty from (select page_id, {PDF} b from pages) x""")
 def scan_pdf_pages(spark, sf):
+    """Page objects of documents made from the web pages, a page object for each paragraph; some are empty or lack the header."""
     from stripline.sources.pages import object_pages
-    h = S.table(spark, sf, "pages").withColumn("content", c("html").cast("binary"))
-    return out(object_pages(h, "content", r"<p[ >]", "<!DOCTYPE"), "page_id", "header_ok", "pages", "is_empty")
+
+    body = F.replace(F.replace(c("html"), F.lit("<p>"), F.lit("<< /Type /Page >>")), F.lit("<p "), F.lit("<< /Type/Page "))
+    head = F.when(c("page_id") % 13 == 0, "PDF").otherwise("%PDF-1.4 ")
+    pdf = F.when(c("page_id") % 17 == 0, "").otherwise(F.concat(head, F.lit("<< /Type /Pages >> "), body))
+    return out(object_pages(S.table(spark, sf, "pages").select("page_id", pdf.cast("binary").alias("content"))), "page_id", "header_ok", "pages", "is_empty")
 
 
 @query("bad_pages_from_errors", "select ch, regexp_extract(msg, 'page-\\d+\\.[A-Za-z0-9]+') page, count(*) messages from t_error group by all")
@@ -334,32 +385,53 @@ def bad_pages_from_errors(spark, sf):
     return e.groupBy("ch", "page").agg(F.count(F.lit(1)).alias("messages"))
 
 
-def issue_labels():
-    # One line per issue type.
-    return {"image_validation_failed": "Imagem incompatível", "image_unreadable": "Imagem ilegível"}
+view("t_report", """
+select c.ch, case when e.ch is not null and total%4<>0 then 'image_validation_failed' when total%6=0 then 'pdf_page_count_mismatch' when total%6=1 then 'download_not_completed' when total%6=2 then 'download_state_invalid'
+  when total%6=3 then 'pdf_validation_failed' when total%6=4 then 'image_validation_failed' end issue_type, case when total%8<>0 then concat('aviso de ', c.ch) end message, total%5=0 pdf_generated,
+ case when total%7=0 then null when total%9=0 then pages+1 else pages end expected, case when total%14<>0 then pages end found, pages pdf_expected, case when total%10<>0 then pages-1 end pdf_found, total
+from t_chapter c left join (select distinct ch from t_error) e on c.ch=e.ch""")
+view("t_repmeta", "select s.ch, file, case when page_no%5<>0 then 700 end width, h height, case when page_no%2=0 then 525.0 end pdf_width, h*0.75 pdf_height, page_no from t_strip s where total%11<>0 and not (page_no%13=3 and total%2=0)")
 
 
 @query("render_divergence_text", """
-with n as (select ch, count(*) bad, min(issue_type) issue, min(file) first_file from t_error group by ch)
-select ch, 0::bigint section, '' item, concat('CAPÍTULO ', ch, ' — PDF NÃO GERADO') line from n
-union all select ch, 1, file, concat('✕ ', file, ' ', case issue_type when 'image_unreadable' then 'Imagem ilegível' else 'Imagem incompatível' end) from t_error
-union all select ch, 2, '', case when bad=1 then 'A geração do PDF foi bloqueada por uma única imagem incompatível' else concat('A geração do PDF foi bloqueada por ', bad, ' imagens incompatíveis') end from n
-union all select ch, 3, '', case when bad=1 then concat('Revisar visualmente a página ', cast(regexp_extract(first_file,'page-(\\d+)',1) as bigint), ' antes de decidir por exceção/correção.') else 'Revisar visualmente as páginas divergentes antes de decidir por exceção/correção.' end from n""")
+with b as (select distinct ch, file from t_error), n as (select ch, count(*) bad, arg_min(regexp_extract(file, 'page-([0-9]+)', 1)::bigint, regexp_extract(file, 'page-([0-9]+)', 1)::bigint) pg from b group by ch),
+ m as (select ch, count(*) meta, count(distinct page_no) dif, min(page_no) lo, max(page_no) hi from t_repmeta group by ch),
+ r as (select t.*, coalesce(bad, 0) bad, pg, coalesce(meta, 0) meta, coalesce(expected > 0 and meta=expected and dif=expected and lo=1 and hi=expected, false) seq, coalesce(issue_type, '') iss, coalesce(message, '') msg from t_report t left join n using (ch) left join m using (ch)),
+ q as (select *, iss='image_validation_failed' and bad>0 imgs, iss='image_validation_failed' and coalesce(expected=found, false) and (meta=0 or seq) mine from r),
+ l as (select ch, unnest([
+  {'s':0, 'k':0, 'l': format('{:<24} {}', concat('Capítulo ', ch), case iss when 'image_validation_failed' then 'Imagem incompatível' when 'pdf_page_count_mismatch' then 'Páginas do PDF divergentes' when 'pdf_validation_failed' then 'Validação do PDF' when 'download_not_completed' then 'Download em andamento' when 'download_state_invalid' then 'Estado de download inválido' when '' then 'Divergência' else iss end)},
+  {'s':1, 'k':0, 'l': concat('CAPÍTULO ', ch, case when pdf_generated then ' — PDF GERADO' else ' — PDF NÃO GERADO' end)},
+  {'s':2, 'k':0, 'l': ''}, {'s':2, 'k':1, 'l': 'Validação do capítulo'},
+  {'s':2, 'k':2, 'l': case when expected is not null and found is not null then concat(case when expected=found then '✓ ' else '✕ ' end, found, ' de ', expected, ' páginas encontradas') when found is not null then concat('✓ ', found, ' páginas encontradas') end},
+  {'s':2, 'k':3, 'l': case when meta>0 and expected is not null then case when seq then '✓ Sequência completa' else '✕ Sequência de páginas divergente' end end},
+  {'s':2, 'k':4, 'l': case when found>0 and meta=found then '✓ Imagens legíveis' end},
+  {'s':3, 'k':0, 'l': ''}, {'s':3, 'k':1, 'l': 'Divergência'},
+  {'s':3, 'k':2, 'l': case when imgs then null when iss='pdf_page_count_mismatch' then concat('✕ Quantidade de páginas do PDF divergente: esperado ', pdf_expected, ', encontrado ', coalesce(pdf_found::varchar, 'None')) else concat('✕ ', case when msg='' then 'Divergência registrada.' else msg end) end},
+  {'s':4, 'k':0, 'l': ''}, {'s':4, 'k':1, 'l': 'Conclusão'},
+  {'s':4, 'k':2, 'l': case when mine then 'O capítulo está completo.' when iss='pdf_page_count_mismatch' then 'As imagens do capítulo foram validadas.' when iss='download_not_completed' then 'O capítulo ainda estava em download.' when iss='download_state_invalid' then 'O estado persistente do capítulo não pôde ser validado.' when msg<>'' then msg else 'A divergência requer revisão.' end},
+  {'s':4, 'k':3, 'l': case when mine and bad=1 then 'A geração do PDF foi bloqueada por uma única imagem incompatível' when mine then concat('A geração do PDF foi bloqueada por ', bad, ' imagens incompatíveis') when iss='pdf_page_count_mismatch' then 'O PDF gerado apresentou quantidade de páginas divergente.' when iss='download_not_completed' then 'A geração do PDF foi bloqueada para evitar um arquivo incompleto.' when iss='download_state_invalid' then 'A geração do PDF foi bloqueada por segurança.' end},
+  {'s':4, 'k':4, 'l': case when mine then 'com a regra de segurança do PDF.' end},
+  {'s':5, 'k':0, 'l': ''}, {'s':5, 'k':1, 'l': 'Ação sugerida'},
+  {'s':5, 'k':2, 'l': case when imgs and bad=1 then concat('Revisar visualmente a página ', pg, ' antes de decidir por exceção/correção.') when imgs then 'Revisar visualmente as páginas divergentes antes de decidir por exceção/correção.' when iss='pdf_page_count_mismatch' then 'Comparar a quantidade de imagens com as páginas do PDF antes de gerar novamente.'
+    when iss='download_not_completed' then 'Aguardar a conclusão do download antes de gerar o PDF.' when iss='download_state_invalid' then 'Revisar o estado do capítulo antes de tentar gerar o PDF.' else 'Revisar os detalhes técnicos do relatório.' end}]) x from q),
+ i as (select b.ch, regexp_extract(b.file, 'page-([0-9]+)', 1)::bigint page, unnest([{'k':2, 'l': concat('✕ ', b.file)}, {'k':3, 'l': case when width is not null then concat('  Dimensão da imagem: ', width, 'x', height) end},
+  {'k':4, 'l': case when pdf_width is not null then format('  Dimensão no PDF: {:.2f}x{:.2f}', pdf_width::double, pdf_height::double) end}, {'k':5, 'l': '  Motivo: altura/dimensão abaixo do mínimo permitido'}]) x
+  from b join q on b.ch=q.ch and imgs left join t_repmeta t on t.ch=b.ch and t.file=b.file)
+select ch, x.s::bigint section, 0::bigint page, x.k::bigint k, x.l line from l where x.l is not null union all select ch, 3, page, x.k, x.l from i where x.l is not null""")
 def render_divergence_text(spark, sf):
-    """Narrative of a chapter's problems as ordered lines."""
-    e = S.error(spark, sf)
-    n = e.groupBy("ch").agg(F.count(F.lit(1)).alias("bad"), F.min("file").alias("first_file"))
-    one = c("bad") == 1
-    lines = F.array(
-        F.struct(F.lit(0).alias("section"), F.concat(F.lit("CAPÍTULO "), "ch", F.lit(" — PDF NÃO GERADO")).alias("line")),
-        F.struct(F.lit(2).alias("section"), F.when(one, "A geração do PDF foi bloqueada por uma única imagem incompatível").otherwise(
-            F.concat(F.lit("A geração do PDF foi bloqueada por "), c("bad").cast("string"), F.lit(" imagens incompatíveis"))).alias("line")),
-        F.struct(F.lit(3).alias("section"), F.when(one, F.concat(F.lit("Revisar visualmente a página "), M.page_number("first_file").cast("string"), F.lit(" antes de decidir por exceção/correção."))).otherwise(
-            "Revisar visualmente as páginas divergentes antes de decidir por exceção/correção.").alias("line")))
-    head = n.select("ch", F.explode(lines).alias("x")).select("ch", "x.section", F.lit("").alias("item"), "x.line")
-    label = F.create_map(*[F.lit(x) for kv in issue_labels().items() for x in kv])
-    body = e.select("ch", F.lit(1).alias("section"), c("file").alias("item"), F.concat(F.lit("✕ "), "file", F.lit(" "), label[c("issue_type")]).alias("line"))
-    return out(head.unionByName(body), "ch", "section", "item", "line")
+    """Narratives of reports of every issue type, with and without incompatible images."""
+    from stripline.operators.quality import divergence_lines
+
+    t, k, pages = c("total"), c("page_no"), c("pages")
+    e = S.error(spark, sf).select("ch", "file")
+    six = F.when(t % 6 == 0, "pdf_page_count_mismatch").when(t % 6 == 1, "download_not_completed").when(t % 6 == 2, "download_state_invalid").when(t % 6 == 3, "pdf_validation_failed").when(t % 6 == 4, "image_validation_failed")
+    r = S.chapter(spark, sf).join(e.select("ch").distinct().withColumn("bad", F.lit(True)), "ch", "left").select(
+        "ch", c("ch").alias("name"), F.when(c("bad") & (t % 4 != 0), "image_validation_failed").otherwise(six).alias("issue_type"), F.when(t % 8 != 0, F.concat(F.lit("aviso de "), "ch")).alias("message"),
+        (t % 5 == 0).alias("pdf_generated"), F.when(t % 7 == 0, F.lit(None)).when(t % 9 == 0, pages + 1).otherwise(pages).alias("expected"), F.when(t % 14 != 0, pages).alias("found"), pages.alias("pdf_expected"),
+        F.when(t % 10 != 0, pages - 1).alias("pdf_found"))
+    m = S.strip(spark, sf).filter((t % 11 != 0) & ~((k % 13 == 3) & (t % 2 == 0))).select(
+        "ch", "file", F.when(k % 5 != 0, 700).alias("width"), c("h").alias("height"), F.when(k % 2 == 0, 525.0).alias("pdf_width"), (c("h") * 0.75).alias("pdf_height"))
+    return out(divergence_lines(r, e, m), "ch", "section", "page", "k", "line")
 
 
 @query("write_report_json", """
@@ -395,13 +467,6 @@ def read_markers(spark, sf):
                status=F.when(c("broken"), "invalid").when(c("going"), "in_progress").otherwise("completed"))
 
 
-@query("scan_pages")
-def scan_pages(spark, sf):
-    """Files of the given folder in natural order, by name, extension and size; no content is read."""
-    from stripline.sources.pages import scan_files
-    return out(scan_files(spark, sf, r"\.parquet$").orderBy(M.natural_key("file")), "file", "ext", "size")
-
-
 @query("promote_versioned", """
 with bad as (select distinct ch from (select ch from t_cover) x) select ch, seg, stage, g_start, g_end from t_piece where ch not in (select ch from bad)""")
 def promote_versioned(spark, sf):

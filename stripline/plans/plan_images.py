@@ -1,10 +1,13 @@
 """Image queries: every document as a small colour image (see ``standins.images``)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stripline.operators import images as I
 from stripline.plans import standins as S
 from stripline.plans.registry import out, query, view
+from stripline.session import shared_dir
 
 LIGHT, DARK = 104, 100
 view("t_pix", "select doc_id, y, x, max(v) filter (c=0) b, max(v) filter (c=1) g, max(v) filter (c=2) r from t_byte group by doc_id, y, x")
@@ -95,9 +98,42 @@ def masked_composite(spark, sf):
     return out(I.masked_composite(pairs(spark, sf), ["doc_id"]), "doc_id", md5=F.md5(F.hex("out")))
 
 
-@query("scan_images", """
-select doc_id, case when doc_id%97<>0 then 16 end::bigint width, case when doc_id%97<>0 then cast(ceil(octet_length(encode(text))/48.0) as bigint) end height, case when doc_id%97=0 then 'unreadable' end problem from documents""")
+RAW = "unhex(rpad(hex(encode(text)), cast(ceil(octet_length(encode(text))/48.0) as integer)*96, 'F'))"
+
+
+def written(spark, files):
+    """Folder below the shared one that holds a file for each row."""
+    from stripline.sources.sinks import write_files
+
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    write_files(files, root)
+    return root
+
+
+def page_name(spark, sf):
+    """Path of a document's page: its source as the chapter, some of them backups."""
+    k = F.col("doc_id")
+    return F.concat("source", F.lit("/page-"), k.cast("string"), F.when(k % 31 == 0, "_old.png").when(k % 7 == 0, ".PNG").otherwise(".png"))
+
+
+@query("scan_images", f"""
+select source ch, doc_id page_no, case when doc_id%97<>0 then 16 end::bigint width, case when doc_id%97<>0 then cast(ceil(octet_length(encode(text))/48.0) as bigint) end height, case when doc_id%97<>0 then md5({RAW}) end pixels,
+ case when doc_id%97=0 then 'unreadable' end problem from documents where doc_id%31<>0""")
 def scan_images(spark, sf):
+    """Image files of all documents, decoded; files cut short stay as error rows, backups are left out."""
+    from stripline.sources.pages import scan_images as scan
+    from stripline.sources.sinks import encode_png
+
+    k = F.col("doc_id")
+    png = encode_png(S.images(spark, sf), ["doc_id"]).join(S.table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    cut_short = F.when(k % 97 == 0, F.substring("content", 1, 20)).otherwise(F.col("content"))
+    root = written(spark, png.select(page_name(spark, sf).alias("path"), cut_short.alias("content")))
+    return out(scan(spark, root), "ch", "page_no", "width", "height", "problem", pixels=F.md5("data"))
+
+
+@query("image_sizes", """
+select doc_id, case when doc_id%97<>0 then 16 end::bigint width, case when doc_id%97<>0 then cast(ceil(octet_length(encode(text))/48.0) as bigint) end height, case when doc_id%97=0 then 'unreadable' end problem from documents""")
+def image_sizes(spark, sf):
     """Sizes from PNG headers; files cut short stay as error rows."""
     from stripline.sources.pages import png_size
     from stripline.sources.sinks import encode_png
@@ -105,3 +141,40 @@ def scan_images(spark, sf):
     broken = F.col("doc_id") % 97 == 0
     files = files.withColumn("content", F.when(broken, F.substring("content", 2, 20)).otherwise(F.col("content")))
     return out(png_size(files), "doc_id", "width", "height", problem=F.when(F.col("width").isNull(), "unreadable"))
+
+
+@query("scan_pages", """
+select source ch, concat('page-', doc_id, case when doc_id%7=0 then '.PNG' else '.png' end) file, doc_id page_no, octet_length(encode(text)) size, sha256(encode(text)) sha256 from documents where doc_id%31<>0""")
+def scan_pages(spark, sf):
+    """Page files of all documents by chapter and number, with size and hash; backups are left out."""
+    from stripline.sources.pages import scan_pages as scan
+
+    root = written(spark, S.table(spark, sf, "documents").select(page_name(spark, sf).alias("path"), F.encode("text", "UTF-8").alias("content")))
+    return out(scan(spark, root, content=True), "ch", "file", "page_no", "size", "sha256")
+
+
+@query("strip_scan_images", """
+with b as (select doc_id, y, x, c, v, abs(lead(v) over (partition by doc_id, y, c order by x) - v) rv, abs(lead(v) over (partition by doc_id, x, c order by y) - v) dv from t_byte),
+ rc as (select doc_id, y, c, sum(v) f1, sum(v*v) f2, sum(v) filter (x between 4 and 11) m1, sum(v*v) filter (x between 4 and 11) m2 from b group by all),
+ rr as (select doc_id, y, coalesce(sum(rv), 0) fr, coalesce(sum(rv) filter (x between 4 and 10), 0) mr, coalesce(sum(dv), 0) fd, coalesce(sum(dv) filter (x between 4 and 11), 0) md from b group by all),
+ wc as (select doc_id, y, c, count(*) over w n, sum(f1) over w/288.0 fa, sum(f2) over w/288.0 fb, sum(m1) over w/144.0 ma, sum(m2) over w/144.0 mb from rc window w as (partition by doc_id, c order by y range between current row and 17 following)),
+ sd as (select doc_id, y, max(sqrt(greatest(fb-fa*fa, 0))) fs, max(sqrt(greatest(mb-ma*ma, 0))) ms from wc where n=18 and y%9=0 group by all),
+ wr as (select doc_id, y, sum(fr) over w/(18*15*3.0) fr, sum(mr) over w/(18*7*3.0) mr, sum(fd) over v/(17*16*3.0) fd, sum(md) over v/(17*8*3.0) md from rr window w as (partition by doc_id order by y range between current row and 17 following), v as (partition by doc_id order by y range between current row and 16 following))
+select doc_id, y, y+9 center, round(ms,6) uniform_std, round(greatest(mr,md),6) edge_mean, round(fs,6) full_std, round(greatest(fr,fd),6) full_edge from sd join wr using (doc_id, y) where ms<=36 and fs<=36 and greatest(mr,md)<=32 and greatest(fr,fd)<=32""")
+def strip_scan_images(spark, sf):
+    """Flat strips of images, by their pixels: the eight centre columns and the full width."""
+    s = I.strip_scan(S.images(spark, sf), ["doc_id"], 36.0, 32.0, sample=8)
+    return out(s, "doc_id", "y", "center", **{c: F.round(c, 6) for c in ("uniform_std", "edge_mean", "full_std", "full_edge")})
+
+
+@query("stack_crops_images", f"""
+with p as (select doc_id, hex({RAW}) x, cast(ceil(octet_length(encode(text))/48.0) as bigint) h from documents),
+ q as (select doc_id//4 strip, doc_id, h//4 a, greatest(h//4, h - doc_id%3) z, x from p)
+select strip, md5(unhex(string_agg(substr(x, a*96+1, (z-a)*96), '' order by doc_id))) content_md5, sum(z-a)::bigint n_rows, count(*) n_slices from q group by strip""")
+def stack_crops_images(spark, sf):
+    """Row slices of four neighbouring images each, stacked in order."""
+    i = S.images(spark, sf)
+    a = F.floor(F.col("height") / 4)
+    i = i.withColumns({"strip": F.floor(F.col("doc_id") / 4), "a": a, "z": F.greatest(a, F.col("height") - F.col("doc_id") % 3)})
+    s = I.stack_rows(I.crop_rows(i, "a", "z"), ["strip"], "doc_id")
+    return out(s, "strip", "n_slices", content_md5=F.md5("data"), n_rows=F.expr("octet_length(data) div 48"))

@@ -7,7 +7,7 @@ from stripline.operators import layout as L
 from stripline.operators import paths as P
 from stripline.plans import standins as S
 from stripline.plans.plan_evidence import extent, on_path, seeds
-from stripline.plans.registry import out, query
+from stripline.plans.registry import out, query, view
 from stripline.session import cut
 
 
@@ -96,19 +96,30 @@ def dedupe_close_candidates(spark, sf):
     return out(P.dedupe_close(b), "ch", "kind", "center", "height")
 
 
-@query("level2_decision_reason", BALANCED + """, k as (select ch, center, max(case when kind='uniform_color_band' then 1 else 0 end) u from t_band where height>=150 group by all),
+view("t_half", "select ch, concat(ch, '#', i) rc, case when i=0 then 0 else total//2 end s, case when i=0 then total//2 else total end e from t_chapter, (values (0), (1)) t(i)")
+view("t_rchapter", "select rc ch, e-s total from t_half")
+view("t_rband", "select rc ch, kind, b_start-s b_start, b_end-s b_end, height, center-s center, ratio, std from t_band b join t_half h on b.ch=h.ch and center > s and center < e")
+view("t_rstrip", "select rc ch, file, page_no, gs-s gs, ge-s ge from t_strip p join t_half h on p.ch=h.ch")
+HALVES = BALANCED.replace("t_chapter", "t_rchapter").replace("t_band", "t_rband").replace("t_strip", "t_rstrip")
+
+
+@query("level2_decision_reason", HALVES + """, k as (select ch, center, max(case when kind='uniform_color_band' then 1 else 0 end) u from t_rband where height>=150 group by all),
  g as (select b.ch, strategy, max(u) u from bal b left join k on k.ch=b.ch and k.center=b."end" where part='chunk' group by all)
-select ch, strategy, case when strategy like '%edge_chunk' then 'level2_safe_edge_chunk_last_fallback' when u=1 then 'level2_safe_uniform_color_balanced_path' else 'level2_safe_white_balanced_path' end reason from g""")
+select h.ch, h.s region, strategy, case when strategy like '%edge_chunk' then 'level2_safe_edge_chunk_last_fallback' when u=1 then 'level2_safe_uniform_color_balanced_path' else 'level2_safe_white_balanced_path' end reason from g join t_half h on h.rc=g.ch""")
 def level2_decision_reason(spark, sf):
-    """Why a region was resolved: an edge chunk, a path with uniform bands, or one of white bands only."""
-    c = cut(balanced(spark, sf))
-    kinds = S.band(spark, sf).filter("height >= 150").groupBy("ch", F.col("center").alias("end")).agg(
-        F.max(F.when(F.col("kind") == "uniform_color_band", 1).otherwise(0)).alias("uniform"))
-    j = c.filter("part = 'chunk'").join(kinds, ["ch", "end"], "left").groupBy("ch", "strategy").agg(F.max("uniform").alias("uniform"))
+    """Why a region, of which each chapter has two, was resolved: an edge chunk, a path with uniform bands, or one of white bands only."""
+    w, mid = whole(spark, sf), F.floor(F.col("e") / 2)
+    halves = w.select("ch", F.explode(F.array(F.struct("s", mid.alias("e")), F.struct(mid.alias("s"), "e"))).alias("r")).select("ch", "r.*")
+    bands = cut(S.band(spark, sf))
+    chunks = cut(P.balanced_path(halves, bands, cut(S.strip(spark, sf))).filter("part = 'chunk'"))
+    c = P.into_zones(chunks, P.zoned(halves), ["ch"], "start").withColumnRenamed(P.ZONE, "region").join(halves.select("ch", F.col("s").alias("region"), "e"), ["ch", "region"])
+    kinds = bands.filter("height >= 150").groupBy("ch", F.col("center").alias("end")).agg(F.max(F.when(F.col("kind") == "uniform_color_band", 1).otherwise(0)).alias("uniform"))
+    inner = F.when(F.col("end") < F.col("e"), F.col("uniform"))  # a region's end is no band of it
+    j = c.join(kinds, ["ch", "end"], "left").groupBy("ch", "region", "strategy").agg(F.max(inner).alias("uniform"))
     # The decisions' names.
     why = (F.when(F.col("strategy").endswith("edge_chunk"), "level2_safe_edge_chunk_last_fallback")
            .when(F.col("uniform") == 1, "level2_safe_uniform_color_balanced_path").otherwise("level2_safe_white_balanced_path"))
-    return out(j, "ch", "strategy", reason=why)
+    return out(j, "ch", "region", "strategy", reason=why)
 
 
 def strip_regions(spark, sf):

@@ -25,7 +25,8 @@ class Range(InputPartition):
     end: int
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system of a path or address, and the path in it."""
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(path)
@@ -52,7 +53,7 @@ class Ends:
         self.seen: dict[str, tuple[int, int]] = {}
 
     def now(self) -> dict[str, int]:
-        fs, path = _open(self.path)
+        fs, path = open_path(self.path)
         info = fs.get_file_info(path)
         if info.type == pafs.FileType.Directory:
             found = fs.get_file_info(pafs.FileSelector(path))
@@ -82,7 +83,7 @@ def ranges(start: dict[str, int], end: dict[str, int], step: int) -> Sequence[Ra
 
 def read_range(path: str, r: Range) -> Iterator[pa.RecordBatch]:
     """The lines that begin in a range; the last one may end after it."""
-    fs, _ = _open(path)
+    fs, _ = open_path(path)
     with fs.open_input_file(r.file) as f:
         size = f.size()
         data, start = f.read_at(r.end - r.start, r.start), r.start

@@ -169,3 +169,45 @@ def test_residual_walk_by_region_and_without_evidence(spark):
     assert [(r.start, r.end) for r in rest.collect()] == [(60000, 80000)]
     ok, rest = residual_walk(evidence(spark, (5000, "SAFE")), several(spark, (0, 30000)))
     assert ok.count() == 0 and [(r.start, r.end, r.reason) for r in rest.collect()] == [(0, 30000, "no_evidence")]
+
+
+def plain_paths(nodes, target, lo, hi, prefer, small_edges, first_wins):
+    """Best path of every node, one node after the other, from full lists of its predecessors' paths."""
+    best = {}
+    for y, role, q, cs, ce in sorted(nodes):
+        if role == 0:
+            best[y] = ((0, 0, 0, None, None, 0, 0.0), (y,), None)
+            continue
+        found = []
+        for p, prole, _, _, pce in nodes:
+            d = y - p
+            if p not in best or not 0 < d <= hi:
+                continue
+            if d < lo and not (small_edges and (role == 2 or prole == 0)):
+                continue
+            edge, short, dev, top, low, n, qual = best[p][0]
+            top, low = max(top or 0, d), min(low, d) if low is not None else d
+            score = (edge + (d < lo), short + (max(0, prefer - (cs - pce)) if prefer else 0), dev + abs(d - target), top, low, n + 1, qual - (q if role == 1 else 0.0))
+            key = (score[0], score[1], score[2], top - low, n + 1, score[6], best[p][1]) if not first_wins else (score[2], top - low, n + 1, p)
+            found.append((key, score, best[p][1] + (y,), p))
+        if found:
+            best[y] = min(found, key=lambda f: f[0])[1:]
+    return {y: (b[2], *b[0][:3], b[0][5]) for y, b in best.items()}
+
+
+@pytest.mark.parametrize("rules", [dict(prefer=0), dict(prefer=4), dict(prefer=0, small_edges=True), dict(prefer=3, small_edges=True), dict(prefer=0, first_wins=True)])
+def test_bands_solve_the_recurrence(spark, rules):
+    rnd = random.Random(17)
+    rules = {"target": 7, "lo": 3, "hi": 12, "prefer": 0, "small_edges": False, "first_wins": False} | rules
+    cases = {}
+    for k in range(25):
+        end = rnd.choice([5, 12, 40, 150])
+        inner = sorted(rnd.sample(range(1, end), min(end - 1, rnd.choice([0, 3, 30, 120]))))
+        row = lambda y, role: (y, role, rnd.choice([0.0, 0.0, 1.5, 2.0]), y // 2, y // 2 + rnd.randrange(2))
+        cases[f"c{k:02d}"] = [row(0, 0), *[row(y, 1) for y in inner], row(end, 2)]
+    df = spark.createDataFrame([(k, 0, *n) for k, ns in cases.items() for n in ns], "ch string, s long, y long, role int, q double, cs long, ce long")
+    want = {(k, y): v for k, ns in cases.items() for y, v in plain_paths(ns, **rules).items()}
+    for width in (1 << 20, 16, 29):
+        got = {(r.ch, r.y): (r.prev, r.edge, r.shortfall, r.deviation, r.chunks) for r in P.best_paths(df, **rules, width=width).collect()}
+        assert got == want
+    assert P.Solver.CELLS > 1
