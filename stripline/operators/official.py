@@ -68,10 +68,10 @@ def official_errors(manifests: DataFrame, outputs: DataFrame, artifacts: DataFra
         checks["not_validated"] = ~F.coalesce("validation_ok", F.lit(False))
     whole = faults(m, keys, "_n", checks, total)
 
-    have = artifacts.select(*keys, F.col("file").alias("_file"), *([F.col("width").alias("_aw"), F.col("height").alias("_ah")] if deep else []), F.lit(True).alias("_there"))
+    have = artifacts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("file").alias("_file"), *([F.col("width").alias("_aw"), F.col("height").alias("_ah")] if deep else []), F.lit(True).alias("_there"))
     if deep:
         outs = outs.join(m.select(*keys, "_w"), keys)
-    o = outs.join(have, [outs[k] == have[k] for k in keys] + [outs["file"] == have["_file"]], "left").drop(*[have[k] for k in keys])
+    o = outs.join(have, [*[F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], F.col("file") == F.col("_file")], "left")
     each = {"unsafe_name": unsafe("file"), "missing_file": F.col("_there").isNull()}
     rows = F.col("g_end") - F.col("g_start")
     if deep:

@@ -216,7 +216,7 @@ def effect_parts(spark, sf):
     tot = p.groupBy("ch").agg(F.max("total").alias("total"))
     sel = o.join(tot, "ch").filter(inside & ~((sg == 2) & F.col("ch").contains("src1/"))).select(
         "ch", F.when((sg == 3) & (t % 5 == 0), "gone.png").otherwise(F.col("file")).alias("file"))
-    a = prop.filter(t % 12 != 5).withColumn("w", F.floor((F.col("region_end") - F.col("region_start")) / 3)).withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
+    a = prop.filter(t % 12 != 5).withColumn("w", F.expr("(region_end - region_start) div 3")).withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
     begin, end = F.col("region_start") + w * i, F.when(i == 2, F.col("region_end")).otherwise(F.col("region_start") + w * (i + 1))
     art = a.select("ch", F.when((i == 2) & (t % 6 == 0), "out-0.png").when((i == 1) & (t % 10 == 0), "a/b.png").otherwise(F.concat(F.lit("bal-"), i.cast("string"), F.lit(".png"))).alias("file"),
                    (begin + F.when((i == 1) & (t % 9 == 0), 2).otherwise(0)).alias("g_start"), end.alias("g_end"), (end - begin).alias("height"), (~((i == 0) & (t % 8 == 0))).alias("there"))
