@@ -70,7 +70,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This material may not be published, broadcast, rewritten, or redistributed without permission.",
         "Confidential and proprietary. Unauthorized copying is strictly prohibited."),
 }
-FAMILIES = tuple(TEMPLATES)
 BITS, ORDERS = 16, 3
 SAMPLE_DOCS, SAMPLE_LINES = 2000, 6000   # bound of the sample that the unknown class is learned from
 LINE_CHARS = 2000                        # of a longer line, a stretch of so many characters is learned from
@@ -165,19 +164,20 @@ def altered(text: str, rng: np.random.Generator, words: Sequence[str]) -> str:
     return " ".join(w)
 
 
-def train(unknown: Sequence[str], seed: int = 5, rounds: int = 80) -> Model:
+def train(unknown: Sequence[str], templates: Mapping[str, tuple[str, ...]] = TEMPLATES, seed: int = 5, rounds: int = 80) -> Model:
     """Fit on altered templates and unknown lines; one line in four is held out for temperature and threshold."""
+    families = tuple(templates)
     rng = np.random.Generator(np.random.PCG64(seed))
-    every = [pairs(t) for v in TEMPLATES.values() for t in v]
+    every = [pairs(t) for v in templates.values() for t in v]
     unknown = [x for x in unknown if confirmed(x, every)[0] < CONFIRMED]  # notices among the documents' lines aren't unknown
     words = sorted({w for x in unknown[:500] for w in x.split()})[:2000]
-    lines = [(altered(t, rng, words) if k else t, i + 1) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f] for k in range(COPIES)]
+    lines = [(altered(t, rng, words) if k else t, i + 1) for i, f in enumerate(families) for t in templates[f] for k in range(COPIES)]
     lines += [(x, 0) for x in unknown] + [(" ".join(rng.choice(words, 6)), 0) for _ in range(200 if words else 0)]
     text, y = "\n".join(x.replace("\n", " ") for x, _ in lines), np.array([k for _, k in lines])
     b = np.frombuffer(text.encode(), np.uint8)
     h, line = ngrams(*line_words(b, np.array([0, len(b)]))[2:])
     held = np.arange(len(y)) % 4 == 3
-    classes = len(FAMILIES) + 1
+    classes = len(families) + 1
     model = Model(np.zeros((1 << BITS, classes), np.float32), np.zeros(classes, np.float32))
     use = ~held[line]
     col, at = (h[use] & np.uint64((1 << BITS) - 1)).astype(np.int64), line[use]
@@ -218,7 +218,7 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                   line_chars: int = LINE_CHARS) -> DataFrame:
     """Licence notices of every document.
 
-    docs: ``doc_id, text`` (null or empty: one empty paragraph).  Returns a row for each row: ``n_paragraphs``, ``n_licence`` (confirmed notices),
+    docs: ``doc_id, text`` (null or empty: one empty paragraph); ``templates``: notices by family.  Returns a row for each row: ``n_paragraphs``, ``n_licence`` (confirmed notices),
     ``n_unconfirmed`` (accepted by the classifier, not by a template), ``families`` (confirmed, sorted, by comma), the largest ``probability`` of a
     confirmed one (null: none) and the confirmed notices ``found``: byte ``start``, ``family``, ``probability`` and the ``template`` that is nearest.
     The unknown class is learned from at most ``sample_lines`` lines, picked by a hash from all lines of about ``sample_docs`` documents, which a hash picks too;
@@ -232,7 +232,7 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     begin = F.pmod("h", F.greatest(F.lit(1), F.length("line") - line_chars + 1)).cast("int")
     picked = each.select("h", F.substring("line", begin + 1, F.lit(line_chars)).alias("line")).orderBy("h", "line").limit(sample_lines)
     lines = [r.line for r in picked.collect()]
-    model = train(lines)
+    model, families = train(lines, templates), tuple(templates)
     proofs = {f: [pairs(t) for t in v] for f, v in templates.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,7 @@ def scan_licences(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                     data = part.tobytes()
                     for k in np.flatnonzero(sure).tolist():
                         end = starts[k + 1] if k + 1 < len(starts) and row[k + 1] == row[k] else local[row[k] + 1]
-                        family = FAMILIES[best[k] - 1]
+                        family = families[best[k] - 1]
                         score, template = confirmed(data[starts[k]:end].decode(errors="replace"), proofs[family])
                         if score >= CONFIRMED:
                             got[row[k]].append({"start": int(starts[k] - local[row[k]]), "family": family, "probability": float(p[k, best[k]]), "template": template})

@@ -378,3 +378,14 @@ def test_licences_held_out(spark):
     got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[1000 + k].families for k in range(len(notices))] == list(notices.values())
     assert not any(got[i].n_licence for i in range(300)) and all(got[i].n_paragraphs == prose[i].count("\n") + 1 for i in range(300))
+
+
+def test_licences_of_other_families(spark):
+    """Templates of the caller, a family of theirs among them; built-in families that are left out are never found."""
+    from stripline.llm import licences
+
+    own = {"house": ("You may use this poem at home and read it aloud to friends, but never sing it on a stage.",), "mit": licences.TEMPLATES["mit"]}
+    prose = [(i, f"line {i} of some prose about rivers and hills and number {i * 7}\nanother line {i}") for i in range(200)]
+    rows = prose + [(1000, own["house"][0]), (1001, licences.TEMPLATES["mit"][0]), (1002, licences.TEMPLATES["apache-2.0"][0] if "apache-2.0" in licences.TEMPLATES else "x")]
+    got = {r.doc_id: r.families for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()}
+    assert got[1000] == "house" and got[1001] == "mit" and set(got.values()) <= {"", "house", "mit"} and not any(got[i] for i in range(200))
