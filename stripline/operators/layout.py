@@ -14,7 +14,7 @@ CH = ["ch"]
 
 
 def page_spans(pages: DataFrame, keys: Sequence[str] = CH, order: str = "page_no", height: str = "height", width: str = "width") -> DataFrame:
-    """Half-open span of every page and whether its width equals the first page's width of the chapter."""
+    """Half-open span of every page and whether its width differs from that of the chapter's first page (``width_error``)."""
     first = pages.groupBy(*keys).agg(F.min_by(width, order).alias("chapter_width"))
     laid = running(id_blocks(pages, order), keys, [order], sums={"global_start": height}, number="page_index").drop("_b")
     return laid.join(first, list(keys)).withColumns({
