@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripline.progress import cut_measured
 from stripline.session import cut
 
 # Defaults of the session settings ``spark.stripline.block``, ``.bucket`` and ``.slice``.
@@ -200,10 +201,10 @@ def orbit(edges: DataFrame, starts: DataFrame, keys: Sequence[str], width: int |
     width = size_of(edges, "block", width)
     keys = list(keys)
     kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields if f.name in keys)
-    edges = cut(edges.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long")))
+    edges, found = cut_measured(edges.select(*keys, F.col("pos").cast("long"), F.col("nxt").cast("long")), "orbit", top=F.max("pos"))
     starts = starts.select(*keys, F.col("pos").cast("long")).distinct()
     if extent is None:
-        extent = edges.agg(F.max("pos")).first()[0] or 0
+        extent = found["top"] or 0
     one_block = extent < width
     if one_block:
         entries = starts

@@ -11,6 +11,7 @@ from stripline.operators.blocks import point_join
 from stripline.operators.cuts import MIN_CHUNK, level1_partition
 from stripline.operators.evidence import refine, residual_walk, seeds_per_bin
 from stripline.operators.paths import CH, ZONE, balanced_path, complete_path, exhaustive_composition, into_zones, zoned
+from stripline.progress import cut_measured
 from stripline.session import cut
 
 
@@ -28,7 +29,7 @@ def escalate(bands: DataFrame, pages: DataFrame, totals: DataFrame, decided: Dat
     """Pieces of every chapter: keys, ``start``, ``end``, ``level`` that settled them and ``part`` (``chunk``, or ``residual`` where level 5 failed too).
 
     1 cuts at white bands, 2 searches balanced paths through all bands, 3 walks from the start by structural evidence, 4 searches paths around seeds, 5
-    searches all SAFE positions and keeps the furthest prefix.  Together the pieces tile the chapter.
+    searches all SAFE positions and keeps the furthest prefix.  Together the pieces tile the chapter.  Levels that nothing is left for are not run.
     """
     keys = list(keys)
     span = [*keys, "start", "end"]
@@ -36,22 +37,31 @@ def escalate(bands: DataFrame, pages: DataFrame, totals: DataFrame, decided: Dat
     def settled(df: DataFrame, level: int, part: str = "chunk") -> DataFrame:
         return df.select(*span, F.lit(level).cast("long").alias("level"), F.lit(part).alias("part"))
 
-    def regions(df: DataFrame) -> DataFrame:
-        return cut(df.select(*keys, F.col("start").alias("s"), F.col("end").alias("e")))
+    def regions(df: DataFrame) -> tuple[DataFrame, int]:
+        left, n = cut_measured(df.select(*keys, F.col("start").alias("s"), F.col("end").alias("e")), "escalate")
+        return left, n["rows"]
 
     one = cut(level1_partition(bands, totals, keys))
     out = settled(one.filter("status = 'passed'"), 1)
-    left = regions(one.filter("status = 'failed'"))
+    left, n = regions(one.filter("status = 'failed'"))
+    if not n:
+        return out
     two = cut(balanced_path(left, bands, pages, keys=keys))
     out = out.unionByName(settled(two.filter("part = 'chunk'"), 2))
-    left = regions(two.filter("part = 'residual'"))
+    left, n = regions(two.filter("part = 'residual'"))
+    if not n:
+        return out
     proven, stuck = residual_walk(decided, left, radius, keys=keys)
     out = out.unionByName(settled(proven, 3))
-    left = regions(stuck)
+    left, n = regions(stuck)
+    if not n:
+        return out
     four = cut(directed(left, decided, keys))
     out = out.unionByName(settled(four, 4))
     whole = cut(point_join(four.withColumn("_at", F.col("start")), left, keys, "_at", ("s", "e")).select(*keys, "s").distinct())
-    left = cut(left.join(whole, [*keys, "s"], "left_anti"))
+    left, n = cut_measured(left.join(whole, [*keys, "s"], "left_anti"), "escalate")
+    if not n["rows"]:
+        return out
     five = cut(exhaustive_composition(left, decided.filter("decision = 'SAFE'").select(*keys, "y"), step, keys))
     return (out.unionByName(settled(five.filter("part <> 'residual'"), 5)).unionByName(settled(five.filter("part = 'residual' and start < end"), 5, "residual")))
 

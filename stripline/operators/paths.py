@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stripline.operators.blocks import best, orbit, overlap_join, point_join, sessions, size_of, spread, top_k
 from stripline.operators.cuts import MAX_CHUNK, MIN_BAND, MIN_CHUNK, TARGET
-from stripline.progress import cut_observed
+from stripline.progress import cut_measured, cut_observed
 from stripline.session import cut
 
 CH = ["ch"]
@@ -193,10 +193,8 @@ def best_paths(nodes: DataFrame, keys: Sequence[str] = CH, *, target: int = TARG
     keys = list(keys)
     width = size_of(nodes, "slice", width)
     base = nodes.select(*keys, "s", "y", F.col("role").cast("long"), F.col("q").cast("double"), F.col("cs").cast("long"), F.col("ce").cast("long"))
-    base = cut(base.withColumn("_r", F.floor((F.col("y") - F.col("s")) / width)))
-    rounds = base.agg(F.max("_r")).first()[0]
-    if rounds is None:
-        rounds = 0
+    base, found = cut_measured(base.withColumn("_r", F.floor((F.col("y") - F.col("s")) / width)), "best_paths", last=F.max("_r"))
+    rounds = found["last"] or 0
     kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
     ddl = f"{kt}, s long, y long, role long, q double, cs long, ce long, {STATE_DDL}, carried boolean"
     names = ["y", "role", "q", "cs", "ce", *STATE]
@@ -365,17 +363,21 @@ def exhaustive_composition(regions: DataFrame, safe: DataFrame, step: int = 1, k
     safe = cut_observed(into_zones(safe.select(*keys, "y"), regions, list(keys), "y"), "exhaustive_composition", positions=F.count(F.lit(1)))
     keys = [*keys, ZONE]
     even = cut(_complete_path(regions, safe.filter((F.floor(F.col("y") / step) % 2) == 0), keys, width))
-    left = cut(regions.join(even.select(*keys).distinct(), keys, "left_anti"))
+
+    def tag(df, passes, part):
+        return df.withColumns({"passes": F.lit(passes), "part": F.lit(part)})
+
+    left, n = cut_measured(regions.join(even.select(*keys).distinct(), keys, "left_anti"), "exhaustive_left")
+    if not n["rows"]:
+        return tag(even, 1, "chunk").drop(ZONE)
     full = cut(_complete_path(left, safe, keys, width))
-    hard = cut(left.join(full.select(*keys).distinct(), keys, "left_anti"))
+    hard, n = cut_measured(left.join(full.select(*keys).distinct(), keys, "left_anti"), "exhaustive_hard")
+    if not n["rows"]:
+        return tag(even, 1, "chunk").unionByName(tag(full, 2, "chunk")).drop(ZONE)
     st = best_paths(safe_nodes(hard, safe, keys).filter("role <> 2"), keys, first_wins=True, width=width)
     far = cut(st.filter("role = 1").groupBy(*keys).agg(F.max("y").alias("y")))
     rest = hard.join(far, keys, "left").select(*keys, F.coalesce("y", "s").alias("start"), F.col("e").alias("end"))
     rest = rest.withColumn("height", F.col("end") - F.col("start"))
-
-    def tag(df, passes, part):
-        return df.withColumns({"passes": F.lit(passes), "part": F.lit(part)})
-
     return (tag(even, 1, "chunk").unionByName(tag(full, 2, "chunk"))
             .unionByName(tag(path_to(st, far, keys), 2, "prefix")).unionByName(tag(rest, 2, "residual"))).drop(ZONE)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stripline.functions.geometry import CONTAINMENT, OCR_CONF, containment, detector_gate
 from stripline.operators.blocks import best, overlap_join, overlap_semi, point_join, range_blocks, running, spread
 from stripline.operators.graph import components, joined
+from stripline.progress import cut_measured
 from stripline.session import cut
 
 PAGE = ["page"]
@@ -184,14 +185,14 @@ def merge_boxes(boxes: DataFrame, gap: int = GAP, keys: Sequence[str] = PAGE, ce
     spark = boxes.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = _collapsed(boxes.select(*keys, F.col("id").cast("string").alias("id"), *[F.col(c).cast("long").alias(c) for c in BOX], F.lit(1).cast("long").alias("n")), gap, keys)
-    first = cut(first.withColumn("_page", F.to_json(F.struct(*keys))))
-    many = max(width, -(-first.count() // PER_TASK))
+    first, made = cut_measured(first.withColumn("_page", F.to_json(F.struct(*keys))), "merge_boxes")
+    many = max(width, -(-made["rows"] // PER_TASK))
     total = first.groupBy("_page").count()
     small, large = first.join(total.filter(F.col("count") <= page_boxes), "_page"), total.filter(F.col("count") > page_boxes)
     kt = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema.fields if f.name in (*keys, "id", *BOX, "n"))
     dealt = spread(small.drop("count").withColumn("_t", F.pmod(F.xxhash64("_page"), F.lit(many))), "_t")
     done = dealt.groupBy("_t").applyInArrow(lambda t: _merged_pages(t, gap, keys), kt)
-    if large.isEmpty():
+    if made["rows"] <= page_boxes or large.isEmpty():
         return done
     names = [f.name for f in first.schema.fields if f.name != "_page"]
     return done.unionByName(_merged_in_cells(cut(first.join(large, "_page", "left_semi").select(*names)), gap, keys, cell).select(*done.columns))

@@ -25,17 +25,20 @@ def on_progress(callback: Callback) -> Iterator[None]:
         _listeners.reset(token)
 
 
-def cut_observed(df: DataFrame, step: str, **metrics: Column) -> DataFrame:
-    """:func:`cut`, with the number of ``rows`` and the ``metrics`` of what is written told to the listeners; without any it is a plain cut.
+def cut_measured(df: DataFrame, step: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut`, and metrics of what is written, gathered by the tasks that write it: one job where an aggregate of its own would be a second."""
+    seen = Observation(step)
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]))
+    found: Mapping = seen.get
+    return out, dict(found)
+
 
-    The metrics are gathered by the tasks that write, so nothing is read twice.
-    """
+def cut_observed(df: DataFrame, step: str, **metrics: Column) -> DataFrame:
+    """:func:`cut`, with the number of ``rows`` and the ``metrics`` of what is written told to the listeners; without any it is a plain cut."""
     listeners = _listeners.get()
     if not listeners:
         return cut(df)
-    seen = Observation(step)
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]))
-    found: Mapping = seen.get
+    out, found = cut_measured(df, step, **metrics)
     for callback in listeners:
         callback(step, dict(found))
     return out
